@@ -1,0 +1,70 @@
+"""Finding the few keys that hold a large share of a table, and routing them apart.
+
+A join or a grouping on a key sends all rows of that key to one task. The operators that join on
+skewed keys therefore take the hot keys out first: those rows meet a broadcast copy of the few
+matching lookup rows and never shuffle; all others shuffle as usual. Which route a key takes never
+changes the result, so finding the keys may be approximate, but every row takes exactly one route.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A key is hot from this many rows on. Below it one task handles the key easily.
+HOT_ROWS = 2_000_000
+# Most keys that are ever treated as hot; bounds the list, and with it every broadcast made of it.
+MOST_KEYS = 2_000
+# Size of the heavy-hitter sketch. A key with over about 0.05 % of all rows is always found.
+TRACKED = 20_000
+# Partial sketches are merged in this many tasks before the last merge.
+MERGES = 64
+
+
+def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The keys of ``df`` with at least ``hot_rows`` rows, or None when there are none.
+
+    One pass over the key column. Each task keeps a sketch of bounded size, so no rows shuffle.
+    The list is fetched once, at most ``MOST_KEYS`` entries, so that both routes later see the
+    very same list even if tasks are run again.
+    """
+    found = (
+        df.filter(F.col(key).isNotNull())
+        .groupBy((F.spark_partition_id() % MERGES).alias("part"))
+        .agg(F.expr(f"approx_top_k_accumulate(`{key}`, {TRACKED})").alias("sketch"))
+        .agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch"))
+        .select(F.expr(f"inline(approx_top_k_estimate(sketch, {MOST_KEYS}))"))
+        .filter(F.col("count") >= hot_rows)
+        .select("item")
+        .collect()
+    )
+    return key_list(df, key, [row["item"] for row in found])
+
+
+def key_list(df: DataFrame, key: str, values: list) -> DataFrame | None:
+    """A one-column DataFrame of ``values``, typed like ``df[key]``; None for an empty list."""
+    if not values:
+        return None
+    kind = df.schema[key].dataType.simpleString()
+    return df.sparkSession.createDataFrame([(value,) for value in values], f"`{key}` {kind}")
+
+
+def only_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose key is listed. ``keys`` comes from this module, so it is small."""
+    return df.join(F.broadcast(keys), key, "left_semi")
+
+
+def without_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose key is not listed, rows without a key among them."""
+    return df.join(F.broadcast(keys), key, "left_anti")
+
+
+def lookup_join(
+    facts: DataFrame, lookup: DataFrame, key: str, hot: DataFrame | None
+) -> DataFrame:
+    """Left join of many-rows-per-key ``facts`` to ``lookup``, which has one row per key."""
+    if hot is None:
+        return facts.join(lookup, key, "left")
+    usual = without_keys(facts, hot, key).join(lookup, key, "left")
+    few = F.broadcast(only_keys(lookup, hot, key))
+    return usual.unionByName(only_keys(facts, hot, key).join(few, key, "left"))
