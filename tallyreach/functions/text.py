@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What counts as markup, a word, a hashtag and a link. Words are ASCII only, so an
-# accented letter ends one.
+# What counts as markup, a word, a hashtag and a link. Words are ASCII only, as \w is
+# in Spark, so an accented letter ends one.
 TAG = r"<[^>]+>"
-WORD = r"[0-9A-Za-z_]+"
-HASHTAG = r"#[0-9A-Za-z_]+"
+WORD = r"\w+"
+HASHTAG = r"#\w+"
 LINK = r"https?://"
 
 

@@ -17,15 +17,18 @@ def degree_counts(edges: DataFrame, start: str, end: str) -> tuple[DataFrame, Da
     pairs: the edge list, the largest input there is, shuffles once, by pair, which also spreads
     a node that holds a third of all edges.
     """
-    pairs = edges.select(start, end).distinct().filter(
-        F.col(start).isNotNull() & F.col(end).isNotNull()
-    )
+    pairs = _pairs(edges, start, end)
     return (
         pairs.groupBy(start).agg(F.count("*").alias("out_degree")),
         pairs.groupBy(end).agg(F.count("*").alias("in_degree")),
     )
 
 
+def _pairs(edges: DataFrame, start: str, end: str) -> DataFrame:
+    known = edges.filter(F.col(start).isNotNull() & F.col(end).isNotNull())
+    return known.select(start, end).distinct()
+
+
 def author_activity(posts: DataFrame) -> DataFrame:
     """Number of posts and the first and last posting time of each author."""
     return (
@@ -61,9 +64,10 @@ def author_statistics(
     stacked as partial tallies and grouped once; distinct counts tally distinct pairs.
     """
     tally = F.lit(1).cast("bigint")
-    edges = subscriptions.select("subscriber_id", "subscribed_to_id").distinct()
+    # Both directions count from the same pairs, so the edges shuffle once.
+    edges = _pairs(subscriptions, "subscriber_id", "subscribed_to_id")
     connected = services.select("user_id", "service_id").distinct()
-    arrivals = follow_events.select("followed_id", "follower_id").distinct()
+    arrivals = _pairs(follow_events, "followed_id", "follower_id")
 
     # A user whose only service id is missing is counted as having none.
     has_service = F.when(F.col("service_id").isNotNull(), 1).otherwise(0).cast("bigint")

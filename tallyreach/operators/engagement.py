@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 from tallyreach.functions.time import in_window, moment, within
 from tallyreach.operators.hotkeys import HOT_ROWS, hot_keys, only_keys, without_keys
 
+COUNT_COLUMNS = (
+    "has_full_7d_window",
+    "comment_count_recorded",
+    "like_count_recorded",
+    "comment_count_7d",
+    "like_count_7d",
+    "engagement_count_7d",
+)
+
 
 def windowed_counts(
     items: DataFrame,
@@ -72,7 +81,7 @@ def _count(
     return joined.groupBy(*carried).agg(*counts)
 
 
-def post_engagement(
+def engaged_posts(
     posts: DataFrame,
     comments: DataFrame,
     likes: DataFrame,
@@ -81,14 +90,16 @@ def post_engagement(
     window: timedelta = timedelta(days=7),
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Comment and like counts of every unique post.
+    """Every unique post, all columns, with its comment and like counts.
+
+    ``posts``: one row per post_id, with posted_at. ``comments``: entry_id, commented_at.
+    ``likes``: post_id, liked_at. Both valid rows only. ``has_full_7d_window`` tells whether the
+    study covers the whole window of a post.
 
-    ``posts``: post_id, author_id, posted_at, timestamp_in_study_window, one row per post_id.
-    ``comments``: entry_id, commented_at. ``likes``: post_id, liked_at. Both valid rows only.
-    ``has_full_7d_window`` tells whether the study covers the whole window of a post.
+    Taking the features of a post along here spares joining them back by post later on.
     """
     counted = windowed_counts(
-        posts.select("post_id", "author_id", "posted_at", "timestamp_in_study_window"),
+        posts,
         {
             "comment": (comments, "entry_id", "commented_at"),
             "like": (likes, "post_id", "liked_at"),
@@ -101,15 +112,16 @@ def post_engagement(
     covered = in_window(
         F.col("posted_at"), moment(study_start), moment(study_end) - F.lit(window)
     )
-    return counted.select(
-        "post_id",
-        "author_id",
-        "posted_at",
-        "timestamp_in_study_window",
-        covered.alias("has_full_7d_window"),
-        "comment_count_recorded",
-        "like_count_recorded",
-        "comment_count_7d",
-        "like_count_7d",
-        "engagement_count_7d",
+    return counted.withColumn("has_full_7d_window", covered)
+
+
+def post_engagement(engaged: DataFrame) -> DataFrame:
+    """The engagement table: identity, time and counts of every unique post."""
+    return engaged.select(
+        "post_id", "author_id", "posted_at", "timestamp_in_study_window", *COUNT_COLUMNS
     )
+
+
+def with_engagement(posts: DataFrame, engagement: DataFrame) -> DataFrame:
+    """Join posts to an engagement table that was stored apart from them."""
+    return posts.join(engagement.select("post_id", *COUNT_COLUMNS), "post_id")

@@ -38,13 +38,12 @@ def unique_posts(entries: DataFrame, default_source: str) -> DataFrame:
 
 
 def post_features(
-    posts: DataFrame,
-    engagement: DataFrame,
+    engaged: DataFrame,
     authors: DataFrame,
     top_sources: int = TOP_CATEGORIES,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Join unique posts, their engagement and their authors, and derive the features.
+    """Join unique posts with their engagement to their authors, and derive the features.
 
     The number of posts is already known per author, so the authors with very many posts, whose
     rows must not meet in one task, are read off ``authors``.
@@ -57,15 +56,6 @@ def post_features(
         .collect()
     )
     hot = key_list(authors, "author_id", [row["author_id"] for row in busiest])
-    counts = engagement.select(
-        "post_id",
-        "has_full_7d_window",
-        "comment_count_recorded",
-        "like_count_recorded",
-        "comment_count_7d",
-        "like_count_7d",
-        "engagement_count_7d",
-    )
     profile = authors.select(
         "author_id",
         "user_type",
@@ -79,10 +69,9 @@ def post_features(
         "new_follower_count",
         "network_snapshot_available",
     )
-    joined = lookup_join(posts.join(counts, "post_id"), profile, "author_id", hot)
-    grouped = with_category_group(
-        joined, "source_name", top_categories(posts, "source_name", top_sources), "source_group"
-    )
+    joined = lookup_join(engaged, profile, "author_id", hot)
+    top = top_categories(engaged, "source_name", top_sources)
+    grouped = with_category_group(joined, "source_name", top, "source_group")
     zero = F.lit(0).cast("bigint")
     posted_at = F.col("posted_at")
     followers = F.col("follower_count")

@@ -7,11 +7,12 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyreach.operators import summaries
 from tallyreach.operators.authors import author_statistics
 from tallyreach.operators.categories import TOP_CATEGORIES
-from tallyreach.operators.engagement import post_engagement
+from tallyreach.operators.engagement import engaged_posts, post_engagement
 from tallyreach.operators.features import post_features, unique_posts
 from tallyreach.operators.hotkeys import HOT_ROWS
 from tallyreach.operators.labels import (
@@ -78,9 +79,10 @@ class Settings:
 def stored_table(spark: SparkSession, settings: Settings, table: str) -> DataFrame:
     """Clean and rejected rows of a table, with all columns."""
     schema = settings.tables[table].schema()
-    schema = schema.add("raw_line", "string").add("field_count", "int")
-    schema = schema.add("expected_count", "int").add("error_type", "string").add("rejected", "int")
-    return spark.read.schema(schema).parquet(settings.clean(table))
+    for name, kind in delimited.REJECT_FIELDS:
+        if name not in schema.fieldNames():
+            schema = schema.add(name, kind)
+    return spark.read.schema(schema.add("rejected", T.IntegerType())).parquet(settings.clean(table))
 
 
 def clean_rows(spark: SparkSession, settings: Settings, table: str) -> DataFrame:
@@ -90,7 +92,7 @@ def clean_rows(spark: SparkSession, settings: Settings, table: str) -> DataFrame
 
 def rejected_rows(spark: SparkSession, settings: Settings, table: str) -> DataFrame:
     rows = stored_table(spark, settings, table).filter("rejected = 1")
-    return rows.select(*delimited.REJECT_COLUMNS)
+    return rows.select(*[name for name, _ in delimited.REJECT_FIELDS])
 
 
 def valid_rows(spark: SparkSession, settings: Settings, table: str) -> DataFrame:
@@ -146,15 +148,9 @@ def aggregate(spark: SparkSession, settings: Settings, force: bool = False) -> N
 
     posts = storage.materialise(
         spark,
-        settings.work("unique_posts"),
-        lambda: unique_posts(valid("entries"), settings.default_source),
-        force,
-    )
-    storage.materialise(
-        spark,
-        settings.aggregated("post_engagement"),
-        lambda: post_engagement(
-            posts,
+        settings.work("engaged_posts"),
+        lambda: engaged_posts(
+            unique_posts(valid("entries"), settings.default_source),
             valid("comments"),
             valid("likes"),
             settings.study_start,
@@ -164,6 +160,9 @@ def aggregate(spark: SparkSession, settings: Settings, force: bool = False) -> N
         ),
         force,
     )
+    storage.materialise(
+        spark, settings.aggregated("post_engagement"), lambda: post_engagement(posts), force
+    )
     storage.materialise(
         spark,
         settings.aggregated("author_statistics"),
@@ -183,11 +182,7 @@ def aggregate(spark: SparkSession, settings: Settings, force: bool = False) -> N
 def extract_features(spark: SparkSession, settings: Settings, force: bool = False) -> None:
     """Step 3: the labelled feature table and the choices behind it."""
     check_quantile(settings.high_quantile)
-    inputs = [
-        settings.work("unique_posts"),
-        settings.aggregated("post_engagement"),
-        settings.aggregated("author_statistics"),
-    ]
+    inputs = [settings.work("engaged_posts"), settings.aggregated("author_statistics")]
     storage.require_paths(spark, inputs)
     if not force and storage.is_complete(spark, settings.features):
         return

@@ -12,6 +12,7 @@ SETTINGS = {
     # Lets one task keep a writer open for clean and for rejected rows, instead of sorting them.
     "spark.sql.maxConcurrentOutputFileWriters": "4",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 

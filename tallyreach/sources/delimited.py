@@ -11,11 +11,18 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyreach.functions.cleaning import null_tokens
 from tallyreach.sources.specs import TableSpec
 
-REJECT_COLUMNS = ("source_file", "raw_line", "field_count", "expected_count", "error_type")
+REJECT_FIELDS = (
+    ("source_file", T.StringType()),
+    ("raw_line", T.StringType()),
+    ("field_count", T.IntegerType()),
+    ("expected_count", T.IntegerType()),
+    ("error_type", T.StringType()),
+)
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:

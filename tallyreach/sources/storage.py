@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -134,16 +136,31 @@ def write_json(df: DataFrame, path: str) -> None:
     )
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a folder of its own; a cluster has to name one that
+    all executors can reach.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is not None:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+    return _own_folder()
+
+
+@lru_cache(maxsize=None)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="tallyreach-")
+
+
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and read it back.
 
     Cuts the lineage like a checkpoint, but in columns, so later scans read only what they use.
-    The folder is the session's ``spark.checkpoint.dir``.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    path = f"{folder}/tallyreach/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/tallyreach/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from tallyreach.session import build_session
 
     os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
@@ -17,7 +17,6 @@ def spark(tmp_path_factory):
         "local[8]",
         spark_sql_shuffle_partitions="8",
         spark_driver_memory="8g",
-        spark_checkpoint_dir=str(tmp_path_factory.mktemp("checkpoints")),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

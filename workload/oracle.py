@@ -636,6 +636,7 @@ ORACLE: dict[str, str] = {
         FROM documents
     """,
     "post_features": with_parts("SELECT * FROM base", *BASE),
+    "post_features_joined": with_parts("SELECT * FROM base", *BASE),
     "thresholds": with_parts("SELECT * FROM limits", *LABELLED),
     "labels": with_parts("SELECT * FROM features", *LABELLED),
     "feature_metadata": with_parts(

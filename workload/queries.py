@@ -22,7 +22,7 @@ from tallyreach.operators.dedup import first_per_key as first_row
 from tallyreach.operators.quality import quality_row
 from tallyreach.operators.quality import reject_count as count_rejects
 from tallyreach.sources import delimited
-from tallyreach.sources.storage import scratch_table
+from tallyreach.sources.storage import scratch_table, size_in_bytes
 from workload import tables
 from workload.tables import table
 
@@ -117,8 +117,8 @@ def inner_join_window_count(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _engagement(spark: SparkSession, sf: str, posts: DataFrame) -> DataFrame:
-    return engagement_ops.post_engagement(
+def _engaged(spark: SparkSession, sf: str, posts: DataFrame) -> DataFrame:
+    return engagement_ops.engaged_posts(
         posts,
         tables.comments(spark, sf),
         tables.likes(spark, sf),
@@ -129,7 +129,10 @@ def _engagement(spark: SparkSession, sf: str, posts: DataFrame) -> DataFrame:
 
 
 def post_engagement(spark: SparkSession, sf: str) -> DataFrame:
-    return _engagement(spark, sf, _posts(spark, sf))
+    slim = _posts(spark, sf).select(
+        "post_id", "author_id", "posted_at", "timestamp_in_study_window"
+    )
+    return engagement_ops.post_engagement(_engaged(spark, sf, slim))
 
 
 def distinct_authors(spark: SparkSession, sf: str) -> DataFrame:
@@ -240,31 +243,64 @@ def top_categories(spark: SparkSession, sf: str) -> DataFrame:
     return with_category_group(documents, "source", top, "source_group")
 
 
-def _base(spark: SparkSession, sf: str) -> DataFrame:
-    posts = scratch_table(_posts(spark, sf), "posts")
-    return feature_ops.post_features(
-        posts, _engagement(spark, sf, posts), _authors(spark, sf, posts), tables.TOP_SOURCES
+# Later queries read what earlier steps stored, as the steps of the pipeline do. A stored table is
+# built once per session, from the whole tables of the folder.
+
+_stored: dict[tuple, DataFrame] = {}
+
+
+def _store(
+    spark: SparkSession, sf: str, name: str, build: Callable[[SparkSession, str], DataFrame]
+) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf, size_in_bytes(spark, sf), name)
+    if key not in _stored:
+        _stored[key] = scratch_table(build(spark, sf), name)
+    return _stored[key]
+
+
+def _stored_posts(spark: SparkSession, sf: str) -> DataFrame:
+    return _store(
+        spark, sf, "posts", lambda spark, sf: _engaged(spark, sf, _posts(spark, sf))
+    )
+
+
+def _stored_authors(spark: SparkSession, sf: str) -> DataFrame:
+    return _store(
+        spark, sf, "authors", lambda spark, sf: _authors(spark, sf, _stored_posts(spark, sf))
     )
 
 
 def post_features(spark: SparkSession, sf: str) -> DataFrame:
-    return _base(spark, sf)
+    return feature_ops.post_features(
+        _stored_posts(spark, sf), _stored_authors(spark, sf), tables.TOP_SOURCES
+    )
 
 
-# Labels and summaries. The features are written once and then only read.
+def post_features_joined(spark: SparkSession, sf: str) -> DataFrame:
+    """The same features from posts and engagement that are stored apart."""
+    engaged = engagement_ops.with_engagement(
+        _posts(spark, sf), engagement_ops.post_engagement(_stored_posts(spark, sf))
+    )
+    return feature_ops.post_features(engaged, _stored_authors(spark, sf), tables.TOP_SOURCES)
 
 
-def _labelled(spark: SparkSession, sf: str) -> DataFrame:
-    base = scratch_table(_base(spark, sf), "features")
-    return label_ops.with_labels(base, label_ops.thresholds(base, QUANTILE))
+def _stored_features(spark: SparkSession, sf: str) -> DataFrame:
+    return _store(spark, sf, "features", post_features)
 
 
 def thresholds(spark: SparkSession, sf: str) -> DataFrame:
-    return label_ops.thresholds(scratch_table(_base(spark, sf), "features"), QUANTILE)
+    return label_ops.thresholds(_stored_features(spark, sf), QUANTILE)
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:
-    return _labelled(spark, sf)
+    return label_ops.with_labels(_stored_features(spark, sf), thresholds(spark, sf))
+
+
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    return _store(spark, sf, "labelled", labels)
+
+
+# Summaries.
 
 
 def feature_metadata(spark: SparkSession, sf: str) -> DataFrame:
@@ -278,7 +314,7 @@ def feature_metadata(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def overview(spark: SparkSession, sf: str) -> DataFrame:
-    row = summaries.overview(scratch_table(_labelled(spark, sf), "labelled"))
+    row = summaries.overview(_labelled(spark, sf))
     quantiles = [
         F.get("engagement_quantiles", F.lit(i)).alias(f"p{round(100 * fraction)}")
         for i, fraction in enumerate(summaries.OVERVIEW_QUANTILES)
@@ -287,7 +323,7 @@ def overview(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _profile(spark: SparkSession, sf: str) -> DataFrame:
-    return summaries.column_profile(scratch_table(_labelled(spark, sf), "labelled"))
+    return summaries.column_profile(_labelled(spark, sf))
 
 
 def column_profile(spark: SparkSession, sf: str) -> DataFrame:
@@ -311,7 +347,7 @@ def column_profile_sketches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def capped_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return summaries.capped_histogram(_base(spark, sf), cap=HISTOGRAM_CAP)
+    return summaries.capped_histogram(_labelled(spark, sf), cap=HISTOGRAM_CAP)
 
 
 def profile_by_source(spark: SparkSession, sf: str) -> DataFrame:
@@ -338,12 +374,12 @@ def rule_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, sf: str) -> DataFrame:
-    labelled = scratch_table(_labelled(spark, sf), "labelled")
+    labelled = _labelled(spark, sf)
     return rule_ops.mine_rules(labelled, TARGETS, limits=LIMITS)
 
 
 def _candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, float]:
-    labelled = scratch_table(_labelled(spark, sf), "labelled")
+    labelled = _labelled(spark, sf)
     target = TARGETS[0]
     found = rule_ops.population(labelled, [target])
     return rule_ops.rule_candidates(labelled, target, found, LOOSEST), found.baseline(target)
@@ -385,6 +421,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bands": band_names,
     "top_categories": top_categories,
     "post_features": post_features,
+    "post_features_joined": post_features_joined,
     "thresholds": thresholds,
     "labels": labels,
     "feature_metadata": feature_metadata,

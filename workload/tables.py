@@ -7,6 +7,7 @@ role covers its whole table; shares of rows that are odd in some way depend on s
 from __future__ import annotations
 
 from datetime import timedelta
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,9 @@ DEFAULT_SOURCE = "in house"
 TOP_SOURCES = 7
 
 
+@lru_cache(maxsize=None)
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A given table. The file list and schema are looked up once per session, no data is kept."""
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
