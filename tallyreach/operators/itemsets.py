@@ -52,7 +52,10 @@ def itemset_counts(
         )
     )
     if entity is not None:
-        combos = combos.repartition(entity)
+        # A fixed number of partitions: judged by their size before the sets are spread out, they
+        # would be merged into far too few.
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        combos = combos.repartition(partitions, entity)
     sets = [
         F.struct(
             F.lit(number).alias("set_id"),

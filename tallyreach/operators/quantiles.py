@@ -1,9 +1,10 @@
 """Exact quantiles without sorting or holding a whole column anywhere.
 
 A first pass sketches each column and so learns, for every wanted quantile, a narrow range of
-values that is sure to hold it. The second pass counts: rows outside those ranges collapse to one
+values that should hold it. The second pass counts: rows outside those ranges collapse to one
 count per gap, rows inside to one count per value, both before the shuffle. A running total over
 that short histogram then finds the exact value at the exact rank.
+Should a rank fall outside the ranges after all, the query fails rather than return a near value.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 # Relative accuracy of the sketch, as a row count to which one row of error belongs. Columns with
 # at most this many values skip the narrowing.
 ACCURACY = 100_000
+# Rows of error, in units of the accuracy, that the ranges allow for. Merged sketches may be off by
+# up to two.
+MARGIN = 4.0
 
 
 @dataclass(frozen=True)
@@ -49,7 +53,7 @@ def exact_quantiles(
 
     sketches = []
     for number, (value, group) in enumerate(zip(values, by_source)):
-        margin = 2.0 / accuracy
+        margin = MARGIN / accuracy
         edges = []
         for one in group:
             edges += [max(0.0, one.fraction - margin), min(1.0, one.fraction + margin)]
@@ -142,7 +146,9 @@ def _at_ranks(number: int, ranks: list[tuple[int, float]]) -> Column:
     total = None
     for rank, weight in ranks:
         reached = (F.col("source") == number) & (F.col("upto") >= rank)
-        part = F.min(F.when(reached, F.col("value")))
+        at = F.min(F.when(reached, F.struct("gap", "value")))
+        missed = F.raise_error(F.lit(f"rank {rank} lies outside the ranges; raise the accuracy"))
+        part = F.when(at["gap"] % 2 == 1, at["value"]).otherwise(missed.cast("double"))
         part = part if weight == 1.0 else part * F.lit(weight)
         total = part if total is None else total + part
     return F.lit(None).cast("double") if total is None else total

@@ -58,7 +58,11 @@ def replace_directory(spark: SparkSession, path: str, write: Callable[[str], Non
     token = uuid.uuid4().hex
     fresh, old = f"{path}.new-{token}", f"{path}.old-{token}"
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
-    write(fresh)
+    try:
+        write(fresh)
+    except BaseException:
+        system.delete(hadoop_path(fresh), True)
+        raise
     if system.exists(target):
         system.rename(target, hadoop_path(old))
     if not system.rename(hadoop_path(fresh), target):

@@ -317,3 +317,11 @@ def test_grid_keeps_empty_cells(spark):
     assert (loose["top_rule"], loose["top_lift"], loose["implied_min_lift"]) == ("a=1", 1.5, 0.2)
     assert (strict["rules"], strict["min_joint_posts"], strict["top_rule"]) == (0, 0, "")
     assert strict["top_lift"] is None
+
+
+def test_quantile_outside_its_range_is_an_error(spark, monkeypatch):
+    # A sketch far too coarse, and no margin for it.
+    monkeypatch.setattr("tallyreach.operators.quantiles.MARGIN", -0.4)
+    rows = spark.range(1000).select(F.col("id").alias("x"))
+    with pytest.raises(Exception, match="outside the ranges"):
+        exact_quantiles(rows, [Quantile("d", "x", 0.5)], accuracy=2).collect()

@@ -103,9 +103,17 @@ def unique_posts(spark: SparkSession, sf: str) -> DataFrame:
     return _posts(spark, sf)
 
 
+def _slim_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """Unique posts without their content, for counts that need none of it."""
+    rows = tables.entries(spark, sf).filter("identifier_is_valid").select(
+        "post_id", "author_id", "posted_at", "source_file", "timestamp_in_study_window"
+    )
+    return first_row(rows, ["post_id"], ["posted_at", "source_file"])
+
+
 def inner_join_window_count(spark: SparkSession, sf: str) -> DataFrame:
     counted = engagement_ops.windowed_counts(
-        _posts(spark, sf).select("post_id", "posted_at"),
+        _slim_posts(spark, sf).select("post_id", "posted_at"),
         {"comment": (tables.comments(spark, sf), "entry_id", "commented_at")},
         "post_id",
         "posted_at",
@@ -129,10 +137,8 @@ def _engaged(spark: SparkSession, sf: str, posts: DataFrame) -> DataFrame:
 
 
 def post_engagement(spark: SparkSession, sf: str) -> DataFrame:
-    slim = _posts(spark, sf).select(
-        "post_id", "author_id", "posted_at", "timestamp_in_study_window"
-    )
-    return engagement_ops.post_engagement(_engaged(spark, sf, slim))
+    posts = _slim_posts(spark, sf).drop("source_file")
+    return engagement_ops.post_engagement(_engaged(spark, sf, posts))
 
 
 def distinct_authors(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,7 +146,7 @@ def distinct_authors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def author_activity(spark: SparkSession, sf: str) -> DataFrame:
-    return author_ops.author_activity(_posts(spark, sf))
+    return author_ops.author_activity(_slim_posts(spark, sf))
 
 
 def degree_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,7 +179,7 @@ def _authors(spark: SparkSession, sf: str, posts: DataFrame) -> DataFrame:
 
 
 def author_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    return _authors(spark, sf, _posts(spark, sf))
+    return _authors(spark, sf, _slim_posts(spark, sf))
 
 
 # Features.
