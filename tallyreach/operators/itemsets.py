@@ -9,11 +9,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def column_sets(columns: list[str], max_size: int) -> list[tuple[str, ...]]:
-    """All sets of 1 to ``max_size`` columns; their position is the set id used here."""
-    return [
-        chosen for size in range(1, max_size + 1) for chosen in combinations(columns, size)
+def column_sets(columns: list[str], max_size: int) -> Column:
+    """All sets of 1 to ``max_size`` columns, as arrays of column positions.
+
+    The position of a set in this constant array is the set id used here.
+    """
+    sets = [
+        f"array({', '.join(map(str, chosen))})"
+        for size in range(1, max_size + 1)
+        for chosen in combinations(range(len(columns)), size)
     ]
+    return F.expr(f"array({', '.join(sets)})")
+
+
+def _set_of_row(columns: list[str], max_size: int) -> Column:
+    return F.get(column_sets(columns, max_size), F.col("set_id"))
 
 
 def category_text(df: DataFrame, column: str) -> Column:
@@ -56,78 +66,59 @@ def itemset_counts(
         # would be merged into far too few.
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         combos = combos.repartition(partitions, entity)
-    sets = [
-        F.struct(
-            F.lit(number).alias("set_id"),
-            *[
-                (F.col(chosen[place]) if place < len(chosen) else F.lit(None).cast("string")).alias(
-                    f"value{place}"
-                )
-                for place in range(max_size)
-            ],
-        )
-        for number, chosen in enumerate(column_sets(columns, max_size))
-    ]
     sums = ["_rows", *[f"_joint{i}" for i in range(len(targets))]]
-    spread = combos.select(*who, *sums, F.explode(F.array(*sets)).alias("_item"))
-    item = [F.col(f"_item.{name}").alias(name) for name in _item_names(max_size)]
-    spread = spread.select(*who, *sums, *item)
+    item = ["set_id", *[f"value{place}" for place in range(max_size)]]
+    # A position beyond the end of a set is NULL, and so is the value there.
+    spread = combos.select(
+        *who,
+        *sums,
+        F.array(*columns).alias("_texts"),
+        F.posexplode(column_sets(columns, max_size)).alias("set_id", "_set"),
+    ).select(
+        *who,
+        *sums,
+        "set_id",
+        *[
+            F.get("_texts", F.get("_set", F.lit(place))).alias(f"value{place}")
+            for place in range(max_size)
+        ],
+    )
     totals = [F.sum(name).alias(name) for name in sums]
     if entity is not None:
-        spread = spread.groupBy(entity, *_item_names(max_size)).agg(*totals)
+        spread = spread.groupBy(entity, *item).agg(*totals)
         known = F.col(entity).isNotNull()
         totals.append(F.count_if(known).alias("entities"))
         for i, target in enumerate(targets):
             behind = known & (F.col(f"_joint{i}") > 0)
             totals.append(F.count_if(behind).alias(f"entities_{target}"))
-    counted = spread.groupBy(*_item_names(max_size)).agg(*totals)
-    sizes = F.array(*[F.lit(len(chosen)) for chosen in column_sets(columns, max_size)])
-    result = counted.select(
+    counted = spread.groupBy(*item).agg(*totals)
+    return counted.select(
         "set_id",
-        F.slice(
-            F.array(*[f"value{place}" for place in range(max_size)]),
-            F.lit(1),
-            F.get(sizes, F.col("set_id")),
-        ).alias("values"),
+        F.slice(F.array(*item[1:]), F.lit(1), set_size(columns, max_size)).alias("values"),
         F.col("_rows").alias("antecedent_count"),
         *[F.col(f"_joint{i}").alias(f"joint_{target}") for i, target in enumerate(targets)],
         *([] if entity is None else ["entities", *[f"entities_{target}" for target in targets]]),
     )
-    return result
-
-
-def _item_names(max_size: int) -> list[str]:
-    return ["set_id", *[f"value{place}" for place in range(max_size)]]
 
 
 def set_size(columns: list[str], max_size: int) -> Column:
-    return F.get(
-        F.array(*[F.lit(len(chosen)) for chosen in column_sets(columns, max_size)]),
-        F.col("set_id"),
-    )
+    return F.size(_set_of_row(columns, max_size))
 
 
 def uses_column(columns: list[str], max_size: int, column: str) -> Column:
     """TRUE where the set of a row holds ``column``."""
-    holding = [
-        number
-        for number, chosen in enumerate(column_sets(columns, max_size))
-        if column in chosen
-    ]
-    return F.col("set_id").isin(*holding)
+    place = columns.index(column) if column in columns else -1
+    return F.array_contains(_set_of_row(columns, max_size), place)
 
 
 def antecedent_text(columns: list[str], max_size: int) -> Column:
     """``column=value AND column=value``, with ``missing`` for a missing value."""
-    names = F.array(
-        *[
-            F.array(*[F.lit(name) for name in chosen])
-            for chosen in column_sets(columns, max_size)
-        ]
-    )
+    names = F.lit(list(columns))
     items = F.zip_with(
-        F.get(names, F.col("set_id")),
+        _set_of_row(columns, max_size),
         F.col("values"),
-        lambda name, value: F.concat(name, F.lit("="), F.coalesce(value, F.lit("missing"))),
+        lambda place, value: F.concat(
+            F.get(names, place), F.lit("="), F.coalesce(value, F.lit("missing"))
+        ),
     )
     return F.array_join(items, " AND ")

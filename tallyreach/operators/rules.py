@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tallyreach.operators.itemsets import (
     antecedent_text,
-    column_sets,
     itemset_counts,
     set_size,
     uses_column,
@@ -138,7 +137,7 @@ def category_summary(
     counts = itemset_counts(
         features.filter("analysis_eligible"), names, [target], 1, entity
     )
-    feature = F.get(F.array(*[F.lit(name) for name in names]), F.col("set_id"))
+    feature = F.get(F.lit(names), F.col("set_id"))
     category = F.coalesce(F.get("values", F.lit(0)), F.lit("missing"))
     return (
         counts.select(
@@ -283,18 +282,3 @@ def rule_candidates(
         .withColumn("lift", F.col("confidence") / F.lit(found.baseline(target)))
         .orderBy(F.col("lift").desc(), F.col("support").desc(), "antecedent")
     )
-
-
-__all__ = [
-    "DEFINITIONS",
-    "Population",
-    "RULE_COLUMNS",
-    "RuleLimits",
-    "category_summary",
-    "column_sets",
-    "definition",
-    "mine_rules",
-    "population",
-    "rule_candidates",
-    "rule_counts",
-]

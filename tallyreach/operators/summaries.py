@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,48 +52,48 @@ def column_profile(df: DataFrame, accuracy: int = 10_000) -> DataFrame:
     """One row per column: type, range, distinct count, mean, spread, quartiles and gaps.
 
     A single pass. Distinct counts and quartiles are sketches; all else is exact. Mean and spread
-    are given for numbers only, quartiles for numbers and times.
+    are given for numbers only, quartiles for numbers and times. A wide table gives hundreds of
+    expressions, which are far quicker to hand over as text.
     """
-    total = F.count("*")
-    measures: list[Column] = [total.alias("rows")]
+    measures, lines = ["count(*) AS rows"], []
     for number, field in enumerate(df.schema.fields):
-        column = F.col(f"`{field.name}`")
-        quartiles, mean, spread = (F.lit(None) for _ in range(3))
+        column = f"`{field.name}`"
+        mean = spread = "CAST(NULL AS double)"
+        quartiles = "CAST(NULL AS array<string>)"
         if isinstance(field.dataType, T.NumericType):
-            mean, spread = F.avg(column), F.stddev(column)
-            quartiles = F.percentile_approx(column.cast("double"), [0.25, 0.5, 0.75], accuracy)
+            mean, spread = f"avg({column})", f"stddev({column})"
+            quartiles = _quartiles(f"CAST({column} AS double)", accuracy)
         elif isinstance(field.dataType, T.DatetimeType):
-            quartiles = F.percentile_approx(column, [0.25, 0.5, 0.75], accuracy)
+            quartiles = _quartiles(column, accuracy)
         measures += [
-            F.min(column).cast("string").alias(f"min{number}"),
-            F.max(column).cast("string").alias(f"max{number}"),
-            F.approx_count_distinct(column).alias(f"distinct{number}"),
-            mean.cast("double").alias(f"mean{number}"),
-            spread.cast("double").alias(f"std{number}"),
-            quartiles.cast("array<string>").alias(f"quartiles{number}"),
-            F.count(column).alias(f"present{number}"),
+            f"CAST(min({column}) AS string) AS min{number}",
+            f"CAST(max({column}) AS string) AS max{number}",
+            f"approx_count_distinct({column}) AS distinct{number}",
+            f"CAST({mean} AS double) AS mean{number}",
+            f"CAST({spread} AS double) AS std{number}",
+            f"{quartiles} AS quartiles{number}",
+            f"count({column}) AS present{number}",
         ]
-    lines = [
-        F.struct(
-            F.lit(field.name).alias("column_name"),
-            F.lit(field.dataType.simpleString()).alias("column_type"),
-            F.col(f"min{number}").alias("min"),
-            F.col(f"max{number}").alias("max"),
-            F.col(f"distinct{number}").alias("approx_unique"),
-            F.col(f"mean{number}").alias("avg"),
-            F.col(f"std{number}").alias("std"),
-            F.get(f"quartiles{number}", F.lit(0)).alias("q25"),
-            F.get(f"quartiles{number}", F.lit(1)).alias("q50"),
-            F.get(f"quartiles{number}", F.lit(2)).alias("q75"),
-            F.col("rows").alias("count"),
-            F.when(
-                F.col("rows") > 0,
-                F.round((F.col("rows") - F.col(f"present{number}")) * 100.0 / F.col("rows"), 2),
-            ).alias("null_percentage"),
-        )
-        for number, field in enumerate(df.schema.fields)
-    ]
-    return df.agg(*measures).select(F.inline(F.array(*lines)))
+        parts = {
+            "column_name": f"'{field.name}'",
+            "column_type": f"'{field.dataType.simpleString()}'",
+            "min": f"min{number}",
+            "max": f"max{number}",
+            "approx_unique": f"distinct{number}",
+            "avg": f"mean{number}",
+            "std": f"std{number}",
+            "q25": f"quartiles{number}[0]",
+            "q50": f"quartiles{number}[1]",
+            "q75": f"quartiles{number}[2]",
+            "count": "rows",
+            "null_percentage": f"round((rows - present{number}) * 100D / nullif(rows, 0), 2)",
+        }
+        lines.append(f"named_struct({', '.join(f'{k!r}, {v}' for k, v in parts.items())})")
+    return df.selectExpr(*measures).selectExpr(f"inline(array({', '.join(lines)}))")
+
+
+def _quartiles(value: str, accuracy: int) -> str:
+    return f"CAST(percentile_approx({value}, array(0.25, 0.5, 0.75), {accuracy}) AS array<string>)"
 
 
 def capped_histogram(

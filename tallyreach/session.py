@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Lets one task keep a writer open for clean and for rejected rows, instead of sorting them.
     "spark.sql.maxConcurrentOutputFileWriters": "4",
+    # Recording the Python line of every column expression takes longer than building it.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
