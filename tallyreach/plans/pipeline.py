@@ -107,14 +107,15 @@ def preprocess(spark: SparkSession, settings: Settings, force: bool = False) ->
     }
     storage.require_paths(spark, [path for group in paths.values() for path in group])
     for name, spec in settings.tables.items():
-        if force or not storage.is_complete(spark, settings.clean(name)):
+        absent = not storage.is_complete(spark, settings.clean(name))
+        if force or absent:
             lines = delimited.read_lines(spark, paths[name])
             storage.write_parquet(
                 delimited.sorted_out(lines, spec), settings.clean(name), ("rejected",)
             )
-            storage.write_lines(
-                rejected_rows(spark, settings, name), settings.quality(f"csv_rejects/{name}")
-            )
+        rejects = settings.quality(f"csv_rejects/{name}")
+        if force or absent or not storage.is_complete(spark, rejects):
+            storage.write_lines(rejected_rows(spark, settings, name), rejects)
     storage.write_report(
         quality_report(spark, settings), settings.quality("preprocessing_summary")
     )

@@ -30,9 +30,10 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     A line ends at a newline; a carriage return before it is dropped, any other one is data.
     """
+    line = F.col("value")
+    bare = F.when(line.endswith("\r"), F.left(line, F.length(line) - 1)).otherwise(line)
     return spark.read.option("lineSep", "\n").text(paths).select(
-        F.regexp_replace("value", "\r$", "").alias("value"),
-        F.col("_metadata.file_path").alias("source_file"),
+        bare.alias("value"), F.col("_metadata.file_path").alias("source_file")
     )
 
 
@@ -50,10 +51,13 @@ def field_count(delimiter: str) -> Column:
 
 
 def parse(lines: DataFrame, names: list[str], delimiter: str) -> DataFrame:
-    """Lines with the expected number of fields as raw text columns, null tokens as NULL."""
+    """Well-formed lines as raw text columns, null tokens as NULL.
+
+    A line is well formed when it is valid UTF-8 and has the expected number of fields.
+    """
     return (
         split_lines(lines, delimiter)
-        .filter(F.size("fields") == len(names))
+        .filter(_well_formed(F.size("fields"), len(names)))
         .select(
             *[null_tokens(F.get("fields", F.lit(i))).alias(name) for i, name in enumerate(names)],
             "source_file",
@@ -62,14 +66,14 @@ def parse(lines: DataFrame, names: list[str], delimiter: str) -> DataFrame:
 
 
 def rejects(lines: DataFrame, expected: int, delimiter: str) -> DataFrame:
-    """Lines with any other number of fields, whole, and what is wrong with them. None is dropped."""
+    """All other lines, whole, and what is wrong with them. None is dropped."""
     return (
         lines.filter(F.col("value") != "")
         .withColumn("field_count", field_count(delimiter))
-        .filter(F.col("field_count") != expected)
+        .filter(~_well_formed(F.col("field_count"), expected))
         .select(
             "source_file",
-            F.col("value").alias("raw_line"),
+            F.make_valid_utf8("value").alias("raw_line"),
             "field_count",
             F.lit(expected).alias("expected_count"),
             _error_type(F.col("field_count"), expected).alias("error_type"),
@@ -77,8 +81,16 @@ def rejects(lines: DataFrame, expected: int, delimiter: str) -> DataFrame:
     )
 
 
+def _well_formed(count: Column, expected: int) -> Column:
+    return (count == expected) & F.is_valid_utf8("value")
+
+
 def _error_type(count: Column, expected: int) -> Column:
-    return F.when(count < expected, "MISSING COLUMNS").otherwise("TOO MANY COLUMNS")
+    return (
+        F.when(~F.is_valid_utf8("value"), "INVALID ENCODING")
+        .when(count < expected, "MISSING COLUMNS")
+        .otherwise("TOO MANY COLUMNS")
+    )
 
 
 def typed(raw: DataFrame, spec: TableSpec) -> DataFrame:
@@ -104,14 +116,14 @@ def sorted_out(lines: DataFrame, spec: TableSpec) -> DataFrame:
     """
     names = [field.name for field in spec.fields]
     fields = F.col("fields")
-    matches = F.size(fields) == len(names)
+    matches = _well_formed(F.size(fields), len(names))
     raw = split_lines(lines, spec.delimiter).select(
         *[
             F.when(matches, null_tokens(F.get(fields, F.lit(i)))).alias(name)
             for i, name in enumerate(names)
         ],
         "source_file",
-        F.when(~matches, F.col("value")).alias("raw_line"),
+        F.when(~matches, F.make_valid_utf8("value")).alias("raw_line"),
         F.when(~matches, F.size(fields)).alias("field_count"),
         F.when(~matches, F.lit(len(names))).alias("expected_count"),
         F.when(~matches, _error_type(F.size(fields), len(names))).alias("error_type"),

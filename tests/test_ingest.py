@@ -88,6 +88,20 @@ def test_one_pass_gives_the_same_rows(spark, raw, tmp_path):
     assert stored.count() == non_empty
 
 
+def test_lines_that_are_not_utf8_are_rejected(spark, tmp_path):
+    path = tmp_path / "bad.csv"
+    path.write_bytes(b"a\t1\tx\nb\t\xff\xfe\ty\r\nc\t2\n\xc3(\t1\t2\nd\t\xc3\xa9\tz\n")
+    lines = delimited.read_lines(spark, [str(path)])
+    good = delimited.parse(lines, list("abc"), "\t").collect()
+    assert [tuple(row)[:3] for row in good] == [("a", "1", "x"), ("d", "é", "z")]
+    bad = delimited.rejects(lines, 3, "\t").collect()
+    kinds = [(row["field_count"], row["error_type"]) for row in bad]
+    assert kinds == [(3, "INVALID ENCODING"), (2, "MISSING COLUMNS"), (3, "INVALID ENCODING")]
+    stored = delimited.sorted_out(lines, SPEC).filter("rejected = 1").collect()
+    assert [(row["field_count"], row["error_type"]) for row in stored] == kinds
+    assert [row["raw_line"] for row in stored] == [row["raw_line"] for row in bad]
+
+
 def test_missing_inputs_are_all_named(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="(?s)one.*two"):
         storage.require_paths(spark, [f"{tmp_path}/one", str(tmp_path), f"{tmp_path}/two"])
