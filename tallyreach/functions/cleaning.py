@@ -61,7 +61,7 @@ def to_double(text: Column) -> Column:
 
 def to_int(text: Column) -> Column:
     """The number in ``text`` rounded half away from zero, or NULL when out of range."""
-    return F.coalesce(text.try_cast("int"), F.round(to_double(text)).try_cast("int"))
+    return F.round(to_double(text)).try_cast("int")
 
 
 def to_timestamp(text: Column) -> Column:

@@ -10,6 +10,8 @@ from tallyreach.functions.cleaning import blank_to_null
 # How many categories are kept by default, and the name of all others.
 TOP_CATEGORIES = 20
 OTHER = "Other"
+# Up to this many kept categories they are broadcast; beyond it Spark decides by size.
+BROADCAST_CATEGORIES = 10_000
 
 
 def named_category(category: Column, default: str) -> Column:
@@ -28,15 +30,24 @@ def top_categories(df: DataFrame, column: str, k: int = TOP_CATEGORIES) -> DataF
 
 
 def with_category_group(
-    df: DataFrame, column: str, top: DataFrame, group: str, other: str = OTHER
+    df: DataFrame,
+    column: str,
+    group: str,
+    k: int = TOP_CATEGORIES,
+    other: str = OTHER,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``group``: the category where it is one of ``top``, else ``other``.
+    """Add ``group``: the category where it is one of the ``k`` most frequent, else ``other``.
 
-    ``top`` comes from :func:`top_categories`, so its k rows bound the broadcast.
+    Frequencies are those in ``counted``, by default ``df`` itself; give the table that ``df`` was
+    derived from where that is cheaper to read.
     """
+    top = top_categories(df if counted is None else counted, column, k)
     names = top.select(F.col(column).alias("_top_name"))
+    if k <= BROADCAST_CATEGORIES:
+        names = F.broadcast(names)
     return (
-        df.join(F.broadcast(names), F.col(column) == F.col("_top_name"), "left")
+        df.join(names, F.col(column) == F.col("_top_name"), "left")
         .withColumn(group, F.coalesce(F.col("_top_name"), F.lit(other)))
         .drop("_top_name")
     )

@@ -9,7 +9,6 @@ from tallyreach.functions import bands, text, time
 from tallyreach.operators.categories import (
     TOP_CATEGORIES,
     named_category,
-    top_categories,
     with_category_group,
 )
 from tallyreach.operators.dedup import first_per_key
@@ -70,8 +69,9 @@ def post_features(
         "network_snapshot_available",
     )
     joined = lookup_join(engaged, profile, "author_id", hot)
-    top = top_categories(engaged, "source_name", top_sources)
-    grouped = with_category_group(joined, "source_name", top, "source_group")
+    grouped = with_category_group(
+        joined, "source_name", "source_group", top_sources, counted=engaged
+    )
     zero = F.lit(0).cast("bigint")
     posted_at = F.col("posted_at")
     followers = F.col("follower_count")

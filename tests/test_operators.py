@@ -173,7 +173,7 @@ def test_top_categories_ties_by_name(spark):
     rows = spark.createDataFrame([(c,) for c in "bbaaccd"], "c string")
     top = top_categories(rows, "c", 2)
     assert [row["c"] for row in top.collect()] == ["a", "b"]
-    grouped = with_category_group(rows, "c", top, "g").groupBy("g").count().collect()
+    grouped = with_category_group(rows, "c", "g", 2).groupBy("g").count().collect()
     assert {row["g"]: row["count"] for row in grouped} == {"a": 2, "b": 2, "Other": 3}
     assert top_categories(rows, "c", 0).count() == 1
 
@@ -277,6 +277,21 @@ def test_itemsets_equal_naive_counts(spark, max_size):
     assert spark_rows(plain.select(shared)) == spark_rows(counts.select(shared))
 
 
+def test_engagement_shuffles_posts_and_reactions_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        query = queries.post_engagement(spark, SF)
+        plan = query._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(post_id") == plan.count("Exchange") == 2
+    # Neither the text nor any reaction column beyond key, time and kind is read.
+    assert "ReadSchema: struct<l_orderkey:bigint,l_returnflag:string,l_shipdate:timestamp_ntz>" in (
+        query._jdf.queryExecution().toString()
+    )
+    assert "o_totalprice" not in plan
+
+
 def test_items_do_not_shuffle_with_their_entity(spark):
     rows = queries.table(spark, SF, "orders").withColumn("hit", F.col("o_totalprice") > 0)
     counts = itemset_counts(rows, ["o_orderstatus", "o_orderpriority"], ["hit"], 2, "o_custkey")

@@ -16,7 +16,6 @@ from tallyreach.operators import labels as label_ops
 from tallyreach.operators import rules as rule_ops
 from tallyreach.operators import sensitivity as sensitivity_ops
 from tallyreach.operators import summaries
-from tallyreach.operators.categories import top_categories as most_frequent
 from tallyreach.operators.categories import with_category_group
 from tallyreach.operators.dedup import first_per_key as first_row
 from tallyreach.operators.quality import quality_row
@@ -245,8 +244,7 @@ def band_names(spark: SparkSession, sf: str) -> DataFrame:
 
 def top_categories(spark: SparkSession, sf: str) -> DataFrame:
     documents = table(spark, sf, "documents").select("doc_id", "source")
-    top = most_frequent(documents, "source", 7)
-    return with_category_group(documents, "source", top, "source_group")
+    return with_category_group(documents, "source", "source_group", 7)
 
 
 # Later queries read what earlier steps stored, as the steps of the pipeline do. A stored table is
