@@ -15,11 +15,20 @@ LINK = r"https?://"
 
 def strip_tags(text: Column) -> Column:
     """Replace every tag by one space; a missing text becomes the empty text."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), TAG, " ")
+    known = F.coalesce(text, F.lit(""))
+    return F.when(known.contains("<"), F.regexp_replace(known, TAG, " ")).otherwise(known)
 
 
-def occurrences(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("bigint")
+def occurrences(text: Column, pattern: str, holding: str | None = None) -> Column:
+    """Number of matches.
+
+    ``holding`` is a text that every match holds; looking for it first is far quicker than trying
+    a pattern that is not there.
+    """
+    count = F.regexp_count(text, F.lit(pattern))
+    if holding is not None:
+        count = F.when(text.contains(holding), count).when(text.isNotNull(), 0)
+    return count.cast("bigint")
 
 
 def text_measures(visible: Column) -> dict[str, Column]:
@@ -27,6 +36,6 @@ def text_measures(visible: Column) -> dict[str, Column]:
     return {
         "character_count": F.length(visible).cast("bigint"),
         "word_count": occurrences(visible, WORD),
-        "hashtag_count": occurrences(visible, HASHTAG),
-        "url_count": occurrences(visible, LINK),
+        "hashtag_count": occurrences(visible, HASHTAG, "#"),
+        "url_count": occurrences(visible, LINK, "http"),
     }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyreach.functions.time import in_window, moment, within
 from tallyreach.operators.hotkeys import HOT_ROWS, hot_keys, only_keys, without_keys
+from tallyreach.sources.storage import scratch_table
 
 COUNT_COLUMNS = (
     "has_full_7d_window",
@@ -55,6 +56,8 @@ def windowed_counts(
     if hot is None:
         counted = _count(items.join(stacked, key, "left"), items.columns, kinds, opened_at, window)
     else:
+        # Both routes read the items, which may be costly to derive.
+        items = scratch_table(items, "items")
         usual = without_keys(items, hot, key).join(without_keys(stacked, hot, key), key, "left")
         few = F.broadcast(only_keys(items, hot, key))
         busy = only_keys(stacked, hot, key).join(few, key)
