@@ -7,6 +7,9 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Monday first.
+WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
+
 
 def moment(value: str | datetime) -> Column:
     """A ``timestamp_ntz`` literal."""
@@ -34,7 +37,8 @@ def iso_weekday(time: Column) -> Column:
 
 
 def weekday_name(time: Column) -> Column:
-    return F.date_format(time, "EEEE")
+    """The English name, whatever the locale and time zone of the session."""
+    return F.get(F.lit(list(WEEKDAYS)), F.weekday(time))
 
 
 def is_weekend(time: Column) -> Column:

@@ -122,9 +122,15 @@ def test_bands(spark, which, numbers, names):
     assert values(spark, numbers, which.of, "int") == names.split()
 
 
-def test_calendar(spark):
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Tokyo"])
+def test_calendar_does_not_depend_on_the_zone(spark, zone, request):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.session.timeZone", "UTC"))
     days = [datetime(2010, 8, 1, 23, 59), datetime(2010, 8, 2), datetime(2010, 8, 7), None]
     kind = "timestamp_ntz"
+    assert values(spark, ["2010-08-01 23:30:00+05:00"], to_timestamp) == [
+        datetime(2010, 8, 1, 23, 30)
+    ]
     assert values(spark, days, time.iso_weekday, kind) == [7, 1, 6, None]
     assert values(spark, days, time.is_weekend, kind) == [True, False, True, None]
     assert values(spark, days, time.weekday_name, kind) == ["Sunday", "Monday", "Saturday", None]
