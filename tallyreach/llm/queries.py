@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallyreach.llm import decontamination, line_dedup, near_dedup, packing, token_files
+from tallyreach.llm import decontamination, line_dedup, near_dedup, packing, quality, token_files
 
 QUERIES = {
     "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
+    "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_token_files": token_files.op8_token_files,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
