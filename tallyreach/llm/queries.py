@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallyreach.llm import decontamination, line_dedup, near_dedup, packing, quality, spotsigs, token_files
+from tallyreach.llm import decontamination, line_dedup, near_dedup, packing, personal_data, quality, spotsigs, token_files
 
 QUERIES = {
     "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
+    "op5_personal_data": personal_data.op5_personal_data,
     "op6_spotsigs": spotsigs.op6_spotsigs,
     "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_token_files": token_files.op8_token_files,
