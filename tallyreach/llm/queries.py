@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallyreach.llm import decontamination, language, line_dedup, near_dedup, packing, personal_data, quality, spotsigs, token_files
+from tallyreach.llm import decontamination, katz, language, line_dedup, near_dedup, packing, personal_data, quality, spotsigs, token_files
 
 QUERIES = {
     "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
     "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
+    "op3_katz_backoff": katz.op3_katz_backoff,
     "op4_language_id": language.op4_language_id,
     "op5_personal_data": personal_data.op5_personal_data,
     "op6_spotsigs": spotsigs.op6_spotsigs,
