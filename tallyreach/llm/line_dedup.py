@@ -190,6 +190,25 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFram
     return rows.mapInArrow(_kept_text, schema).drop("keep")
 
 
+def with_lines_dropped(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """The rows of ``docs`` with all their columns, repeated lines dropped from the text.
+
+    ``n_chars`` is counted anew where there is such a column. A NULL text stays NULL.
+    """
+    bitmaps = keep_bitmaps(docs, min_chars).select(
+        F.col("doc").alias("doc of keep"), F.col("row").alias("row of keep"), "keep"
+    )
+    text = F.coalesce("text", F.lit(""))
+    marked = docs.withColumns(
+        {"doc of keep": F.coalesce("doc_id", F.lit(NO_ID)), "row of keep": F.xxhash64(text)}
+    ).join(bitmaps, ["doc of keep", "row of keep"], "left")
+    rows = marked.select(*[f"`{name}`" for name in docs.columns], "keep")
+    kept = rows.mapInArrow(_kept_text, rows.schema).drop("keep")
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*[f"`{name}`" for name in docs.columns])
+
+
 def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return drop_repeated_lines(documents(spark, sf)).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +22,20 @@ from tallyreach.llm.tokens import chunks
 
 BUCKETS = 1 << 18
 ORDERS = (1, 2, 3)
+MOST_REPEATS = 8
 FOLDS, HELD_OUT = 4, 2
 # Labelled rows of each class that the model is fitted to at most.
 MOST_ROWS = 1500
 ACCEPT = 0.7
+COST = 1.0
 
 
 def indicators(text: str) -> np.ndarray:
     """Buckets of the character n-grams of a text, each once, in ascending order.
 
     Letters count as one of two (small or capital) in n-grams of order 2 and more: what words a text is
-    made of should not matter to them, but how it is set. Order 1 keeps every character.
+    made of should not matter to them, but how it is set. Order 1 keeps every character. Word
+    n-grams from triples on count where they repeat one word.
     """
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     shapes = _SHAPES[np.minimum(codes, len(_SHAPES) - 1).astype(np.int64)]
@@ -42,6 +46,9 @@ def indicators(text: str) -> np.ndarray:
             break
         total = total[:-1] * np.uint64(1 << 21) + shapes[order - 1 :]
         found.append(np.unique(total) + np.uint64(order << 60))
+    # The same word three to eight times is an n-gram for each of these lengths, whatever the word.
+    longest = max((len(list(run)) for _, run in groupby(text.split())), default=0)
+    found.append(np.arange(3, min(longest, MOST_REPEATS) + 1, dtype=np.uint64) + np.uint64(4 << 60))
     return np.unique(mix(np.concatenate(found)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
@@ -88,28 +95,26 @@ def dual_coordinate_descent(
     rows: list[np.ndarray],
     labels: np.ndarray,
     scale: np.ndarray,
-    cost: float = 1.0,
+    costs: np.ndarray,
     passes: int = 30,
     tolerance: float = 1e-3,
 ) -> tuple[np.ndarray, float]:
     """Weights and offset of the linear hinge-loss model of the scaled indicators.
 
-    Each step changes one row's dual variable to the best value between 0 and its class's cost, which
-    is the higher the rarer the class. The offset is the weight of a feature that every row has.
+    Each step changes one row's dual variable to the best value between 0 and the row's cost. The
+    offset is the weight of a feature that every row has.
     """
     weights, offset = np.zeros(len(scale)), 0.0
     norms = [1 / np.sqrt(max(len(row), 1)) for row in rows]
     values = [scale[row] * norm for row, norm in zip(rows, norms)]
     squares = np.array([float(v @ v) + 1 for v in values])
-    share = np.array([np.mean(labels == label) for label in labels])
-    bound = cost * 0.5 / share
     dual = np.zeros(len(rows))
     order = np.random.default_rng(0)
     for _ in range(passes):
         largest = 0.0
         for i in order.permutation(len(rows)):
             gradient = labels[i] * (float(weights[rows[i]] @ values[i]) + offset) - 1
-            new = min(max(dual[i] - gradient / squares[i], 0.0), bound[i])
+            new = min(max(dual[i] - gradient / squares[i], 0.0), costs[i])
             change = (new - dual[i]) * labels[i]
             if change:
                 weights[rows[i]] += change * values[i]
@@ -121,16 +126,20 @@ def dual_coordinate_descent(
     return weights, offset
 
 
-def logistic_curve(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and shift that make margins probabilities of label 1, by Newton's method."""
+def logistic_curve(margins: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """Slope and shift that make margins probabilities of label 1, by Newton's method.
+
+    ``weights`` say how many labelled rows each of these stands for.
+    """
     good, bad = (labels > 0).sum(), (labels < 0).sum()
     target = np.where(labels > 0, (good + 1) / (good + 2), 1 / (bad + 2))
+    weights = weights / weights.mean()
     inputs = np.stack([margins, np.ones(len(margins))], axis=1)
     chosen = np.array([1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(inputs @ chosen, -35, 35)))
-        gradient = inputs.T @ (p - target) + 1e-3 * chosen
-        curvature = (inputs * (p * (1 - p) + 1e-6)[:, None]).T @ inputs + 1e-3 * np.eye(2)
+        gradient = inputs.T @ (weights * (p - target)) + 1e-3 * chosen
+        curvature = (inputs * (weights * p * (1 - p) + 1e-6)[:, None]).T @ inputs + 1e-3 * np.eye(2)
         step = np.linalg.solve(curvature, gradient)
         chosen = chosen - step * min(1.0, 2 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-6:
@@ -138,14 +147,18 @@ def logistic_curve(margins: np.ndarray, labels: np.ndarray) -> tuple[float, floa
     return float(chosen[0]), float(chosen[1])
 
 
-def fit(all_texts: list[str], quality: list[int]) -> QualityModel:
-    """A model of labelled texts. Without both classes every score is the share of label 1."""
+def fit(all_texts: list[str], quality: list[int], weights_of: dict[int, float] | None = None) -> QualityModel:
+    """A model of labelled texts. Without both classes every score is the share of label 1.
+
+    ``weights_of`` says for each label how many rows a text with it stands for.
+    """
     labels = np.where(np.array(quality, int) == 1, 1, -1)
+    stands_for = np.array([(weights_of or {}).get(q, 1.0) for q in quality])
     if len(set(labels.tolist())) < 2:
         share = 0.5 if not len(labels) else float(np.clip((labels > 0).mean(), 0.01, 0.99))
         return QualityModel(np.zeros(BUCKETS), 0.0, 1.0, float(np.log(share / (1 - share))))
     rows = [indicators(text) for text in all_texts]
-    margins = np.zeros(len(rows))
+    margins, costs = np.zeros(len(rows)), COST * stands_for / stands_for.mean()
     thirds = np.arange(len(rows)) % 3
     for third in range(3):  # margins of rows that a model has not seen
         seen, other = np.flatnonzero(thirds != third), np.flatnonzero(thirds == third)
@@ -153,23 +166,33 @@ def fit(all_texts: list[str], quality: list[int]) -> QualityModel:
             seen = np.arange(len(rows))
         part = [rows[i] for i in seen]
         scale = log_count_ratio(part, labels[seen])
-        weights, offset = dual_coordinate_descent(part, labels[seen], scale)
+        weights, offset = dual_coordinate_descent(part, labels[seen], scale, costs[seen])
         scaled = weights * scale
         margins[other] = [
             scaled[rows[i]].sum() / np.sqrt(max(len(rows[i]), 1)) + offset for i in other
         ]
     scale = log_count_ratio(rows, labels)
-    weights, offset = dual_coordinate_descent(rows, labels, scale)
-    return QualityModel(weights * scale, offset, *logistic_curve(margins, labels))
+    weights, offset = dual_coordinate_descent(rows, labels, scale, costs)
+    return QualityModel(weights * scale, offset, *logistic_curve(margins, labels, stands_for))
+
+
+def training_labels(labels: DataFrame) -> DataFrame:
+    """The distinct labels that may be learned from."""
+    return labels.select("doc_id", "quality").filter(
+        F.col("quality").isin(0, 1)
+        & F.col("doc_id").isNotNull()
+        & (fold(F.col("doc_id"), FOLDS) != HELD_OUT)
+    ).distinct()
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     """text and quality of at most ``most_rows`` training documents of each class, drawn by a hash."""
-    rows = labels.select("doc_id", "quality").filter(
-        F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    )
     drawn = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.distinct().withColumn("nth", F.row_number().over(drawn)).filter(F.col("nth") <= most_rows)
+    ids = (
+        training_labels(labels)
+        .withColumn("nth", F.row_number().over(drawn))
+        .filter(F.col("nth") <= most_rows)
+    )
     # At most two times most_rows rows.
     return texts(docs).join(F.broadcast(ids.select("doc_id", "quality")), "doc_id").select(
         "text", "quality", F.xxhash64("doc_id", "text").alias("place")
@@ -177,11 +200,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_RO
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> QualityModel:
-    """Fit the model to the bounded sample of ``labelled_sample``."""
+    """Fit the model to the bounded sample of ``labelled_sample``.
+
+    Its scores are chances under the shares that the classes have among all training labels.
+    """
     rows = sorted(
         labelled_sample(docs, labels, most_rows).collect(), key=lambda r: (r["place"], r["text"])
     )
-    return fit([row["text"] for row in rows], [row["quality"] for row in rows])
+    quality = [row["quality"] for row in rows]
+    sizes = dict(training_labels(labels).groupBy("quality").count().collect())
+    weights_of = {label: sizes[label] / quality.count(label) for label in set(quality)}
+    return fit([row["text"] for row in rows], quality, weights_of)
 
 
 def _scored(model: QualityModel):
