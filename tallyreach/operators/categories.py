@@ -10,8 +10,6 @@ from tallyreach.functions.cleaning import blank_to_null
 # How many categories are kept by default, and the name of all others.
 TOP_CATEGORIES = 20
 OTHER = "Other"
-# Up to this many kept categories they are broadcast; beyond it Spark decides by size.
-BROADCAST_CATEGORIES = 10_000
 
 
 def named_category(category: Column, default: str) -> Column:
@@ -44,8 +42,6 @@ def with_category_group(
     """
     top = top_categories(df if counted is None else counted, column, k)
     names = top.select(F.col(column).alias("_top_name"))
-    if k <= BROADCAST_CATEGORIES:
-        names = F.broadcast(names)
     return (
         df.join(names, F.col(column) == F.col("_top_name"), "left")
         .withColumn(group, F.coalesce(F.col("_top_name"), F.lit(other)))

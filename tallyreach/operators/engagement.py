@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyreach.functions.time import in_window, moment, within
-from tallyreach.operators.hotkeys import HOT_ROWS, hot_keys, only_keys, without_keys
-from tallyreach.sources.storage import scratch_table
 
 COUNT_COLUMNS = (
     "has_full_7d_window",
@@ -29,7 +27,6 @@ def windowed_counts(
     opened_at: str,
     window: timedelta,
     window_name: str = "7d",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """All rows of ``items``, one per key, with counts of the reactions to each.
 
@@ -37,8 +34,8 @@ def windowed_counts(
     ``<kind>_count_recorded``, all reactions, and ``<kind>_count_<window_name>``, those in
     ``[opened_at, opened_at + window)``; ``engagement_count_<window_name>`` sums the latter.
 
-    All kinds are stacked, so they shuffle and join once, and the join already leaves the rows
-    where the counts are taken. Pass only the item columns that the result should carry.
+    All kinds are stacked, so they shuffle and join once, with the keys and times of the items alone.
+    A key may hold any share of the reactions. Pass only the item columns that the result should carry.
     """
     kinds = list(reactions)
     stacked = reduce(
@@ -52,36 +49,27 @@ def windowed_counts(
             for number, (frame, frame_key, time) in enumerate(reactions.values())
         ],
     )
-    hot = hot_keys(stacked, key, hot_rows)
-    if hot is None:
-        counted = _count(items.join(stacked, key, "left"), items.columns, kinds, opened_at, window)
-    else:
-        # Both routes read the items, which may be costly to derive.
-        items = scratch_table(items, "items")
-        usual = without_keys(items, hot, key).join(without_keys(stacked, hot, key), key, "left")
-        few = F.broadcast(only_keys(items, hot, key))
-        busy = only_keys(stacked, hot, key).join(few, key)
-        counted = _count(usual, items.columns, kinds, opened_at, window).unionByName(
-            _count(busy, items.columns, kinds, opened_at, window)
-        )
-    recorded = [F.col(f"_all_{kind}").alias(f"{kind}_count_recorded") for kind in kinds]
-    inside = [F.col(f"_in_{kind}").alias(f"{kind}_count_{window_name}") for kind in kinds]
-    total = reduce(lambda a, b: a + b, [F.col(f"_in_{kind}") for kind in kinds])
-    return counted.select(
-        *items.columns, *recorded, *inside, total.alias(f"engagement_count_{window_name}")
-    )
-
-
-def _count(
-    joined: DataFrame, carried: list[str], kinds: list[str], opened_at: str, window: timedelta
-) -> DataFrame:
+    # Reactions meet the items in an inner join, whose hot partitions Spark can split, and are counted
+    # where they are. The struct keeps Spark from counting each key in the one task that joined it.
     inside = within(F.col("_time"), F.col(opened_at), window)
     counts = []
     for number, kind in enumerate(kinds):
         of_kind = F.col("_kind") == number
         counts.append(F.count_if(of_kind).alias(f"_all_{kind}"))
         counts.append(F.count_if(of_kind & inside).alias(f"_in_{kind}"))
-    return joined.groupBy(*carried).agg(*counts)
+    counted = (
+        stacked.join(items.select(key, opened_at), key)
+        .groupBy(F.struct(key).alias("_of"))
+        .agg(*counts)
+        .select(F.col(f"_of.{key}").alias(key), *[F.col(f"_{n}_{kind}") for kind in kinds for n in ("all", "in")])
+    )
+    counted = items.join(counted, key, "left").fillna(0, [f"_{n}_{kind}" for kind in kinds for n in ("all", "in")])
+    recorded = [F.col(f"_all_{kind}").alias(f"{kind}_count_recorded") for kind in kinds]
+    inside = [F.col(f"_in_{kind}").alias(f"{kind}_count_{window_name}") for kind in kinds]
+    total = reduce(lambda a, b: a + b, [F.col(f"_in_{kind}") for kind in kinds])
+    return counted.select(
+        *items.columns, *recorded, *inside, total.alias(f"engagement_count_{window_name}")
+    )
 
 
 def engaged_posts(
@@ -91,7 +79,6 @@ def engaged_posts(
     study_start: str,
     study_end: str,
     window: timedelta = timedelta(days=7),
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Every unique post, all columns, with its comment and like counts.
 
@@ -110,7 +97,6 @@ def engaged_posts(
         key="post_id",
         opened_at="posted_at",
         window=window,
-        hot_rows=hot_rows,
     )
     covered = in_window(
         F.col("posted_at"), moment(study_start), moment(study_end) - F.lit(window)

@@ -12,7 +12,6 @@ from tallyreach.operators.categories import (
     with_category_group,
 )
 from tallyreach.operators.dedup import first_per_key
-from tallyreach.operators.hotkeys import HOT_ROWS, MOST_KEYS, key_list, lookup_join
 
 
 def unique_posts(entries: DataFrame, default_source: str) -> DataFrame:
@@ -40,21 +39,12 @@ def post_features(
     engaged: DataFrame,
     authors: DataFrame,
     top_sources: int = TOP_CATEGORIES,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join unique posts with their engagement to their authors, and derive the features.
 
-    The number of posts is already known per author, so the authors with very many posts, whose
-    rows must not meet in one task, are read off ``authors``.
+    The posts are the outer side of the join and nothing is grouped after it, so Spark splits the
+    partition of an author with very many posts.
     """
-    busiest = (
-        authors.filter(F.col("post_count") >= hot_rows)
-        .orderBy(F.col("post_count").desc(), "author_id")
-        .limit(MOST_KEYS)
-        .select("author_id")
-        .collect()
-    )
-    hot = key_list(authors, "author_id", [row["author_id"] for row in busiest])
     profile = authors.select(
         "author_id",
         "user_type",
@@ -68,7 +58,7 @@ def post_features(
         "new_follower_count",
         "network_snapshot_available",
     )
-    joined = lookup_join(engaged, profile, "author_id", hot)
+    joined = engaged.join(profile, "author_id", "left")
     grouped = with_category_group(
         joined, "source_name", "source_group", top_sources, counted=engaged
     )

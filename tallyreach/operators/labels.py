@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyreach.operators.quantiles import ACCURACY, Quantile, exact_quantiles
+from tallyreach.operators.quantiles import Quantile, exact_quantiles
 
 # Fixed value: the percentile above which a post counts as highly engaging.
 HIGH_QUANTILE = 0.99
@@ -18,9 +18,7 @@ def check_quantile(quantile: float) -> float:
     return quantile
 
 
-def thresholds(
-    features: DataFrame, quantile: float = HIGH_QUANTILE, accuracy: int = ACCURACY
-) -> DataFrame:
+def thresholds(features: DataFrame, quantile: float = HIGH_QUANTILE) -> DataFrame:
     """One row: ``raw_threshold`` and ``reach_threshold`` over the eligible rows.
 
     The raw one is the nearest-rank quantile of the engagement count, at least 1. The other is
@@ -39,13 +37,12 @@ def thresholds(
                 "reach_adjusted_engagement",
                 quantile,
                 interpolate=True,
-                where="reach_adjusted_engagement > 0",
+                above=0.0,
             ),
         ],
-        accuracy,
     )
     return found.select(
-        F.greatest(F.lit(1).cast("bigint"), F.coalesce("raw", F.lit(0.0)).cast("bigint")).alias(
+        F.greatest(F.lit(1).cast("bigint"), F.coalesce("raw", F.lit(0).cast("bigint"))).alias(
             "raw_threshold"
         ),
         F.greatest(F.lit(0.0), F.coalesce("reach", F.lit(0.0))).alias("reach_threshold"),

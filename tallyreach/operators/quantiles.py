@@ -1,27 +1,24 @@
-"""Exact quantiles without sorting or holding a whole column anywhere.
+"""Exact quantiles without sorting, sketching or holding a column anywhere.
 
-A first pass sketches each column and so learns, for every wanted quantile, a narrow range of
-values that should hold it. The second pass counts: rows outside those ranges collapse to one
-count per gap, rows inside to one count per value, both before the shuffle. A running total over
-that short histogram then finds the exact value at the exact rank.
-Should a rank fall outside the ranges after all, the query fails rather than return a near value.
+Values are counted by bucket, first on a logarithmic scale, with the smallest and the largest value of
+each bucket. The bucket that holds a wanted rank is found from the counts, and is cut into finer
+buckets by the next pass, until it holds a single value. Buckets are counted before they shuffle, so
+every pass moves a bounded number of rows, whatever the size of the table, and no rank can be missed.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from fractions import Fraction
-from math import ceil, floor
+from math import ceil, floor, isfinite
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Relative accuracy of the sketch, as a row count to which one row of error belongs. Columns with
-# at most this many values skip the narrowing.
-ACCURACY = 100_000
-# Rows of error, in units of the accuracy, that the ranges allow for. Merged sketches may be off by
-# up to two.
-MARGIN = 4.0
+# Buckets in a factor of two of the first pass, and buckets that later passes cut one into.
+STEPS_PER_OCTAVE = 64
+BUCKETS = 4096
 
 
 @dataclass(frozen=True)
@@ -29,126 +26,165 @@ class Quantile:
     """One wanted value: ``name`` of the result column, source ``column``, and ``fraction``.
 
     ``interpolate`` asks for the value between two ranks, as opposed to the nearest rank, an
-    element of the data. ``where`` restricts the rows.
+    element of the data. ``above`` restricts the rows to larger values.
     """
 
     name: str
     column: str
     fraction: float
     interpolate: bool = False
-    where: str | None = None
+    above: float | None = None
 
 
-def exact_quantiles(
-    df: DataFrame, wanted: list[Quantile], accuracy: int = ACCURACY
-) -> DataFrame:
-    """A single row with one double per wanted quantile, NULL where no row qualifies.
+@dataclass(frozen=True)
+class _Bucket:
+    """Rows of a source from ``low`` to ``high``; ``before`` rows of it are smaller."""
+
+    low: object
+    high: object
+    before: int
+    rows: int
+
+
+def exact_quantiles(df: DataFrame, wanted: list[Quantile]) -> DataFrame:
+    """A single row with one column per wanted quantile, NULL where no row qualifies.
 
-    Reads only the columns named, twice; the first pass runs when this is called and brings back
-    one row. Missing values do not count.
+    An element of an integer column is a bigint, all else a double. Missing values do not count; NaN
+    is larger than all numbers. Runs when called: mostly two or three passes over the named columns,
+    each for all quantiles at once, that bring back a few thousand rows.
     """
-    sources = list(dict.fromkeys((one.column, one.where) for one in wanted))
-    by_source = [[one for one in wanted if (one.column, one.where) == key] for key in sources]
-    values = [_value(column, where) for column, where in sources]
-
-    sketches = []
-    for number, (value, group) in enumerate(zip(values, by_source)):
-        margin = MARGIN / accuracy
-        edges = []
-        for one in group:
-            edges += [max(0.0, one.fraction - margin), min(1.0, one.fraction + margin)]
-        sketches += [
-            F.count(value).alias(f"n{number}"),
-            F.min(value).alias(f"low{number}"),
-            F.max(value).alias(f"high{number}"),
-            F.percentile_approx(value, edges, accuracy).alias(f"edges{number}"),
-        ]
-    known = df.agg(*sketches).first()
-
-    tagged, targets = [], []
-    for number, (value, group) in enumerate(zip(values, by_source)):
-        rows = known[f"n{number}"]
-        if not rows:
-            targets += [(one, number, []) for one in group]
-            continue
-        if rows <= accuracy:
-            ranges = [(known[f"low{number}"], known[f"high{number}"])]
-        else:
-            edges = known[f"edges{number}"]
-            ranges = _merge(list(zip(edges[::2], edges[1::2])))
-        tagged.append(_place(number, value, ranges))
-        targets += [(one, number, _ranks(one, rows)) for one in group]
-
-    if not tagged:
-        return df.sparkSession.range(1).select(
-            *[F.lit(None).cast("double").alias(one.name) for one in wanted]
+    sources = list(dict.fromkeys((one.column, one.above) for one in wanted))
+    values = [_value(df, column, above) for column, above in sources]
+    first = _counted(df, [(number, value, _scale(value)) for number, value in enumerate(values)])
+    totals = [sum(bucket.rows for bucket in buckets) for buckets in first]
+    # The buckets that hold the rank that is looked for, by source and rank.
+    held: dict[tuple[int, int], _Bucket] = {}
+    for one in wanted:
+        number = sources.index((one.column, one.above))
+        for rank in _ranks(one, totals[number])[0]:
+            held[number, rank] = _holding(first[number], rank)
+    while wide := [bucket for bucket in dict.fromkeys((n, b) for (n, _), b in held.items()) if _open(bucket[1])]:
+        parts = [(number, bucket, _inside(values[number], bucket)) for number, bucket in wide]
+        cuts = [(number, value, _cut(value, bucket)) for number, bucket, value in parts]
+        finer = dict(zip(wide, _counted(df, cuts, [bucket.before for _, bucket in wide])))
+        for (number, rank), bucket in held.items():
+            if (number, bucket) in finer:
+                held[number, rank] = _holding(finer[number, bucket], rank)
+    results = []
+    for one in wanted:
+        number = sources.index((one.column, one.above))
+        ranks, share = _ranks(one, totals[number])
+        found = [held[number, rank].low for rank in ranks]
+        results.append(_between(found, share) if one.interpolate else next(iter(found), None))
+    kinds = [
+        "bigint" if _is_whole(df, one.column) and not one.interpolate else "double" for one in wanted
+    ]
+    row = df.sparkSession.range(1)
+    return row.select(
+        *[F.lit(value).cast(kind).alias(one.name) for value, kind, one in zip(results, kinds, wanted)]
+    )
+
+
+def _is_whole(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, T.IntegralType)
+
+
+def _value(df: DataFrame, column: str, above: float | None) -> Column:
+    value = F.col("`" + column.replace("`", "``") + "`").cast("bigint" if _is_whole(df, column) else "double")
+    return value if above is None else F.when(value > above, value)
+
+
+def _scale(value: Column) -> Column:
+    """A number that never falls when the value rises, the same for values that are near each other."""
+    size = F.log2(F.abs(value.cast("double")) + 1) * STEPS_PER_OCTAVE
+    step = F.when(size < 1 << 20, F.ceil(size)).otherwise(1 << 20)
+    return F.when(value < 0, -step).otherwise(step)
+
+
+def _open(bucket: _Bucket) -> bool:
+    return bucket.low != bucket.high and bucket.low == bucket.low
+
+
+def _inside(value: Column, bucket: _Bucket) -> Column:
+    return F.when((value >= F.lit(bucket.low)) & (value <= F.lit(bucket.high)), value)
+
+
+def _cut(value: Column, bucket: _Bucket) -> Column:
+    """Like :func:`_scale`, but finer. The ends of the bucket always come apart."""
+    low, high = bucket.low, bucket.high
+    if not (isfinite(low) and isfinite(high) and isfinite(float(high) - float(low))):
+        return F.when(value == F.lit(low), 0).when(value == F.lit(high), 2).otherwise(1)
+    if isinstance(low, int):
+        if high - low < BUCKETS:
+            return value - low
+        share = (value.cast("decimal(38,0)") - low).cast("double") / float(high - low)
+    else:
+        share = (value - low) / (high - low)
+    ends = F.when(value == F.lit(high), BUCKETS).when(value == F.lit(low), -1)
+    return ends.otherwise(F.floor(share * BUCKETS))
+
+
+def _counted(
+    df: DataFrame, cuts: list[tuple[int, Column, Column]], before: list[int] | None = None
+) -> list[list[_Bucket]]:
+    """The buckets of each cut in ascending order. Whole numbers stay whole."""
+    kinds = [_kind(df, value) for _, value, _ in cuts]
+    tagged = [
+        F.struct(
+            F.lit(at).alias("cut"),
+            step.cast("bigint").alias("step"),
+            (value if kind == "bigint" else F.lit(None).cast("bigint")).alias("whole"),
+            (value if kind == "double" else F.lit(None).cast("double")).alias("real"),
         )
-    histogram = (
+        for at, ((_, value, step), kind) in enumerate(zip(cuts, kinds))
+    ]
+    rows = (
         df.select(F.explode(F.array(*tagged)).alias("at"))
         .select("at.*")
-        .filter(F.col("gap").isNotNull())
-        .groupBy("source", "gap", "value")
-        .agg(F.count("*").alias("rows"))
-    )
-    running = histogram.withColumn(
-        "upto",
-        F.sum("rows").over(
-            Window.partitionBy("source")
-            .orderBy("gap", "value")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ),
+        .filter(F.col("whole").isNotNull() | F.col("real").isNotNull())
+        .groupBy("cut", "step")
+        .agg(
+            F.count("*").alias("rows"),
+            *[f(c).alias(f"{n}_{c}") for c in ("whole", "real") for n, f in (("low", F.min), ("high", F.max))],
+        )
+        .collect()
     )
-    results = {one.name: _at_ranks(number, ranks) for one, number, ranks in targets}
-    return running.agg(*[results[one.name].alias(one.name) for one in wanted])
-
-
-def _value(column: str, where: str | None) -> Column:
-    value = F.col(column).cast("double")
-    return value if where is None else F.when(F.expr(where), value)
+    result: list[list[_Bucket]] = [[] for _ in cuts]
+    passed = list(before or [0] * len(cuts))
+    for row in sorted(rows, key=lambda r: (r["cut"], r["step"])):
+        at = row["cut"]
+        column = "whole" if kinds[at] == "bigint" else "real"
+        result[at].append(
+            _Bucket(row[f"low_{column}"], row[f"high_{column}"], passed[at], row["rows"])
+        )
+        passed[at] += row["rows"]
+    return result
 
 
-def _merge(ranges: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    merged: list[tuple[float, float]] = []
-    for low, high in sorted(ranges):
-        if merged and low <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
-        else:
-            merged.append((low, high))
-    return merged
+def _kind(df: DataFrame, value: Column) -> str:
+    return df.select(value.alias("value")).schema["value"].dataType.simpleString()
 
 
-def _place(number: int, value: Column, ranges: list[tuple[float, float]]) -> Column:
-    """Where a value lies: odd gaps are the ranges, in which the value itself is kept."""
-    gap = F.when(value.isNull(), F.lit(None).cast("int"))
-    kept = None
-    for place, (low, high) in enumerate(ranges):
-        inside = (value >= low) & (value <= high)
-        gap = gap.when(value < low, 2 * place).when(inside, 2 * place + 1)
-        kept = F.when(inside, value) if kept is None else kept.when(inside, value)
-    gap = gap.otherwise(2 * len(ranges))
-    return F.struct(F.lit(number).alias("source"), gap.alias("gap"), kept.alias("value"))
+def _holding(buckets: list[_Bucket], rank: int) -> _Bucket:
+    return next(bucket for bucket in buckets if rank <= bucket.before + bucket.rows)
 
 
-def _ranks(one: Quantile, rows: int) -> list[tuple[int, float]]:
-    """(rank from 1, weight) pairs whose weighted sum of values is the quantile."""
-    fraction = Fraction(str(one.fraction))
+def _ranks(one: Quantile, rows: int) -> tuple[list[int], float]:
+    """The ranks (from 1) that the quantile lies on or between, and how far it is from the first."""
+    if not rows:
+        return [], 0.0
     if not one.interpolate:
-        return [(max(1, ceil(fraction * rows)), 1.0)]
+        return [max(1, ceil(Fraction(str(one.fraction)) * rows))], 0.0
     position = (rows - 1) * one.fraction
     lower, upper = floor(position), ceil(position)
-    if lower == upper:
-        return [(lower + 1, 1.0)]
-    share = position - lower
-    return [(lower + 1, 1.0 - share), (upper + 1, share)]
-
-
-def _at_ranks(number: int, ranks: list[tuple[int, float]]) -> Column:
-    total = None
-    for rank, weight in ranks:
-        reached = (F.col("source") == number) & (F.col("upto") >= rank)
-        at = F.min(F.when(reached, F.struct("gap", "value")))
-        missed = F.raise_error(F.lit(f"rank {rank} lies outside the ranges; raise the accuracy"))
-        part = F.when(at["gap"] % 2 == 1, at["value"]).otherwise(missed.cast("double"))
-        part = part if weight == 1.0 else part * F.lit(weight)
-        total = part if total is None else total + part
-    return F.lit(None).cast("double") if total is None else total
+    return ([lower + 1] if lower == upper else [lower + 1, upper + 1]), position - lower
+
+
+def _between(found: list, share: float) -> float | None:
+    """The value itself where both ranks have the same, else one that lies between them."""
+    if not found:
+        return None
+    low, high = float(found[0]), float(found[-1])
+    if low == high:
+        return low
+    return min(max(low + (high - low) * share, low), high)

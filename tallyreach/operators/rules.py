@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyreach.operators.categories import TOP_CATEGORIES
 from tallyreach.operators.itemsets import (
     antecedent_text,
     itemset_counts,
@@ -107,7 +108,7 @@ def population(features: DataFrame, targets: list[str]) -> Population:
     return found
 
 
-def definition(feature: Column, category: Column, top_sources: int = 20) -> Column:
+def definition(feature: Column, category: Column, top_sources: int = TOP_CATEGORIES) -> Column:
     """Plain meaning of a category, NULL for one that is not known."""
     known = [
         (f"{name}={value}", meaning)
@@ -115,7 +116,7 @@ def definition(feature: Column, category: Column, top_sources: int = 20) -> Colu
         for value, meaning in meanings.items()
     ]
     table = F.create_map(*[F.lit(text) for pair in known for text in pair])
-    # Spelled as a sum of texts, NULL where the category is.
+    # concat gives NULL where the category is missing.
     source = F.when(
         category == "Other", F.lit(f"Source is outside the {top_sources} most frequent services")
     ).otherwise(F.concat(F.lit("Post was published through "), category))
@@ -131,8 +132,12 @@ def category_summary(
     columns: tuple[str, ...] = RULE_COLUMNS,
     target: str = "high_engagement",
     entity: str = "author_id",
+    top_sources: int = TOP_CATEGORIES,
 ) -> DataFrame:
-    """Posts, distinct authors and highly engaging posts of every category of every feature."""
+    """Posts, distinct authors and highly engaging posts of every category of every feature.
+
+    ``top_sources`` is how many sources the feature table keeps apart.
+    """
     names = list(columns)
     counts = itemset_counts(
         features.filter("analysis_eligible"), names, [target], 1, entity
@@ -153,7 +158,7 @@ def category_summary(
         .select(
             "feature",
             "category",
-            definition(F.col("feature"), F.col("category")).alias("definition"),
+            definition(F.col("feature"), F.col("category"), top_sources).alias("definition"),
             "post_count",
             "author_count",
             "high_engagement_count",

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyreach.functions import bands
-from tallyreach.operators.quantiles import ACCURACY, Quantile, exact_quantiles
+from tallyreach.operators.quantiles import Quantile, exact_quantiles
 
-# The quantiles of the overview, the histogram cap, and the chart limits.
+# The quantiles of the overview and the profile, the histogram cap, the chart limits.
 OVERVIEW_QUANTILES = (0.5, 0.75, 0.9, 0.95, 0.99)
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 HISTOGRAM_CAP = 50
 CHART_MIN_POSTS = 100
 CHART_GROUPS = 15
 
 
-def overview(features: DataFrame, accuracy: int = ACCURACY) -> DataFrame:
+def overview(features: DataFrame) -> DataFrame:
     """One row of totals, the mean and the quantiles of engagement."""
     eligible = F.col("analysis_eligible")
     engaged = F.col("engagement_count_7d")
@@ -35,7 +36,6 @@ def overview(features: DataFrame, accuracy: int = ACCURACY) -> DataFrame:
             Quantile(name, "engagement_count_7d", fraction)
             for name, fraction in zip(names, OVERVIEW_QUANTILES)
         ],
-        accuracy,
     ).select(F.array(*[F.col(name).cast("bigint") for name in names]).alias("quantiles"))
     return totals.select(
         "total_posts",
@@ -48,52 +48,72 @@ def overview(features: DataFrame, accuracy: int = ACCURACY) -> DataFrame:
     )
 
 
-def column_profile(df: DataFrame, accuracy: int = 10_000) -> DataFrame:
-    """One row per column: type, range, distinct count, mean, spread, quartiles and gaps.
+def column_profile(df: DataFrame) -> DataFrame:
+    """One row per column: type, range, distinct values, mean, spread, quartiles and gaps, all exact.
 
-    A single pass. Distinct counts and quartiles are sketches; all else is exact. Mean and spread
-    are given for numbers only, quartiles for numbers and times. A wide table gives hundreds of
-    expressions, which are far quicker to hand over as text.
+    Mean, spread and quartiles (elements of the data) are given for numbers only. Distinct values are
+    counted as one grouping of all columns' values, which combines before it shuffles and spreads
+    frequent values over all tasks. The quartiles are found when this is called.
     """
-    measures, lines = ["count(*) AS rows"], []
-    for number, field in enumerate(df.schema.fields):
-        column = f"`{field.name}`"
-        mean = spread = "CAST(NULL AS double)"
-        quartiles = "CAST(NULL AS array<string>)"
-        if isinstance(field.dataType, T.NumericType):
-            mean, spread = f"avg({column})", f"stddev({column})"
-            quartiles = _quartiles(f"CAST({column} AS double)", accuracy)
-        elif isinstance(field.dataType, T.DatetimeType):
-            quartiles = _quartiles(column, accuracy)
+    fields = df.schema.fields
+    numbers = [field.name for field in fields if isinstance(field.dataType, T.NumericType)]
+    wanted = [
+        Quantile(f"{at} {name}", name, fraction)
+        for name in numbers
+        for at, fraction in QUARTILES.items()
+    ]
+    quartiles = exact_quantiles(df, wanted).first().asDict() if wanted else {}
+
+    measures = [F.count("*").alias("rows")]
+    for number, field in enumerate(fields):
+        column = _named(field.name)
+        value = column.cast("double") if field.name in numbers else F.lit(None).cast("double")
         measures += [
-            f"CAST(min({column}) AS string) AS min{number}",
-            f"CAST(max({column}) AS string) AS max{number}",
-            f"approx_count_distinct({column}) AS distinct{number}",
-            f"CAST({mean} AS double) AS mean{number}",
-            f"CAST({spread} AS double) AS std{number}",
-            f"{quartiles} AS quartiles{number}",
-            f"count({column}) AS present{number}",
+            F.min(column).cast("string").alias(f"min{number}"),
+            F.max(column).cast("string").alias(f"max{number}"),
+            F.avg(value).alias(f"mean{number}"),
+            F.stddev(value).alias(f"std{number}"),
+            F.count(column).alias(f"present{number}"),
         ]
-        parts = {
-            "column_name": f"'{field.name}'",
-            "column_type": f"'{field.dataType.simpleString()}'",
-            "min": f"min{number}",
-            "max": f"max{number}",
-            "approx_unique": f"distinct{number}",
-            "avg": f"mean{number}",
-            "std": f"std{number}",
-            "q25": f"quartiles{number}[0]",
-            "q50": f"quartiles{number}[1]",
-            "q75": f"quartiles{number}[2]",
-            "count": "rows",
-            "null_percentage": f"round((rows - present{number}) * 100D / nullif(rows, 0), 2)",
-        }
-        lines.append(f"named_struct({', '.join(f'{k!r}, {v}' for k, v in parts.items())})")
-    return df.selectExpr(*measures).selectExpr(f"inline(array({', '.join(lines)}))")
-
-
-def _quartiles(value: str, accuracy: int) -> str:
-    return f"CAST(percentile_approx({value}, array(0.25, 0.5, 0.75), {accuracy}) AS array<string>)"
+    rows = [
+        F.struct(
+            F.lit(field.name).alias("column_name"),
+            F.lit(field.dataType.simpleString()).alias("column_type"),
+            F.col(f"min{number}").alias("min"),
+            F.col(f"max{number}").alias("max"),
+            F.col(f"mean{number}").alias("avg"),
+            F.col(f"std{number}").alias("std"),
+            *[
+                F.lit(quartiles.get(f"{at} {field.name}")).cast("double").alias(at)
+                for at in QUARTILES
+            ],
+            F.col("rows").alias("count"),
+            F.round(
+                F.try_divide((F.col("rows") - F.col(f"present{number}")) * 100.0, "rows"), 2
+            ).alias("null_percentage"),
+        )
+        for number, field in enumerate(fields)
+    ]
+    profile = df.agg(*measures).select(F.inline(F.array(*rows)))
+    values = [
+        F.struct(F.lit(field.name).alias("column_name"), _named(field.name).cast("string").alias("value"))
+        for field in fields
+    ]
+    distinct = (
+        df.select(F.inline(F.array(*values)))
+        .filter(F.col("value").isNotNull())
+        .distinct()
+        .groupBy("column_name")
+        .agg(F.count("*").alias("distinct_values"))
+    )
+    return profile.join(distinct, "column_name", "left").withColumn(
+        "distinct_values", F.coalesce("distinct_values", F.lit(0).cast("bigint"))
+    )
+
+
+def _named(column: str) -> Column:
+    """A column by its name as it is, whatever characters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 def capped_histogram(

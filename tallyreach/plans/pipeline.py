@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +14,6 @@ from tallyreach.operators.authors import author_statistics
 from tallyreach.operators.categories import TOP_CATEGORIES
 from tallyreach.operators.engagement import engaged_posts, post_engagement
 from tallyreach.operators.features import post_features, unique_posts
-from tallyreach.operators.hotkeys import HOT_ROWS
 from tallyreach.operators.labels import (
     HIGH_QUANTILE,
     TARGETS,
@@ -42,11 +41,14 @@ from tallyreach.sources.specs import STUDY_END, STUDY_START, TableSpec, dump_tab
 
 @dataclass(frozen=True)
 class Settings:
-    """``default_source`` names the source of posts that give none: the host network's own name."""
+    """``default_source`` names the source of posts that give none: the host network's own name.
+
+    ``tables`` are by default those of the dump, with their checks on the study window given here.
+    """
 
     data_dir: str
     default_source: str
-    tables: dict[str, TableSpec] = field(default_factory=dump_tables)
+    tables: dict[str, TableSpec] | None = None
     study_start: str = STUDY_START
     study_end: str = STUDY_END
     window: timedelta = timedelta(days=7)
@@ -54,7 +56,10 @@ class Settings:
     high_quantile: float = HIGH_QUANTILE
     targets: tuple[str, ...] = TARGETS
     rule_limits: RuleLimits = RuleLimits()
-    hot_rows: int = HOT_ROWS
+
+    def __post_init__(self) -> None:
+        if self.tables is None:
+            object.__setattr__(self, "tables", dump_tables(self.study_start, self.study_end))
 
     def clean(self, table: str) -> str:
         return f"{self.data_dir}/parquet/clean/{table}"
@@ -157,7 +162,6 @@ def aggregate(spark: SparkSession, settings: Settings, force: bool = False) -> N
             settings.study_start,
             settings.study_end,
             settings.window,
-            settings.hot_rows,
         ),
         force,
     )
@@ -194,7 +198,6 @@ def extract_features(spark: SparkSession, settings: Settings, force: bool = Fals
         lambda: post_features(
             *[spark.read.parquet(path) for path in inputs],
             top_sources=settings.top_sources,
-            hot_rows=settings.hot_rows,
         ),
         force=True,
     )
@@ -239,7 +242,8 @@ def associate(spark: SparkSession, settings: Settings, force: bool = False) -> N
     """Step 5: category summary and rules, both targets in one pass. Always written anew."""
     features = stored_features(spark, settings)
     storage.write_report(
-        category_summary(features), settings.report("association_rules/category_summary")
+        category_summary(features, top_sources=settings.top_sources),
+        settings.report("association_rules/category_summary")
     )
     # The rules of all targets are small; kept apart only in the written reports.
     rules = storage.scratch_table(

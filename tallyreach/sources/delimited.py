@@ -44,12 +44,6 @@ def split_lines(lines: DataFrame, delimiter: str) -> DataFrame:
     )
 
 
-def field_count(delimiter: str) -> Column:
-    """Number of fields of the line in ``value``, without cutting it."""
-    bare = F.replace(F.col("value"), F.lit(delimiter), F.lit(""))
-    return F.length("value") - F.length(bare) + 1
-
-
 def parse(lines: DataFrame, names: list[str], delimiter: str) -> DataFrame:
     """Well-formed lines as raw text columns, null tokens as NULL.
 
@@ -69,7 +63,7 @@ def rejects(lines: DataFrame, expected: int, delimiter: str) -> DataFrame:
     """All other lines, whole, and what is wrong with them. None is dropped."""
     return (
         lines.filter(F.col("value") != "")
-        .withColumn("field_count", field_count(delimiter))
+        .withColumn("field_count", F.size(F.split("value", re.escape(delimiter), -1)))
         .filter(~_well_formed(F.col("field_count"), expected))
         .select(
             "source_file",

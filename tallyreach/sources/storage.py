@@ -63,10 +63,14 @@ def replace_directory(spark: SparkSession, path: str, write: Callable[[str], Non
     except BaseException:
         system.delete(hadoop_path(fresh), True)
         raise
-    if system.exists(target):
-        system.rename(target, hadoop_path(old))
+    replaced = system.exists(target)
+    if replaced and not system.rename(target, hadoop_path(old)):
+        system.delete(hadoop_path(fresh), True)
+        raise OSError(f"could not move {path} out of the way; it is unchanged")
     if not system.rename(hadoop_path(fresh), target):
-        raise OSError(f"could not move {fresh} to {path}")
+        if replaced and not system.rename(hadoop_path(old), target):
+            raise OSError(f"could not move {fresh} to {path}; the old directory is {old}")
+        raise OSError(f"could not move {fresh} to {path}; {path} is unchanged")
     system.delete(hadoop_path(old), True)
 
 

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 from datetime import datetime, timedelta
@@ -9,14 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from compare import spark_rows
-from tallyreach.operators import hotkeys
 from tallyreach.operators.authors import author_statistics, degree_counts
 from tallyreach.operators.categories import top_categories, with_category_group
 from tallyreach.operators.dedup import first_per_key
 from tallyreach.operators.engagement import windowed_counts
-from tallyreach.operators.features import post_features, unique_posts
 from tallyreach.operators.itemsets import antecedent_text, itemset_counts
-from tallyreach.operators.labels import thresholds
+from tallyreach.operators.labels import thresholds, with_labels
 from tallyreach.operators.quantiles import Quantile, exact_quantiles
 from tallyreach.operators.rules import definition, population
 from tallyreach.operators.sensitivity import sensitivity_grid
@@ -62,8 +61,7 @@ def _engagement_input(spark):
     return items, likes
 
 
-@pytest.mark.parametrize("hot_rows", [1, 3, 1_000_000])
-def test_window_edges_on_both_routes(spark, hot_rows):
+def test_window_edges(spark):
     items, likes = _engagement_input(spark)
     counted = windowed_counts(
         items,
@@ -71,7 +69,6 @@ def test_window_edges_on_both_routes(spark, hot_rows):
         "post_id",
         "posted_at",
         timedelta(days=7),
-        hot_rows=hot_rows,
     )
     found = {row["post_id"]: row for row in counted.collect()}
     assert len(found) == counted.count() == 3
@@ -80,54 +77,34 @@ def test_window_edges_on_both_routes(spark, hot_rows):
     assert (found["c"]["like_count_recorded"], found["c"]["engagement_count_7d"]) == (0, 0)
 
 
-def test_hot_keys_finds_only_heavy_ones(spark):
-    rows = spark.range(10_000).select(
-        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") + 100).alias("k")
+def test_a_hot_key_is_split_and_counted_in_full(spark):
+    """Half of all likes on one post, and 5,000 more posts with many each."""
+    likes = spark.range(400_000).select(
+        F.when(F.col("id") % 2 == 0, F.lit(-1)).otherwise(F.col("id") % 5003).alias("post_id"),
+        F.lit(DAY).alias("liked_at"),
     )
-    rows = rows.unionByName(spark.createDataFrame([(None,)], "k bigint"))
-    assert [row["k"] for row in hotkeys.hot_keys(rows, "k", 1000).collect()] == [7]
-    assert hotkeys.hot_keys(rows, "k", 1_000_000) is None
-    texts = rows.select(F.col("k").cast("string").alias("k"))
-    assert [row["k"] for row in hotkeys.hot_keys(texts, "k", 1000).collect()] == ["7"]
-
-
-def test_lookup_join_routes_agree(spark):
-    facts = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (None, "n"), (9, "o")], "k int, v string")
-    lookup = spark.createDataFrame([(1, "one"), (2, "two")], "k int, w string")
-    usual = spark_rows(hotkeys.lookup_join(facts, lookup, "k", None))
-    for listed in ([1], [1, 9], [2, 5]):
-        hot = hotkeys.key_list(lookup, "k", listed)
-        assert spark_rows(hotkeys.lookup_join(facts, lookup, "k", hot)) == usual
-
-
-def test_skewed_engagement_and_features_equal_the_usual_route(spark):
-    posts = unique_posts(tables.entries(spark, SF), tables.DEFAULT_SOURCE)
-    # A third of all likes goes to one post, a third of all posts to one author.
-    likes = tables.likes(spark, SF).withColumn(
-        "post_id", F.when(F.col("user_id") % 3 == 0, F.lit(5)).otherwise(F.col("post_id"))
-    )
-    posts = posts.withColumn(
-        "author_id", F.when(F.col("post_id") % 3 == 0, F.lit(5)).otherwise(F.col("author_id"))
-    ).persist()
-
-    def counts(hot_rows):
-        return windowed_counts(
-            posts.select("post_id", "posted_at"),
-            {
-                "comment": (tables.comments(spark, SF), "entry_id", "commented_at"),
-                "like": (likes, "post_id", "liked_at"),
-            },
-            "post_id",
-            "posted_at",
-            tables.WINDOW,
-            hot_rows=hot_rows,
+    items = spark.range(-1, 6000).select(F.col("id").alias("post_id"), F.lit(DAY).alias("posted_at"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        counted = windowed_counts(
+            items, {"like": (likes, "post_id", "liked_at")}, "post_id", "posted_at", timedelta(days=7)
         )
-
-    assert spark_rows(counts(500)) == spark_rows(counts(10**9))
-    engaged = queries._engaged(spark, SF, posts).persist()
-    authors = queries._authors(spark, SF, posts).persist()
-    features = [post_features(engaged, authors, 7, rows) for rows in (100, 10**9)]
-    assert spark_rows(features[0]) == spark_rows(features[1])
+        found = {row["post_id"]: row["like_count_7d"] for row in counted.collect()}
+        plan = counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert "skew=true" in plan
+    assert found[-1] == 200_000 and sum(found.values()) == 400_000 and len(found) == 6001
+    assert found[5500] == 0
 
 
 def test_author_statistics_unknown_is_not_zero(spark):
@@ -178,27 +155,53 @@ def test_top_categories_ties_by_name(spark):
     assert top_categories(rows, "c", 0).count() == 1
 
 
-@pytest.mark.parametrize("accuracy", [20, 200, 100_000])
-@pytest.mark.parametrize("shape", ["ints", "ties", "doubles"])
-def test_exact_quantiles(spark, accuracy, shape):
-    draw = random.Random(accuracy)
-    make = {
-        "ints": lambda: draw.randint(0, 100_000),
-        "ties": lambda: int(draw.expovariate(1)),
-        "doubles": lambda: draw.random(),
-    }[shape]
-    numbers = [float(make()) for _ in range(3001)]
+SHAPES = {
+    "ints": lambda draw: draw.randint(0, 100_000),
+    "ties": lambda draw: int(draw.expovariate(1)),
+    "doubles": lambda draw: draw.random() - 0.5,
+    "ratios": lambda draw: draw.randint(0, 9) / draw.randint(1, 7),
+    "wide": lambda draw: draw.choice([-1, 1]) * 10.0 ** draw.randint(-300, 300),
+    "close": lambda draw: 1e9 + draw.randint(0, 50) * 1e-6,
+    "endless": lambda draw: draw.choice([1.5, 2.5, math.inf, -math.inf]),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_exact_quantiles(spark, shape):
+    draw = random.Random(shape)
+    numbers = [float(SHAPES[shape](draw)) for _ in range(3001)]
     rows = spark.createDataFrame([(x,) for x in numbers] + [(None,)], "x double")
     fractions = [0.01, 0.5, 0.75, 0.9, 0.95, 0.99]
     wanted = [Quantile(f"d{i}", "x", q) for i, q in enumerate(fractions)]
-    wanted += [Quantile(f"c{i}", "x", q, True, "x > 0") for i, q in enumerate(fractions)]
-    found = exact_quantiles(rows, wanted, accuracy).first()
+    wanted += [Quantile(f"c{i}", "x", q, True, 0.0) for i, q in enumerate(fractions)]
+    found = exact_quantiles(rows, wanted).first()
     ordered, positive = sorted(numbers), sorted(x for x in numbers if x > 0)
     for i, q in enumerate(fractions):
         assert found[f"d{i}"] == ordered[ceil(Fraction(str(q)) * len(ordered)) - 1]
         place = (len(positive) - 1) * q
         low, high = positive[floor(place)], positive[ceil(place)]
-        assert found[f"c{i}"] == pytest.approx(low * (1 - place % 1) + high * (place % 1), rel=1e-12)
+        if low == high:
+            assert found[f"c{i}"] == low
+        elif math.isfinite(high):
+            assert low <= found[f"c{i}"] <= high
+            assert found[f"c{i}"] == pytest.approx(low * (1 - place % 1) + high * (place % 1), rel=1e-12)
+
+
+def test_quantiles_of_large_whole_numbers(spark):
+    numbers = [2**62 + n for n in range(101)] + [-(2**63), 2**63 - 1]
+    rows = spark.createDataFrame([(n,) for n in numbers], "x bigint")
+    found = exact_quantiles(rows, [Quantile("low", "x", 0.001), Quantile("mid", "x", 0.5), Quantile("high", "x", 1.0)]).first()
+    assert tuple(found) == (-(2**63), 2**62 + 50, 2**63 - 1)
+
+
+@pytest.mark.parametrize("ratio", [5 / 3, 7 / 6, 0.1, 1 / 49, 4 / 7])
+def test_labels_keep_rows_tied_at_the_threshold(spark, ratio):
+    for rows in range(2, 40, 5):
+        features = spark.createDataFrame(
+            [(True, 5, ratio)] * rows, "analysis_eligible boolean, engagement_count_7d bigint, reach_adjusted_engagement double"
+        )
+        labelled = with_labels(features, thresholds(features, 0.99))
+        assert labelled.filter("high_reach_adjusted_engagement and high_engagement").count() == rows
 
 
 def test_quantiles_of_one_to_hundred_and_of_nothing(spark):
@@ -206,7 +209,7 @@ def test_quantiles_of_one_to_hundred_and_of_nothing(spark):
     wanted = [Quantile("d", "x", 0.99), Quantile("c", "x", 0.99, True), Quantile("m", "x", 0.5)]
     assert tuple(exact_quantiles(rows, wanted).first()) == (99.0, pytest.approx(99.01), 50.0)
     assert tuple(exact_quantiles(rows.filter("x > 100"), wanted).first()) == (None, None, None)
-    empty = [Quantile("d", "x", 0.5), Quantile("n", "x", 0.5, where="x > 100")]
+    empty = [Quantile("d", "x", 0.5), Quantile("n", "x", 0.5, above=100.0)]
     assert tuple(exact_quantiles(rows, empty).first()) == (50.0, None)
 
 
@@ -277,14 +280,17 @@ def test_itemsets_equal_naive_counts(spark, max_size):
     assert spark_rows(plain.select(shared)) == spark_rows(counts.select(shared))
 
 
-def test_engagement_shuffles_posts_and_reactions_once(spark):
+def test_engagement_shuffles_raw_reactions_once(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         query = queries.post_engagement(spark, SF)
         plan = query._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert plan.count("Exchange hashpartitioning(post_id") == plan.count("Exchange") == 2
+    # The reactions and the posts for the counting join; then counts, by a struct that lets Spark
+    # split the join, and the posts and their counts for the last join.
+    assert plan.count("Exchange hashpartitioning(post_id") == 4
+    assert plan.count("Exchange") == 5 and plan.count("l_shipdate") > 0
     # Neither the text nor any reaction column beyond key, time and kind is read.
     assert "ReadSchema: struct<l_orderkey:bigint,l_returnflag:string,l_shipdate:timestamp_ntz>" in (
         query._jdf.queryExecution().toString()
@@ -332,11 +338,3 @@ def test_grid_keeps_empty_cells(spark):
     assert (loose["top_rule"], loose["top_lift"], loose["implied_min_lift"]) == ("a=1", 1.5, 0.2)
     assert (strict["rules"], strict["min_joint_posts"], strict["top_rule"]) == (0, 0, "")
     assert strict["top_lift"] is None
-
-
-def test_quantile_outside_its_range_is_an_error(spark, monkeypatch):
-    # A sketch far too coarse, and no margin for it.
-    monkeypatch.setattr("tallyreach.operators.quantiles.MARGIN", -0.4)
-    rows = spark.range(1000).select(F.col("id").alias("x"))
-    with pytest.raises(Exception, match="outside the ranges"):
-        exact_quantiles(rows, [Quantile("d", "x", 0.5)], accuracy=2).collect()

@@ -165,8 +165,9 @@ likes AS (
     FROM lineitem WHERE l_returnflag <> 'A'
 ),
 subscriptions AS (
-    SELECT l_suppkey AS subscriber_id, l_partkey AS subscribed_to_id
-    FROM lineitem WHERE l_quantity > 45
+    SELECT
+        l_suppkey AS subscriber_id, CASE WHEN l_quantity > 45 THEN l_partkey END AS subscribed_to_id
+    FROM lineitem
 )
 """
 
@@ -248,11 +249,11 @@ authors AS (
     ) s USING (author_id)
     LEFT JOIN (
         SELECT subscribed_to_id AS author_id, count(DISTINCT subscriber_id) AS n
-        FROM subscriptions GROUP BY ALL
+        FROM subscriptions WHERE subscribed_to_id IS NOT NULL GROUP BY ALL
     ) f USING (author_id)
     LEFT JOIN (
         SELECT subscriber_id AS author_id, count(DISTINCT subscribed_to_id) AS n
-        FROM subscriptions GROUP BY ALL
+        FROM subscriptions WHERE subscribed_to_id IS NOT NULL GROUP BY ALL
     ) g USING (author_id)
     LEFT JOIN (
         SELECT l_partkey AS author_id, count(DISTINCT l_suppkey) AS n
@@ -487,6 +488,10 @@ def profile() -> str:
             max({column})::VARCHAR AS max,
             {f'round(avg({column}), 6)' if column in numbers else 'NULL::DOUBLE'} AS avg,
             {f'round(stddev_samp({column}), 6)' if column in numbers else 'NULL::DOUBLE'} AS std,
+            {f'quantile_disc({column}, 0.25)::DOUBLE' if column in numbers else 'NULL::DOUBLE'} AS q25,
+            {f'quantile_disc({column}, 0.5)::DOUBLE' if column in numbers else 'NULL::DOUBLE'} AS q50,
+            {f'quantile_disc({column}, 0.75)::DOUBLE' if column in numbers else 'NULL::DOUBLE'} AS q75,
+            count(DISTINCT {column}) AS distinct_values,
             count(*) AS count,
             round((count(*) - count({column})) * 100.0::DOUBLE / count(*), 2) AS null_percentage
         FROM features
@@ -566,11 +571,15 @@ ORACLE: dict[str, str] = {
     "unique_posts": with_parts("SELECT * FROM unique_posts", ENTRIES),
     "inner_join_window_count": with_parts(
         """
-        SELECT post_id, recorded AS comment_count_recorded, inside AS comment_count_365d
-        FROM comment_counts
+        SELECT
+            post_id, count(*) AS comment_count_recorded,
+            count(*) FILTER (
+                WHERE l_shipdate >= posted_at AND l_shipdate < posted_at + INTERVAL 365 DAY
+            ) AS comment_count_365d
+        FROM lineitem JOIN unique_posts ON l_orderkey = post_id
+        GROUP BY post_id
         """,
         ENTRIES,
-        ENGAGEMENT,
     ),
     "post_engagement": with_parts("SELECT * FROM engagement", ENTRIES, ENGAGEMENT),
     "distinct_authors": "SELECT DISTINCT o_custkey AS author_id FROM orders "
@@ -580,10 +589,10 @@ ORACLE: dict[str, str] = {
         """
         SELECT 'following' AS direction, subscriber_id AS node,
             count(DISTINCT subscribed_to_id) AS degree
-        FROM subscriptions GROUP BY subscriber_id
+        FROM subscriptions WHERE subscribed_to_id IS NOT NULL GROUP BY subscriber_id
         UNION ALL
         SELECT 'followers', subscribed_to_id, count(DISTINCT subscriber_id)
-        FROM subscriptions GROUP BY subscribed_to_id
+        FROM subscriptions WHERE subscribed_to_id IS NOT NULL GROUP BY subscribed_to_id
         """,
         ENTRIES,
     ),
@@ -639,6 +648,21 @@ ORACLE: dict[str, str] = {
     "post_features_joined": with_parts("SELECT * FROM base", *BASE),
     "thresholds": with_parts("SELECT * FROM limits", *LABELLED),
     "labels": with_parts("SELECT * FROM features", *LABELLED),
+    "labels_tied": """
+        WITH rows AS (
+            SELECT l_returnflag, l_quantity::BIGINT AS engaged, ceil(l_quantity / 10) / 3.0::DOUBLE AS ratio
+            FROM lineitem
+        ), limits AS (
+            SELECT
+                greatest(1, quantile_disc(engaged, 0.99)) AS raw, quantile_cont(ratio, 0.99) AS reach
+            FROM rows
+        )
+        SELECT
+            l_returnflag, count(*) AS row_count,
+            count(*) FILTER (WHERE engaged >= raw) AS high_rows,
+            count(*) FILTER (WHERE ratio >= reach) AS high_reach_rows
+        FROM rows, limits GROUP BY l_returnflag
+    """,
     "feature_metadata": with_parts(
         f"""
         SELECT
@@ -702,7 +726,7 @@ ORACLE: dict[str, str] = {
             CASE
                 WHEN feature = 'weekday_name' THEN 'Post was published on ' || category
                 WHEN feature = 'source_group' AND category = 'Other'
-                    THEN 'Source is outside the 20 most frequent services'
+                    THEN 'Source is outside the 7 most frequent services'
                 WHEN feature = 'source_group' THEN 'Post was published through ' || category
                 ELSE definition
             END AS definition,
@@ -746,3 +770,10 @@ ORACLE: dict[str, str] = {
         *MINED,
     ),
 }
+
+ORACLE["ingest_files"] = ORACLE["ingest_delimited"]
+ORACLE["stored_rows"] = ORACLE["clean_typed"]
+ORACLE["report_rows"] = """
+    SELECT source, count(*) AS row_count, format
+    FROM documents, (VALUES ('csv'), ('json')) f(format) GROUP BY source, format
+"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,8 @@ from tallyreach.operators.categories import with_category_group
 from tallyreach.operators.dedup import first_per_key as first_row
 from tallyreach.operators.quality import quality_row
 from tallyreach.operators.quality import reject_count as count_rejects
-from tallyreach.sources import delimited
-from tallyreach.sources.storage import scratch_table, size_in_bytes
+from tallyreach.sources import delimited, storage
+from tallyreach.sources.storage import scratch_folder, scratch_table, size_in_bytes
 from workload import tables
 from workload.tables import table
 
@@ -78,9 +79,40 @@ def quality_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def quality_summary(spark: SparkSession, sf: str) -> DataFrame:
-    clean, rejected = delimited.clean_table(tables.lines(spark, sf), tables.LINE_SPEC)
     spec = tables.LINE_SPEC
-    return quality_row(clean, spec.name, spec.timestamp_flag, count_rejects(rejected).scalar())
+    both = delimited.sorted_out(tables.lines(spark, sf), spec)
+    rejected = count_rejects(both.filter("rejected = 1")).scalar()
+    return quality_row(both.filter("rejected = 0"), spec.name, spec.timestamp_flag, rejected)
+
+
+def ingest_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines as text files, a folder for each source, read back and cut."""
+    folder = f"{scratch_folder(spark)}/tallyreach/lines-{uuid.uuid4().hex}"
+    tables.lines(spark, sf).write.partitionBy("source_file").text(folder)
+    lines = delimited.read_lines(spark, [folder])
+    source = F.regexp_extract("source_file", "source_file=([^/]+)/", 1)
+    return delimited.parse(
+        lines.withColumn("source_file", source), list(tables.LINE_FIELDS), "\t"
+    )
+
+
+def stored_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Clean rows written as a Parquet table, twice over, and read back."""
+    path = f"{scratch_folder(spark)}/tallyreach/rows-{uuid.uuid4().hex}"
+    for _ in range(2):
+        rows = storage.materialise(spark, path, lambda: clean_typed(spark, sf), force=True)
+    return rows
+
+
+def report_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents per source as a CSV report and as JSON, and read back."""
+    folder = f"{scratch_folder(spark)}/tallyreach/report-{uuid.uuid4().hex}"
+    counts = table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("row_count"))
+    storage.write_report(counts.orderBy("source"), f"{folder}/csv")
+    storage.write_json(counts, f"{folder}/json")
+    read = spark.read.schema("source string, row_count bigint")
+    written = read.option("header", True).csv(f"{folder}/csv").withColumn("format", F.lit("csv"))
+    return written.unionByName(read.json(f"{folder}/json").withColumn("format", F.lit("json")))
 
 
 # One row per key, counts per post, authors.
@@ -113,7 +145,7 @@ def _slim_posts(spark: SparkSession, sf: str) -> DataFrame:
 def inner_join_window_count(spark: SparkSession, sf: str) -> DataFrame:
     counted = engagement_ops.windowed_counts(
         _slim_posts(spark, sf).select("post_id", "posted_at"),
-        {"comment": (tables.comments(spark, sf), "entry_id", "commented_at")},
+        {"comment": (table(spark, sf, "lineitem"), "l_orderkey", "l_shipdate")},
         "post_id",
         "posted_at",
         tables.WINDOW,
@@ -300,6 +332,23 @@ def labels(spark: SparkSession, sf: str) -> DataFrame:
     return label_ops.with_labels(_stored_features(spark, sf), thresholds(spark, sf))
 
 
+def labels_tied(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of lineitems by ratios of small numbers; a fifth of all rows hold the highest."""
+    quantity = F.col("l_quantity")
+    rows = table(spark, sf, "lineitem").select(
+        "l_returnflag",
+        F.lit(True).alias("analysis_eligible"),
+        quantity.cast("bigint").alias("engagement_count_7d"),
+        (F.ceil(quantity / 10) / F.lit(3.0)).alias("reach_adjusted_engagement"),
+    )
+    labelled = label_ops.with_labels(rows, label_ops.thresholds(rows, 0.99))
+    return labelled.groupBy("l_returnflag").agg(
+        F.count("*").alias("row_count"),
+        F.count_if("high_engagement").alias("high_rows"),
+        F.count_if("high_reach_adjusted_engagement").alias("high_reach_rows"),
+    )
+
+
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
     return _store(spark, sf, "labelled", labels)
 
@@ -326,28 +375,9 @@ def overview(spark: SparkSession, sf: str) -> DataFrame:
     return row.select("*", *quantiles).drop("engagement_quantiles")
 
 
-def _profile(spark: SparkSession, sf: str) -> DataFrame:
-    return summaries.column_profile(_labelled(spark, sf))
-
-
 def column_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """The exact measures of the profile."""
-    return _profile(spark, sf).select(
-        "column_name",
-        "min",
-        "max",
-        F.round("avg", 6).alias("avg"),
-        F.round("std", 6).alias("std"),
-        "count",
-        "null_percentage",
-    )
-
-
-def column_profile_sketches(spark: SparkSession, sf: str) -> DataFrame:
-    """The approximate measures of the profile."""
-    return _profile(spark, sf).select(
-        "column_name", "column_type", "approx_unique", "q25", "q50", "q75"
-    )
+    rounded = {name: F.round(name, 6) for name in ("avg", "std")}
+    return summaries.column_profile(_labelled(spark, sf)).withColumns(rounded).drop("column_type")
 
 
 def capped_histogram(spark: SparkSession, sf: str) -> DataFrame:
@@ -370,7 +400,7 @@ def profile_by_band(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def category_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return rule_ops.category_summary(_labelled(spark, sf))
+    return rule_ops.category_summary(_labelled(spark, sf), top_sources=tables.TOP_SOURCES)
 
 
 def rule_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -404,6 +434,9 @@ def rules_without_column(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_delimited": ingest_delimited,
+    "ingest_files": ingest_files,
+    "stored_rows": stored_rows,
+    "report_rows": report_rows,
     "null_tokens": null_token_fields,
     "rejects": rejects,
     "reject_count": reject_count,
@@ -428,10 +461,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "post_features_joined": post_features_joined,
     "thresholds": thresholds,
     "labels": labels,
+    "labels_tied": labels_tied,
     "feature_metadata": feature_metadata,
     "overview": overview,
     "column_profile": column_profile,
-    "column_profile_sketches": column_profile_sketches,
     "capped_histogram": capped_histogram,
     "profile_by_source": profile_by_source,
     "profile_by_hour": profile_by_hour,
