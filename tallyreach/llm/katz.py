@@ -10,7 +10,7 @@ make every context sum to one:
     each times P(w) / P(class) where w is not in the vocabulary.
 
 The one that is added to c(h) leaves mass to unseen words also where all counts are too large to be
-discounted.
+discounted. Where every class was seen after h, its chances are raised in proportion instead.
 
 Every text is cut once. Its pairs go to buckets by context, a frequent context to several, in
 compressed blocks of many documents. A bucket holds all occurrences of its pairs, so it counts them,
@@ -129,6 +129,23 @@ class Words:
         at = np.minimum(at, len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, at + 2, OTHER)
 
+    @property
+    def classes(self) -> int:
+        """What may follow a context: all words of the vocabulary, and the class of all others."""
+        return len(self.hashes) + 1
+
+    def followed_by_all(self, contexts: np.ndarray, bucket: int) -> np.ndarray:
+        """Contexts that were followed by every class that goes to this bucket after them."""
+        found, classes = np.unique(contexts, return_counts=True)
+        often = self.counts[found] >= self.classes
+        words = np.delete(np.arange(len(self.counts)), START)
+        full = [
+            context
+            for context, seen in zip(found[often].tolist(), classes[often].tolist())
+            if (self.bucket(np.full(len(words), context), words) == bucket).sum() == seen
+        ]
+        return np.array(full, np.int64)
+
     def bucket(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Contexts that hold more than half a bucket's share of all pairs go to several buckets."""
         several = 1 + (self.counts[context] * (2.0 * self.buckets) / max(self.tokens, 1)).astype(np.int64)
@@ -197,7 +214,7 @@ def word_statistics(rows: DataFrame, vocabulary: int = VOCABULARY) -> Words:
 def _packed(**arrays: np.ndarray) -> bytes:
     """Arrays with their bytes sorted by place, which compresses numbers that are near each other."""
     planes = {
-        name: (a.dtype.str, np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes())
+        name: (a.dtype.str, np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
         for name, a in arrays.items()
     }
     raw = pickle.dumps(planes)
@@ -210,10 +227,15 @@ def _unpacked(payload: bytes) -> dict[str, np.ndarray]:
     out = {}
     for name, (kind, raw) in planes.items():
         width = np.dtype(kind).itemsize
-        out[name] = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+        out[name] = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, len(raw) // width).T).view(kind).reshape(-1)
     return out
 
 
+def _sums(owner: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """The sum of the values of each owner; also of none a number with a fraction."""
+    return np.bincount(owner, values, size).astype(np.float64)
+
+
 def _grouped(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """The distinct combinations of ``keys`` in ascending order, and how often each occurs."""
     order = np.lexsort(keys[::-1])
@@ -238,8 +260,8 @@ def _blocks(words: Words):
         context = np.concatenate(([START], word[:-1]))
         context[np.concatenate(([0], np.cumsum(sizes)[:-1]))] = START
         inside = word != OTHER
-        base = np.bincount(doc, np.where(inside, words.base(words.counts[word]), 0.0), len(cut))
-        known = np.bincount(doc, inside, len(cut)).astype(np.int64)
+        base = _sums(doc, np.where(inside, words.base(words.counts[word]), 0.0), len(cut))
+        known = _sums(doc, inside, len(cut)).astype(np.int64)
         info = {
             "doc_id": ids, "held_out": held_out, "n_tokens": sizes, "base": base, "known": known,
         }
@@ -350,6 +372,7 @@ def _looked_up(words: Words):
                 [b["rare"][m] for (_, b), (_, m) in zip(blocks, learned)],
                 [b["rare_times"][m] for (_, b), (_, m) in zip(blocks, learned)],
             )
+            full = words.followed_by_all(table >> ID_BITS, bucket)
             yield _row(
                 "pairs", bucket,
                 table=(table >> ID_BITS, table & ((1 << ID_BITS) - 1), counts),
@@ -359,16 +382,17 @@ def _looked_up(words: Words):
                 count = lookup(table, counts, b["pair"])
                 context, word = b["pair"] >> ID_BITS, b["pair"] & ((1 << ID_BITS) - 1)
                 seen, times = count > 0, b["times"].astype(np.float64)
+                ended = seen & np.isin(context, full)
                 ratio = np.log10(np.maximum(count, 1)) - np.log10(words.counts[context] + 1.0)
                 unseen = np.log10(np.maximum(words.chances[word], 1e-300))
-                sums = np.bincount(b["doc"], times * np.where(seen, ratio, unseen), size)
+                sums = _sums(b["doc"], times * np.where(seen, ratio, unseen), size)
                 rare_count = lookup(rares, rare_counts, b["rare"])
                 rare_times = b["rare_times"].astype(np.float64)
-                sums += np.bincount(b["rare_doc"], rare_times * np.log10(words.share(rare_count)), size)
-                base = np.bincount(b["rare_doc"], rare_times * words.base(rare_count), size)
-                known = np.bincount(b["rare_doc"], rare_times * (rare_count > 0), size)
+                sums += _sums(b["rare_doc"], rare_times * np.log10(words.share(rare_count)), size)
+                base = _sums(b["rare_doc"], rare_times * words.base(rare_count), size)
+                known = _sums(b["rare_doc"], rare_times * (rare_count > 0), size)
                 few = seen & (count <= MOST_DISCOUNTED)
-                level = np.bincount(
+                level = _sums(
                     b["doc"][few] * MOST_DISCOUNTED + count[few] - 1, times[few], size * MOST_DISCOUNTED
                 )
                 yield _row(
@@ -377,6 +401,8 @@ def _looked_up(words: Words):
                         sums=sums, base=base, known=known.astype(np.uint32),
                         level=level.astype(np.uint32), doc=b["doc"][~seen],
                         context=context[~seen].astype(np.uint32), times=b["times"][~seen],
+                        full_doc=b["doc"][ended], full=context[ended].astype(np.uint32),
+                        full_times=b["times"][ended],
                     ),
                 )
 
@@ -393,11 +419,10 @@ def _context_sums(chances: np.ndarray):
                     batch.column(c)[row].values.to_numpy() for c in ("context", "word", "times")
                 )
                 found, at = np.unique(context, return_inverse=True)
-                columns = [
-                    np.bincount(at, times == r, len(found)) for r in range(1, MOST_DISCOUNTED + 2)
-                ]
-                columns.append(np.bincount(at, np.where(times > MOST_DISCOUNTED, times, 0), len(found)))
-                columns.append(np.bincount(at, chances[word], len(found)))
+                many = times > MOST_DISCOUNTED
+                parts = [*(times == r for r in range(1, MOST_DISCOUNTED + 2)), np.where(many, times, 0)]
+                parts += [chances[word], np.ones(len(word))]
+                columns = [_sums(at, part, len(found)) for part in parts]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found.astype(np.int32)), *map(pa.array, columns)],
                     names=["context", *_SUMS],
@@ -406,14 +431,15 @@ def _context_sums(chances: np.ndarray):
     return run
 
 
-_SUMS = (*(f"n{r}" for r in range(1, MOST_DISCOUNTED + 2)), "rest", "chances")
+_SUMS = (*(f"n{r}" for r in range(1, MOST_DISCOUNTED + 2)), "rest", "chances", "pairs")
 
 
-def backoff_weights(pairs: DataFrame, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Discounts of pair counts, and the backoff weight of every context.
+def backoff_weights(pairs: DataFrame, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Discounts of pair counts; for every context its backoff weight, and a factor for seen pairs.
 
-    A context without any pair backs off with weight one. What comes to the driver is a row a context,
-    so no more than the vocabulary.
+    A context without any pair backs off with weight one. The factor is one but where a context was
+    followed by every class, so that there is nothing left to back off to. What comes to the driver is
+    a row a context, so no more than the vocabulary.
     """
     shared = pairs.sparkSession.sparkContext.broadcast(words.chances)
 
@@ -434,13 +460,17 @@ def backoff_weights(pairs: DataFrame, words: Words) -> tuple[np.ndarray, np.ndar
     discount = discounts({r: int(found[:, r - 1].sum()) for r in range(1, most + 2)})
     weights = np.ones(len(words.counts))
     kept = found[:, :most] @ (discount[1 : most + 1] * np.arange(1, most + 1)) + found[:, most + 1]
-    left = 1 - kept / (words.counts[context] + 1)
-    weights[context] = left / np.maximum(1 - found[:, most + 2], 1e-12)
-    return discount, weights
+    kept = kept / (words.counts[context] + 1)
+    full = found[:, most + 3] == words.classes
+    weights[context] = np.where(full, 1.0, (1 - kept) / np.maximum(1 - found[:, most + 2], 1e-300))
+    factors = np.ones(len(words.counts))
+    factors[context] = np.where(full, 1 / np.maximum(kept, 1e-300), 1.0)
+    return discount, weights, factors
 
 
-def _finished(discount: np.ndarray, weights: np.ndarray):
-    logs, by_level = np.log10(weights), np.log10(discount[1 : MOST_DISCOUNTED + 1])
+def _finished(discount: np.ndarray, weights: np.ndarray, factors: np.ndarray):
+    by_level = np.log10(discount[1 : MOST_DISCOUNTED + 1])
+    logs, full = np.log10(weights), np.log10(factors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _runs(batches, "block"):
@@ -451,7 +481,8 @@ def _finished(discount: np.ndarray, weights: np.ndarray):
             for row in sorted((r for r in rows if r["kind"] == "sums"), key=lambda r: r["bucket"]):
                 part = _unpacked(row["payload"])
                 score += part["sums"] + part["level"].reshape(size, -1) @ by_level
-                score += np.bincount(part["doc"], part["times"] * logs[part["context"]], size)
+                score += _sums(part["doc"], part["times"] * logs[part["context"]], size)
+                score += _sums(part["full_doc"], part["full_times"] * full[part["full"]], size)
                 base += part["base"]
                 known += part["known"].astype(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -493,8 +524,7 @@ def katz_scores(docs: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
     found = by_bucket.mapInArrow(looked_up, FOUND_SCHEMA)
     found.write.partitionBy("kind").option("compression", "zstd").parquet(path)
     stored = spark.read.schema(FOUND_SCHEMA).parquet(path)
-    discount, weights = backoff_weights(stored.filter("kind = 'pairs'"), words)
-    model = spark.sparkContext.broadcast((discount, weights))
+    model = spark.sparkContext.broadcast(backoff_weights(stored.filter("kind = 'pairs'"), words))
 
     def finished(batches):
         return _finished(*model.value)(batches)

@@ -159,9 +159,11 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def _kept_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text that the bitmap in the last column leaves."""
     for batch in batches:
         kept = []
-        for text, keep in zip(batch.column("text").to_pylist(), batch.column("keep").to_pylist()):
+        bitmaps = batch.column(batch.num_columns - 1).to_pylist()
+        for text, keep in zip(batch.column("text").to_pylist(), bitmaps):
             if keep is not None:
                 lines = text.split("\n")
                 bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8))
@@ -195,15 +197,14 @@ def with_lines_dropped(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame
 
     ``n_chars`` is counted anew where there is such a column. A NULL text stays NULL.
     """
-    bitmaps = keep_bitmaps(docs, min_chars).select(
-        F.col("doc").alias("doc of keep"), F.col("row").alias("row of keep"), "keep"
-    )
+    names = ("line dedup: doc", "line dedup: row", "line dedup: keep")
+    bitmaps = keep_bitmaps(texts(docs), min_chars).select("doc", "row", "keep").toDF(*names)
     text = F.coalesce("text", F.lit(""))
     marked = docs.withColumns(
-        {"doc of keep": F.coalesce("doc_id", F.lit(NO_ID)), "row of keep": F.xxhash64(text)}
-    ).join(bitmaps, ["doc of keep", "row of keep"], "left")
-    rows = marked.select(*[f"`{name}`" for name in docs.columns], "keep")
-    kept = rows.mapInArrow(_kept_text, rows.schema).drop("keep")
+        {names[0]: F.coalesce("doc_id", F.lit(NO_ID)), names[1]: F.xxhash64(text)}
+    ).join(bitmaps, list(names[:2]), "left")
+    rows = marked.select(*[f"`{name}`" for name in (*docs.columns, names[2])])
+    kept = rows.mapInArrow(_kept_text, rows.schema).drop(names[2])
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*[f"`{name}`" for name in docs.columns])
