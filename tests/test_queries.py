@@ -1,9 +1,10 @@
-"""Every registered query against its SQL, on the smallest tables."""
+"""Every query of the first part against its SQL, on the smallest tables."""
 
 import pytest
 
 import __spark_entry__ as entry
 from compare import connection, duck_rows, spark_rows
+from workload.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 ORACLE = entry.oracle_sql()
@@ -14,7 +15,7 @@ def database():
     return connection(SF)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, database, name):
     names, rows = spark_rows(entry.queries()[name](spark, SF))
     assert rows
