@@ -115,7 +115,7 @@ posts_file AS (
         o_custkey AS author_id,
         CASE WHEN o_orderstatus = 'P' THEN ' ' ELSE o_orderpriority || ' ' || o_orderstatus END
             AS source_name,
-        o_orderdate AS posted_at,
+        o_orderdate + to_hours((o_orderkey % 24)::INTEGER) AS posted_at,
         CASE WHEN o_orderpriority <> '5-LOW' THEN
             '<b>' || o_orderpriority || '</b> '
             || repeat('#' || o_orderstatus || ' item ', floor(o_totalprice / 20000)::INTEGER)

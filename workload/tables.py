@@ -29,8 +29,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def entries(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders as posts. Those of status P come twice, the earlier copy in another file."""
+    """Orders as posts, at all hours. Those of status P come twice, the earlier copy in another file."""
     orders = table(spark, sf, "orders")
+    hours = F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))
     status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
     items = F.repeat(
         F.concat(F.lit("#"), status, F.lit(" item ")),
@@ -49,7 +50,7 @@ def entries(spark: SparkSession, sf: str) -> DataFrame:
         F.when(status == "P", " ")
         .otherwise(F.concat(priority, F.lit(" "), status))
         .alias("source_name"),
-        F.col("o_orderdate").alias("posted_at"),
+        (F.col("o_orderdate") + hours).alias("posted_at"),
         F.when(priority != "5-LOW", text).alias("post_text"),
         F.when(status != "F", F.floor(F.col("o_totalprice") / 100000).cast("int")).alias(
             "image_count"
