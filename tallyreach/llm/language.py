@@ -80,18 +80,12 @@ def grams(all_texts: list[str]) -> Grams:
     return Grams(letters, buckets, owners, len(sizes))
 
 
-def slices(all_texts: list[str]) -> Iterator[slice]:
-    for rows in chunks(all_texts):
-        for start in range(rows.start, rows.stop, DOCS_AT_ONCE):
-            yield slice(start, min(start + DOCS_AT_ONCE, rows.stop))
-
-
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many texts of the task have each bucket; the row without a bucket counts the texts."""
     total, rows_seen = np.zeros(BUCKETS, np.int64), 0
     for batch in batches:
         all_texts = batch.column("text").to_pylist()
-        for rows in slices(all_texts):
+        for rows in chunks(all_texts, DOCS_AT_ONCE):
             found = grams(all_texts[rows])
             has = np.zeros((found.count, BUCKETS), bool)
             for bucket, owner in zip(found.buckets, found.owners):
@@ -166,7 +160,7 @@ class LanguageModel:
         if not self.languages:
             return [UNDETERMINED] * len(all_texts), [0.0] * len(all_texts)
         names, scores = [], []
-        for rows in slices(all_texts):
+        for rows in chunks(all_texts, DOCS_AT_ONCE):
             found = grams(all_texts[rows])
             sums = found.sums(self.table)
             weight = np.maximum(sums[:, -1:], 1e-12)

@@ -17,9 +17,10 @@ from itertools import chain
 import numpy as np
 
 CHUNK_CHARS = 4_000_000
-MAX_PIECES = 800_000
+MAX_PIECES = 500_000
 
 # Runs of white space leave in doubt what starts a word; then only the sure places cut.
+_BLANK = re.compile(r"\s")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _SURE = re.compile(r"(?<=\S)(?= \S)")
 
@@ -37,16 +38,8 @@ class _Places(dict):
 
 
 def _pieces(text: str) -> list[str]:
-    """Pieces that give the ids of ``text`` when encoded one by one."""
-    doubtful = (
-        "\0" in text
-        or "  " in text
-        or "\n\n" in text
-        or " \n" in text
-        or "\n " in text
-        or _OTHER_SPACE.search(text) is not None
-    )
-    if doubtful:
+    """Pieces that give the ids of ``text`` when encoded one by one, if spaces are the only blanks."""
+    if "\0" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
         return _SURE.split(text)
     return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
@@ -59,10 +52,15 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # Ids of tokens that begin with a space, which the vocabulary writes as this letter.
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.begins[number] = token.startswith("\u0120")
         self._forget()
 
     def _forget(self) -> None:
         self.places = _Places()
+        self.blank: list[int] = []  # pieces with other white space
         self.ids = np.zeros(0, np.int32)
         self.ends = np.zeros(1, np.int64)
 
@@ -71,14 +69,14 @@ class Encoder:
         if len(self.places) > MAX_PIECES:
             self._forget()
         cut = [_pieces(text) for text in texts]
-        counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        number = self.places.__getitem__
-        used = np.fromiter(
-            map(number, chain.from_iterable(cut)), np.int64, int(counts.sum())
-        )
-        if self.places.fresh:
-            self._learn(self.places.fresh)
-            self.places.fresh = []
+        used, counts = self._numbered(cut)
+        if self.blank:
+            blank = np.isin(used, self.blank)
+            if blank.any():
+                owners = np.unique(np.repeat(np.arange(len(cut)), counts)[blank])
+                for owner in owners.tolist():
+                    cut[owner] = _SURE.split(texts[owner])
+                used, counts = self._numbered(cut)
         lengths = (self.ends[1:] - self.ends[:-1])[used]
         stops = np.cumsum(lengths)
         total = int(stops[-1]) if len(stops) else 0
@@ -87,16 +85,43 @@ class Encoder:
         sums = np.concatenate(([0], stops))[bounds]
         return self.ids[gather], np.diff(sums)
 
+    def _numbered(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        number = self.places.__getitem__
+        used = np.fromiter(map(number, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        if self.places.fresh:
+            self._learn(self.places.fresh)
+            self.places.fresh = []
+        return used, counts
+
     def _learn(self, pieces: list[str]) -> None:
-        new, lengths = [self.ids], []
-        for start in range(0, len(pieces), 20_000):
-            batch = self.tokenizer.encode_batch_fast(
-                pieces[start : start + 20_000], add_special_tokens=False
-            )
-            ids = [encoding.ids for encoding in batch]
-            lengths += map(len, ids)
-            new.append(np.fromiter(chain.from_iterable(ids), np.int32))
-        self.ids = np.concatenate(new)
+        """Encode pieces. Those that begin with a space and hold no other blank go as one text."""
+        first = len(self.places) - len(pieces)
+        plain = np.array([p[:1] == " " and len(p) > 1 and not _BLANK.search(p, 1) for p in pieces])
+        self.blank += [first + i for i in np.flatnonzero(~plain).tolist() if _OTHER_SPACE.search(pieces[i])]
+        lengths = np.zeros(len(pieces), np.int64)
+        together_ids: list[np.ndarray] = []
+        alone = [p for p, together in zip(pieces, plain.tolist()) if not together]
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
+        lengths[~plain] = list(map(len, encoded))
+        apart = np.fromiter(chain.from_iterable(encoded), np.int32)
+        joined = [p for p, together in zip(pieces, plain.tolist()) if together]
+        counts = []
+        for start in range(0, len(joined), 20_000):
+            text = "".join(joined[start : start + 20_000])
+            found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+            ids = np.array(found.ids, np.int32)
+            counts.append(np.diff(np.append(np.flatnonzero(self.begins[ids]), len(ids))))
+            together_ids.append(ids)
+        if counts:
+            lengths[plain] = np.concatenate(counts)
+        # Put both kinds in the order of the pieces.
+        ids = np.empty(int(lengths.sum()), np.int32)
+        kind = np.repeat(plain, lengths)
+        ids[~kind] = apart
+        if counts:
+            ids[kind] = np.concatenate(together_ids)
+        self.ids = np.concatenate((self.ids, ids))
         self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(lengths)))
 
 
@@ -106,11 +131,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def chunks(texts: list[str]) -> Iterator[slice]:
-    """Runs of texts that together have about CHUNK_CHARS characters, or one longer text."""
+def chunks(texts: list[str], most: int | None = None) -> Iterator[slice]:
+    """Runs of at most ``most`` texts that together have about CHUNK_CHARS characters, or one longer."""
     start = size = 0
     for at, text in enumerate(texts):
-        if size and size + len(text) > CHUNK_CHARS:
+        if at - start == most or (size and size + len(text) > CHUNK_CHARS):
             yield slice(start, at)
             start, size = at, 0
         size += len(text)
