@@ -15,10 +15,13 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyreach.llm.buckets import bucket_links
 from tallyreach.llm.common import documents, texts
+from tallyreach.llm.components import components
 from tallyreach.sources.storage import scratch_table
 
 CHAIN = 3
+SIMILARITY = 0.8
 # Common words of English, German, French and Spanish that serve as anchors.
 ANCHORS = (
     "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on",
@@ -70,9 +73,11 @@ def likeness(a: str, b: str) -> Column:
     return F.when(union > 0, shared / union)
 
 
-def length_partition(fingerprint: str, threshold: float = 0.8) -> Column:
+def length_partition(fingerprint: str, threshold: float = SIMILARITY) -> Column:
     """Sets that are alike to ``threshold`` lie in the same or in neighbouring partitions."""
-    return F.floor(F.log(F.greatest(F.size(fingerprint), F.lit(1))) / -math.log(threshold)).cast("int")
+    # A little wider than the threshold needs, so that rounding can't put a partition in between.
+    width = -math.log(threshold) * (1 + 1e-9)
+    return F.floor(F.log(F.greatest(F.size(fingerprint), F.lit(1))) / width).cast("int")
 
 
 def as_text(fingerprint: str) -> Column:
@@ -163,5 +168,58 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return result.dropDuplicates(["doc", "row"]).drop("doc", "row")
 
 
+def similar_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """doc_id and class_id: the smallest id of its class of documents with alike fingerprints.
+
+    A class is a connected component of the links between documents whose fingerprints have a Jaccard
+    similarity of at least ``threshold``. Two such sets share one of the few rarest spots of each, and
+    their lengths lie in the same or in neighbouring partitions; documents that share both are
+    compared. Equal fingerprints are one from the start. Documents without spots are alike. Rows that
+    share an id link their texts' classes; rows without an id are left out.
+    """
+    rows = with_fingerprint(texts(docs.filter("doc_id IS NOT NULL")), "text", "spots")
+    marked = scratch_table(rows.select("doc_id", "spots", F.xxhash64("spots").alias("same")), "spots")
+    firsts = scratch_table(
+        marked.groupBy("same", "spots").agg(F.min("doc_id").alias("first")), "first-spots"
+    )
+    copies = scratch_table(
+        marked.join(firsts, ["same", "spots"]).select("doc_id", "first"), "copies"
+    )
+    sets = firsts.groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("spots").alias("all"))
+    sets = scratch_table(sets.select("doc_id", F.explode("all").alias("spots")), "sets")
+    spots = sets.select("doc_id", F.size("spots").alias("n"), length_partition("spots", threshold).alias("part"), F.explode("spots").alias("spot"))
+    often = scratch_table(spots.groupBy("spot").agg(F.count("*").alias("often")), "often")
+    by_rarity = (
+        spots.join(often, "spot")
+        .groupBy("doc_id", "n", "part")
+        .agg(F.array_sort(F.collect_list(F.struct("often", "spot"))).alias("order"))
+    )
+    rarest = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    prefixes = by_rarity.select(
+        "doc_id", "n", "part", F.explode(F.slice("order", F.lit(1), rarest.cast("int"))).alias("at")
+    )
+    near = F.explode(F.array("part", F.col("part") + 1))
+    keyed = prefixes.select("doc_id", F.col("n").cast("long").alias("weight"), F.col("at.spot").alias("spot"), near.alias("part"))
+    keyed = keyed.select(F.xxhash64("spot", "part").alias("key"), "doc_id", "weight").distinct()
+    keyed = scratch_table(keyed, "keyed")
+    shared = scratch_table(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    members = scratch_table(keyed.join(shared.select("key"), "key"), "members")
+
+    def measure(pairs: DataFrame) -> DataFrame:
+        side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("spots").alias(f"{name}_spots"))
+        measured = pairs.join(side("a"), "a").join(side("b"), "b").select(
+            "a", "b", likeness("a_spots", "b_spots").alias("similarity"), F.lit(True).alias("exact")
+        )
+        return scratch_table(measured, "likeness")
+
+    links = bucket_links(members, measure, threshold)
+    joined = links.unionAll(copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
+    classes = scratch_table(components(joined), "classes")
+    known = copies.select("doc_id").distinct()
+    return known.join(classes, known["doc_id"] == classes["node"], "left").select(
+        "doc_id", F.coalesce("component", "doc_id").alias("class_id")
+    )
+
+
 def op6_spotsigs(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints(documents(spark, sf))

@@ -12,7 +12,7 @@ import pytest
 
 from tallyreach.llm import katz, language, quality
 from tallyreach.llm.personal_data import personal_data
-from tallyreach.llm.spotsigs import ANCHORS, fingerprints
+from tallyreach.llm.spotsigs import ANCHORS, fingerprints, similar_classes
 
 
 def held_out(doc, parts, remainder):
@@ -301,3 +301,27 @@ def test_fingerprints_of_odd_documents(table, empty):
         table([(None, "no id"), (1, None), (2, ""), (3, "??"), (4, "the " * 20_000 + "end"), (6, "é 語 \U0001f600 the x"), (7, "7"), (7, "7")])
     )
     assert fingerprints(empty).count() == 0
+
+
+def test_classes_of_alike_fingerprints(table, empty):
+    draw = random.Random(8)
+    words = [f"w{i}" for i in range(3000)] + list(ANCHORS[:8]) * 200
+    base = [[draw.choice(words) for _ in range(150)] for _ in range(12)]
+    rows = []
+    for doc in range(120):
+        text = list(draw.choice(base))
+        for _ in range(draw.randint(0, 12)):
+            text[draw.randrange(len(text))] = draw.choice(words)
+        rows.append((doc, " ".join(text)))
+    rows += [(200, ""), (201, None), (202, rows[0][1])]
+    sets = {doc: spots(text or "") for doc, text in rows}
+    label = {doc: doc for doc in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            union = sets[a] | sets[b]
+            if (len(sets[a] & sets[b]) >= 0.8 * len(union)) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = {doc: low if of == high else of for doc, of in label.items()}
+    found = {r["doc_id"]: r["class_id"] for r in similar_classes(table(rows)).collect()}
+    assert found == label
+    assert similar_classes(empty).count() == 0
