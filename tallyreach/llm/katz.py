@@ -265,7 +265,8 @@ def _blocks(words: Words):
         info = {
             "doc_id": ids, "held_out": held_out, "n_tokens": sizes, "base": base, "known": known,
         }
-        yield -1, pickle.dumps(info)
+        # What describes a block passes through one of as many buckets below zero.
+        yield -1 - int(mix(np.array([number], np.uint64))[0] % np.uint64(words.buckets)), pickle.dumps(info)
         training = ~np.array(held_out, bool)
         bucket = words.bucket(context, word).astype(np.int32)
         (bucket, pair, owner), times = _grouped(bucket, (context << ID_BITS) + word, doc)
@@ -296,7 +297,6 @@ def _blocks(words: Words):
             all_texts = batch.column("text").to_pylist()
             for rows in chunks(all_texts):
                 made = list(block_of(number, ids[rows], held[rows], all_texts[rows]))
-                # What describes the block goes to the bucket before the first.
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([b for b, _ in made], pa.int32()),
