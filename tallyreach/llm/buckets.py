@@ -91,6 +91,8 @@ def bucket_links(members: DataFrame, measure: Measure, threshold: float) -> Data
             .select("key", F.col("top.component").alias("main"), (F.col("all") - F.col("top.n")).alias("apart")),
             "buckets",
         )
+        if buckets.isEmpty():
+            break
         members = scratch_table(placed.join(buckets, "key"), "members")
         drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(1 << 30) * (most / F.col("apart"))
         is_pivot = drawn & (F.col("component") != F.col("main"))

@@ -1,11 +1,8 @@
 """Near-duplicate documents by DartMinHash signatures and banded joining.
 
 Documents with the same words are one from the start. The others get a signature; documents that
-agree in a whole band of it share a bucket. Within a bucket all members are compared with the one
-that shares most buckets with others, by the exact weighted Jaccard similarity of their shingles.
-Distance is a metric, so a member that is close to that pivot can leave the bucket once nobody who
-failed is near enough to be linked with it; who is left and not yet in one class goes through further
-rounds, with sixteen times as many pivots each, until no bucket has two unsettled members.
+agree in a whole band of it share a bucket. They are compared there, by the exact weighted
+Jaccard similarity of their shingles, as :mod:`tallyreach.llm.buckets` tells.
 """
 
 from __future__ import annotations
@@ -18,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyreach.llm.buckets import bucket_links
 from tallyreach.llm.common import documents, texts
 from tallyreach.llm.components import components
 from tallyreach.llm.dartminhash import signatures
@@ -28,15 +26,17 @@ from tallyreach.sources.storage import scratch_table
 SIMILARITY = 0.8
 # Two documents at the threshold miss all 42 bands of 6 once in 340,000 times.
 BANDS, ROWS = 42, 6
-# Signatures estimate a similarity of 0.8 with a deviation of 0.025; eight of them are allowed.
-SLACK = 0.2
+# Signatures estimate a similarity of 0.8 with a deviation of 0.025; five of them are allowed.
+SLACK = 0.13
+DOCS_AT_ONCE = 300
+KNOWN_PIVOTS = 32
 SIGNED_SCHEMA = "doc_id long, hi long, lo long, bands array<long>, sketch binary"
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, all_texts = batch.column("doc_id"), batch.column("text").to_pylist()
-        for rows in chunks(all_texts):
+        for rows in chunks(all_texts, DOCS_AT_ONCE):
             words = [normal_words(text) for text in all_texts[rows]]
             digests = [
                 hashlib.blake2b(" ".join(w).encode("utf-8", "surrogatepass"), digest_size=16).digest()
@@ -85,6 +85,8 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, text_a, b, text_b in zip(*columns):
             # The pivot comes again and again, the other member seldom.
             if b not in known:
+                if len(known) == KNOWN_PIVOTS:
+                    known.clear()
                 known[b] = counted(text_b)
             found.append(weighted_jaccard(counted(text_a), known[b]))
         yield pa.RecordBatch.from_arrays(
@@ -94,7 +96,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _similarities(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b and their similarity; of pairs that are surely unlike, an upper bound of it."""
+    """a, b and their similarity; of pairs that are surely unlike an upper bound, not ``exact``."""
     sketch = lambda side: sketches.select(F.col("doc_id").alias(side), F.col("sketch").alias(f"sketch_{side}"))
     estimates = scratch_table(
         pairs.join(sketch("a"), "a").join(sketch("b"), "b").mapInArrow(
@@ -110,83 +112,9 @@ def _similarities(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> Dat
         _measured, "a long, b long, similarity double"
     )
     unlike = estimates.filter(F.col("estimate") < SIMILARITY - SLACK).select(
-        "a", "b", (F.col("estimate") + SLACK).alias("similarity")
+        "a", "b", (F.col("estimate") + SLACK).alias("similarity"), F.lit(False).alias("exact")
     )
-    return scratch_table(exact.unionAll(unlike), "similarities")
-
-
-def _links(members: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs a, b of alike documents that connect all alike documents of every bucket.
-
-    ``members`` has a row for each bucket (key) and document in it, with the document's ``weight``.
-    """
-    links, pivots = None, 1
-    while True:
-        sizes = members.groupBy("key").agg(
-            F.count("*").alias("n"),
-            F.max(F.struct("weight", -F.col("doc_id"))).alias("top"),
-        )
-        ranked = scratch_table(
-            members.join(
-                scratch_table(
-                    sizes.select("key", "n", (-F.col("top.col2")).alias("pivot")), "buckets"
-                ),
-                "key",
-            ),
-            "ranked",
-        )
-        # The main pivot, and others drawn by a hash of the document, so that buckets draw alike.
-        drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(1 << 30) * (pivots / F.col("n"))
-        is_pivot = (F.col("doc_id") == F.col("pivot")) | (drawn & F.lit(pivots > 1))
-        chosen = ranked.filter(is_pivot).select("key", F.col("doc_id").alias("b"))
-        pairs = scratch_table(
-            ranked.select("key", F.col("doc_id").alias("a"))
-            .join(chosen, "key")
-            .filter("a <> b")
-            .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-            .distinct(),
-            "pairs",
-        )
-        measured = _similarities(pairs, sketches, docs)
-        found = measured.filter(F.col("similarity") >= SIMILARITY).select("a", "b")
-        links = found if links is None else scratch_table(links.unionAll(found), "links")
-
-        # Who may still have a link that no comparison with a pivot has shown?
-        others = ranked.filter(~is_pivot).select("key", "doc_id", "weight", "pivot").withColumns(
-            {"a": F.greatest("doc_id", "pivot"), "b": F.least("doc_id", "pivot")}
-        )
-        near = scratch_table(
-            others.join(measured, ["a", "b"]).select("key", "doc_id", "weight", "similarity"), "near"
-        )
-        failed = scratch_table(
-            near.filter(F.col("similarity") < SIMILARITY)
-            .groupBy("key")
-            .agg(F.max("similarity").alias("nearest")),
-            "failed",
-        )
-        left = scratch_table(
-            near.join(failed, "key")
-            .filter(F.col("similarity") <= F.col("nearest") + (1 - SIMILARITY))
-            .select("key", "doc_id", "weight"),
-            "left",
-        )
-        if left.isEmpty():
-            return links
-        classes = scratch_table(components(links), "classes")
-        placed = left.join(classes, left["doc_id"] == classes["node"], "left").select(
-            "key", "doc_id", "weight", F.coalesce("component", "doc_id").alias("component")
-        )
-        apart = scratch_table(
-            placed.groupBy("key")
-            .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-            .filter("low < high")
-            .select("key"),
-            "apart",
-        )
-        members = scratch_table(left.join(apart, "key"), "members")
-        if members.isEmpty():
-            return links
-        pivots *= 16
+    return scratch_table(exact.withColumn("exact", F.lit(True)).unionAll(unlike), "similarities")
 
 
 def duplicate_classes(docs: DataFrame) -> DataFrame:
@@ -223,7 +151,8 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
     members = scratch_table(
         crowded.join(weights, "doc_id").select("key", "doc_id", "weight"), "members"
     )
-    links = _links(members, single.select("doc_id", "sketch"), rows)
+    sketches = single.select("doc_id", "sketch")
+    links = bucket_links(members, lambda pairs: _similarities(pairs, sketches, rows), SIMILARITY)
     # Rows that share an id link the first documents of their texts.
     links = links.unionAll(same.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
     classes = scratch_table(components(links), "classes")
