@@ -14,11 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyreach.llm.common import documents
-from tallyreach.llm.shingles import shingle_hashes, word_hashes
+from tallyreach.llm.shingles import run_hashes
 from tallyreach.llm.tokens import chunks
 from tallyreach.sources.storage import scratch_table
 
@@ -29,11 +30,34 @@ RARITY = 8.0
 MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BITMAP_BITS = 24
-_WORD = re.compile(r"\w+")
+_NO_WORD = re.compile(r"\W+")
+_MAX_KNOWN = 500_000
+
+
+class _Known(dict):
+    """Hashes of words by how they are written, 0 where nothing is left of one."""
+
+    def __missing__(self, written: str) -> int:
+        if len(self) > _MAX_KNOWN:
+            self.clear()
+        word = _NO_WORD.sub("", written)
+        value = self[written] = xxhash.xxh64_intdigest(word) if word else 0
+        return value
+
+
+_known = _Known()
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Lower-cased words without all that is no letter or digit."""
+    return [word for written in text.lower().split() if (word := _NO_WORD.sub("", written))]
+
+
+def hashes_of(text: str) -> np.ndarray:
+    """The hashes of :func:`words_of`."""
+    written = text.lower().split()
+    found = np.fromiter(map(_known.__getitem__, written), np.uint64, len(written))
+    return found[found != 0]
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -99,13 +123,13 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         owners, places, words, seeds = [], [], [], []
         for number, text in enumerate(batch.column("text").to_pylist()):
-            all_words = words_of(text)
-            seed = shingle_hashes(all_words, SEED_WORDS)
-            owners.append(np.full(len(all_words), number, np.int32))
-            places.append(np.arange(len(all_words), dtype=np.int32))
-            words.append(word_hashes(all_words))
+            hashes = hashes_of(text)
+            seed = run_hashes(hashes, SEED_WORDS)
+            owners.append(np.full(len(hashes), number, np.int32))
+            places.append(np.arange(len(hashes), dtype=np.int32))
+            words.append(hashes)
             # The last words of an item begin no seed of their own; they repeat the last one.
-            seeds.append(seed[np.minimum(np.arange(len(all_words)), len(seed) - 1)])
+            seeds.append(seed[np.minimum(np.arange(len(hashes)), len(seed) - 1)])
         flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         yield pa.RecordBatch.from_arrays(
             [
@@ -123,7 +147,7 @@ def _word_counts(bits: np.ndarray):
         for batch in batches:
             all_texts = batch.column("text").to_pylist()
             for rows in chunks(all_texts):
-                hashes = np.concatenate([word_hashes(words_of(text)) for text in all_texts[rows]])
+                hashes = np.concatenate([hashes_of(text) for text in all_texts[rows]])
                 word, times = np.unique(hashes[_marked(bits, hashes)], return_counts=True)
                 # The row without a word has the number of all words.
                 yield pa.RecordBatch.from_arrays(
@@ -142,7 +166,7 @@ def _hits(bits: np.ndarray):
         for batch in batches:
             owners, places, seeds = [], [], []
             for number, text in enumerate(batch.column("text").to_pylist()):
-                hashes = shingle_hashes(words_of(text), SEED_WORDS)
+                hashes = run_hashes(hashes_of(text), SEED_WORDS)
                 hit = np.flatnonzero(_marked(bits, hashes))
                 if len(hit):
                     owners.append(np.full(len(hit), number, np.int32))
@@ -164,7 +188,7 @@ def _hits(bits: np.ndarray):
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [
-            passage(word_hashes(words_of(item)), word_hashes(words_of(text)), starts)
+            passage(hashes_of(item), hashes_of(text), starts)
             for item, text, starts in zip(
                 *(batch.column(c).to_pylist() for c in ("item_text", "text", "starts"))
             )
@@ -230,7 +254,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_S
     The score is that of the best Smith-Waterman alignment (2 for a word that agrees, -1 for one
     that differs, is missing or added), as a share of what the whole item would give; pairs with at
     least ``min_score`` are returned, with the words of the document that were aligned. Words are
-    runs of letters and digits in lower case. NULL and empty texts, in either table, hold nothing.
+    lower-cased and stand between white space; all in them that is no letter or digit is left out. NULL and empty texts, in either table, hold nothing.
     Items of fewer than three words are found in documents that are nothing else. Rows that are the same
     in id and text give one row; rows without an id are returned with a NULL id. Empty tables give no
     rows; other columns are ignored.

@@ -51,9 +51,12 @@ def word_hashes(words: list[str]) -> np.ndarray:
 
 def shingle_hashes(words: list[str], size: int = WORDS) -> np.ndarray:
     """A hash for each run of ``size`` words; a shorter text is one run, no word gives none."""
-    hashes = word_hashes(words)
-    count = max(len(words) - size + 1, min(len(words), 1))
-    width = min(size, len(words))
+    return run_hashes(word_hashes(words), size)
+
+
+def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    count = max(len(hashes) - size + 1, min(len(hashes), 1))
+    width = min(size, len(hashes))
     total = np.full(count, width, np.uint64)
     for place in range(width):
         total += mix(hashes[place : place + count] * _MULTIPLIERS[place])
