@@ -12,12 +12,13 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 
 CHUNK_CHARS = 4_000_000
-MAX_PIECES = 500_000
+MAX_PIECES = 650_000
+KEPT_PIECES = 250_000
 
 # Runs of white space leave in doubt what starts a word; then only the sure places cut.
 _BLANK = re.compile(r"\s")
@@ -56,14 +57,20 @@ class Encoder:
         self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, number in self.tokenizer.get_vocab().items():
             self.begins[number] = token.startswith("\u0120")
-        self._forget()
-
-    def _forget(self) -> None:
         self.places = _Places()
         self.blank: list[int] = []  # pieces with other white space
         self.ids = np.zeros(0, np.int32)
         self.ends = np.zeros(1, np.int64)
 
+    def _forget(self) -> None:
+        """Keep the pieces that were met first, which are the frequent ones."""
+        kept = _Places()
+        kept.update(islice(self.places.items(), KEPT_PIECES))
+        self.places = kept
+        self.blank = [place for place in self.blank if place < len(kept)]
+        self.ends = self.ends[: len(kept) + 1]
+        self.ids = self.ids[: self.ends[-1]].copy()
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and how many each has."""
         if len(self.places) > MAX_PIECES:
