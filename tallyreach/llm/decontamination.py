@@ -31,7 +31,7 @@ MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BITMAP_BITS = 24
 _NO_WORD = re.compile(r"\W+")
-_MAX_KNOWN = 500_000
+_MAX_KNOWN = 150_000
 
 
 class _Known(dict):

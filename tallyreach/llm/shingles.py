@@ -12,7 +12,7 @@ _MULTIPLIERS = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD],
     np.uint64,
 )
-_MAX_KNOWN = 500_000
+_MAX_KNOWN = 150_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
