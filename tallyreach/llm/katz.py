@@ -1,16 +1,22 @@
 """Scores of texts under a Katz backoff model of word pairs.
 
-The vocabulary is made of the most frequent training words, as many as a broadcast may hold; the
-others are one class, within which a word has its share of the class. Counts of pairs and of words
-are Good-Turing discounted, and what the discounts leave goes to unseen pairs by backoff weights that
-make every context sum to one:
+All training words are told apart as contexts and followers. Counts of pairs and of words are
+Good-Turing discounted, and what the discounts leave goes to unseen pairs by backoff weights that make
+every context sum to one:
 
     P(w | h) = d c(h, w) / (c(h) + 1)    if h w was seen in training
-             = a(h) P(class of w)        if not
-    each times P(w) / P(class) where w is not in the vocabulary.
+             = a(h) P(w)                 if not
 
 The one that is added to c(h) leaves mass to unseen words also where all counts are too large to be
-discounted. Where every class was seen after h, its chances are raised in proportion instead.
+discounted.
+
+The most frequent words, as many as a broadcast may hold, have short ids, and their counts, chances and
+backoff weights are in every task. Every other word goes by its hash: its count and its weight stay in
+tables that are joined by it.
+
+A vocabulary may be asked for. The words outside of it then are one class, within which a word has its
+share of the class: a(h) P(class of w), and each times P(w) / P(class) where w is not in the vocabulary.
+Where every class was seen after h, its chances are raised in proportion instead of backing off.
 
 Every text is cut once. Its pairs go to buckets by context, a frequent context to several, in
 compressed blocks of many documents. A bucket holds all occurrences of its pairs, so it counts them,
@@ -38,7 +44,8 @@ from tallyreach.llm.tokens import chunks
 from tallyreach.sources.storage import scratch_folder, scratch_table
 
 FOLDS, HELD_OUT = 5, 1
-VOCABULARY = 1 << 18
+# Words that every task holds at most.
+FREQUENT = 1 << 18
 # Good-Turing discounts apply to counts up to this.
 MOST_DISCOUNTED = 5
 PAIRS_A_BUCKET = 3_000_000
@@ -46,10 +53,13 @@ END = xxhash.xxh64_intdigest(b"\n")  # no word holds a line feed
 # Places in the vocabulary that belong to no word.
 OTHER, START = 0, 1
 ID_BITS = 20
+# Codes of words without an id have this bit, and so are below zero as signed numbers.
+RARE = np.uint64(1 << 63)
+FAR_BITS = 31
 BLOCK_SCHEMA = "bucket int, block long, payload binary"
 FOUND_SCHEMA = (
     "kind string, bucket int, block long, payload binary, "
-    "context array<int>, word array<int>, times array<long>"
+    "context array<long>, word array<long>, times array<long>"
 )
 
 
@@ -101,6 +111,10 @@ def discounts(seen: dict[int, int]) -> np.ndarray:
     return np.array([1.0, *found, 1.0])
 
 
+def rare_codes(hashes: np.ndarray) -> np.ndarray:
+    return (hashes | RARE).view(np.int64)
+
+
 @dataclass
 class Words:
     """What the whole training text says about single words."""
@@ -113,14 +127,24 @@ class Words:
     types: int
     unseen: float  # chance of all words that training never saw
     buckets: int
+    capped: bool  # whether all words without an id are one class
 
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
 
+    def chance(self, count: np.ndarray) -> np.ndarray:
+        """The chance of a word by its count."""
+        own = self.discount[np.minimum(count, MOST_DISCOUNTED + 1)] * count / max(self.tokens, 1)
+        return np.where(count > 0, own, self.unseen)
+
     def share(self, count: np.ndarray) -> np.ndarray:
         """The share of its class that a word outside the vocabulary has, by its count."""
-        own = self.discount[np.minimum(count, MOST_DISCOUNTED + 1)] * count / max(self.tokens, 1)
-        return np.where(count > 0, own, self.unseen) / self.chances[OTHER]
+        return self.chance(count) / self.chances[OTHER]
+
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        """The ids of words; of the others the class they are in, or their hashes below zero."""
+        found = self.ids(hashes)
+        return found if self.capped else np.where(found == OTHER, rare_codes(hashes), found)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -131,8 +155,8 @@ class Words:
 
     @property
     def classes(self) -> int:
-        """What may follow a context: all words of the vocabulary, and the class of all others."""
-        return len(self.hashes) + 1
+        """What may follow a context: all words that are told apart, and the class of all others."""
+        return (len(self.hashes) if self.capped else self.types) + 1
 
     def followed_by_all(self, contexts: np.ndarray, bucket: int) -> np.ndarray:
         """Contexts that were followed by every class that goes to this bucket after them."""
@@ -148,17 +172,19 @@ class Words:
 
     def bucket(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Contexts that hold more than half a bucket's share of all pairs go to several buckets."""
-        several = 1 + (self.counts[context] * (2.0 * self.buckets) / max(self.tokens, 1)).astype(np.int64)
+        times = np.where(context >= 0, self.counts[np.maximum(context, 0)], 0)
+        several = 1 + (times * (2.0 * self.buckets) / max(self.tokens, 1)).astype(np.int64)
         spread = (mix(word.astype(np.uint64)) % several.astype(np.uint64)).astype(np.int64)
         return ((mix(context.astype(np.uint64)) >> np.uint64(1)).astype(np.int64) + spread) % self.buckets
 
 
-def word_statistics(rows: DataFrame, vocabulary: int = VOCABULARY) -> Words:
-    """Count the words of the training rows and choose the vocabulary.
+def word_statistics(rows: DataFrame, vocabulary: int | None = None) -> tuple[Words, DataFrame]:
+    """Count the words of the training rows and choose those with an id; also the table of the counts.
 
-    All words that are as frequent as some word are in it or none is, and there are at most
-    ``vocabulary`` of them; the end always is.
+    All words that are as frequent as some word have an id or none has, and there are at most
+    ``vocabulary`` of them, or ``FREQUENT`` without a vocabulary; the end always has one.
     """
+    most = FREQUENT if vocabulary is None else vocabulary
     spark = rows.sparkSession
     training = rows.filter(~F.col("held_out")).select("text")
     counts = scratch_table(
@@ -178,7 +204,7 @@ def word_statistics(rows: DataFrame, vocabulary: int = VOCABULARY) -> Words:
     tokens, types = sum(r["tokens"] for r in steps), sum(r["words"] for r in steps)
     frequent, least = 1, None
     for row in sorted(steps, key=lambda r: -r["step"]):
-        if frequent + row["words"] > vocabulary:
+        if frequent + row["words"] > most:
             break
         frequent, least = frequent + row["words"], row["least"]
     signed_end = int(np.uint64(END).astype(np.int64))
@@ -199,7 +225,7 @@ def word_statistics(rows: DataFrame, vocabulary: int = VOCABULARY) -> Words:
     n_buckets = max(
         int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // PAIRS_A_BUCKET), 1
     )
-    return Words(
+    words = Words(
         hashes,
         np.concatenate(([tokens - int(times.sum()), docs], times)),
         np.concatenate(([max(1 - own.sum(), 1e-300), 0.0], own)),
@@ -208,7 +234,9 @@ def word_statistics(rows: DataFrame, vocabulary: int = VOCABULARY) -> Words:
         types,
         unseen,
         n_buckets,
+        vocabulary is not None,
     )
+    return words, counts
 
 
 def _packed(**arrays: np.ndarray) -> bytes:
@@ -248,7 +276,7 @@ def _grouped(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def _blocks(words: Words):
-    """Blocks of documents, cut by bucket: pairs in the vocabulary, and words outside of it."""
+    """Blocks of documents, cut by bucket: pairs of ids, pairs with a word that has none, and such words."""
 
     def block_of(number: int, ids: list, held_out: list[bool], all_texts: list[str]):
         cut = [token_hashes(text) for text in all_texts]
@@ -256,11 +284,11 @@ def _blocks(words: Words):
         hashes = np.concatenate(cut)
         doc = np.repeat(np.arange(len(cut), dtype=np.uint32), sizes)
         distinct, at = np.unique(hashes, return_inverse=True)
-        word = words.ids(distinct)[at]
+        word = words.codes(distinct)[at]
         context = np.concatenate(([START], word[:-1]))
         context[np.concatenate(([0], np.cumsum(sizes)[:-1]))] = START
-        inside = word != OTHER
-        base = _sums(doc, np.where(inside, words.base(words.counts[word]), 0.0), len(cut))
+        inside = word > OTHER
+        base = _sums(doc, np.where(inside, words.base(words.counts[np.maximum(word, 0)]), 0.0), len(cut))
         known = _sums(doc, inside, len(cut)).astype(np.int64)
         info = {
             "doc_id": ids, "held_out": held_out, "n_tokens": sizes, "base": base, "known": known,
@@ -269,21 +297,33 @@ def _blocks(words: Words):
         yield -1 - int(mix(np.array([number], np.uint64))[0] % np.uint64(words.buckets)), pickle.dumps(info)
         training = ~np.array(held_out, bool)
         bucket = words.bucket(context, word).astype(np.int32)
-        (bucket, pair, owner), times = _grouped(bucket, (context << ID_BITS) + word, doc)
+        far = (context < 0) | (word < 0)
+        (far_bucket, far_context, far_word, far_owner), far_times = _grouped(
+            bucket[far], context[far], word[far], doc[far]
+        )
+        (bucket, pair, owner), times = _grouped(
+            bucket[~far], (context[~far] << ID_BITS) + word[~far], doc[~far]
+        )
         rare = hashes[~inside]
         rare_bucket = (mix(rare) % np.uint64(words.buckets)).astype(np.int32)
         (rare_bucket, rare, rare_owner), rare_times = _grouped(rare_bucket, rare, doc[~inside])
         numbers = np.arange(words.buckets + 1)
-        starts, rare_starts = np.searchsorted(bucket, numbers), np.searchsorted(rare_bucket, numbers)
+        starts, far_starts, rare_starts = (
+            np.searchsorted(b, numbers) for b in (bucket, far_bucket, rare_bucket)
+        )
         flags = training.astype(np.uint8)
         for b in range(words.buckets):
-            mine, rares = slice(starts[b], starts[b + 1]), slice(rare_starts[b], rare_starts[b + 1])
-            if mine.start < mine.stop or rares.start < rares.stop:
+            mine, fars, rares = (slice(s[b], s[b + 1]) for s in (starts, far_starts, rare_starts))
+            if any(part.start < part.stop for part in (mine, fars, rares)):
                 keys = pair[mine]
                 yield b, _packed(
                     pair=np.diff(keys, prepend=0),
                     doc=owner[mine],
                     times=times[mine].astype(np.uint32),
+                    far_context=np.diff(far_context[fars], prepend=0),
+                    far_word=far_word[fars],
+                    far_doc=far_owner[fars],
+                    far_times=far_times[fars].astype(np.uint32),
                     rare=rare[rares],
                     rare_doc=rare_owner[rares],
                     rare_times=rare_times[rares].astype(np.uint32),
@@ -329,8 +369,8 @@ def _row(kind: str, bucket: int, block: int = 0, payload: bytes | None = None, t
     return pa.RecordBatch.from_arrays(
         [
             pa.array([kind]), pa.array([bucket], pa.int32()), pa.array([block], pa.int64()),
-            pa.array([payload], pa.binary()), pa.array([lists[0]], pa.list_(pa.int32())),
-            pa.array([lists[1]], pa.list_(pa.int32())), pa.array([lists[2]], pa.list_(pa.int64())),
+            pa.array([payload], pa.binary()), pa.array([lists[0]], pa.list_(pa.int64())),
+            pa.array([lists[1]], pa.list_(pa.int64())), pa.array([lists[2]], pa.list_(pa.int64())),
         ],
         names=[field.split()[0] for field in FOUND_SCHEMA.split(", ")],
     )
@@ -360,23 +400,46 @@ def _looked_up(words: Words):
             for row in rows:
                 block = _unpacked(row["payload"])
                 block["pair"] = np.cumsum(block["pair"])
+                block["far_context"] = np.cumsum(block["far_context"])
                 blocks.append((row["block"], block))
-            learned = [
-                (b["training"][b["doc"]] > 0, b["training"][b["rare_doc"]] > 0) for _, b in blocks
-            ]
-            table, counts = totals(
-                [b["pair"][m] for (_, b), (m, _) in zip(blocks, learned)],
-                [b["times"][m] for (_, b), (m, _) in zip(blocks, learned)],
-            )
-            rares, rare_counts = totals(
-                [b["rare"][m] for (_, b), (_, m) in zip(blocks, learned)],
-                [b["rare_times"][m] for (_, b), (_, m) in zip(blocks, learned)],
+            # Words of far pairs are numbered within the bucket, so that a pair is one number.
+            codes, at = np.unique(
+                np.concatenate([b[name] for _, b in blocks for name in ("far_context", "far_word")]),
+                return_inverse=True,
             )
+            start = 0
+            for _, b in blocks:
+                size = len(b["far_word"])
+                b["far"] = (at[start : start + size] << FAR_BITS) + at[start + size : start + 2 * size]
+                start += 2 * size
+
+            def learned(key: str, doc: str, times: str) -> tuple[np.ndarray, np.ndarray]:
+                masks = [b["training"][b[doc]] > 0 for _, b in blocks]
+                return totals(
+                    [b[key][m] for (_, b), m in zip(blocks, masks)],
+                    [b[times][m] for (_, b), m in zip(blocks, masks)],
+                )
+
+            table, counts = learned("pair", "doc", "times")
+            far_table, far_counts = learned("far", "far_doc", "far_times")
+            rares, rare_counts = learned("rare", "rare_doc", "rare_times")
             full = words.followed_by_all(table >> ID_BITS, bucket)
+            far_at = far_table >> FAR_BITS
             yield _row(
                 "pairs", bucket,
-                table=(table >> ID_BITS, table & ((1 << ID_BITS) - 1), counts),
+                table=(
+                    np.concatenate((table >> ID_BITS, codes[far_at])),
+                    np.concatenate((table & ((1 << ID_BITS) - 1), codes[far_table & ((1 << FAR_BITS) - 1)])),
+                    np.concatenate((counts, far_counts)),
+                ),
             )
+            # All pairs of a context without an id are in this bucket.
+            followed = _sums(far_at, far_counts, len(codes))
+            has_id = codes >= 0
+            followed[has_id] = words.counts[codes[has_id]]
+            code_chance = np.ones(len(codes))
+            code_chance[has_id] = np.maximum(words.chances[codes[has_id]], 1e-300)
+            code_chance = np.log10(code_chance)
             for number, b in blocks:
                 size = len(b["training"])
                 count = lookup(table, counts, b["pair"])
@@ -388,13 +451,36 @@ def _looked_up(words: Words):
                 sums = _sums(b["doc"], times * np.where(seen, ratio, unseen), size)
                 rare_count = lookup(rares, rare_counts, b["rare"])
                 rare_times = b["rare_times"].astype(np.float64)
-                sums += _sums(b["rare_doc"], rare_times * np.log10(words.share(rare_count)), size)
+                if words.capped:
+                    sums += _sums(b["rare_doc"], rare_times * np.log10(words.share(rare_count)), size)
+                # Unseen pairs with one of these words have its chance, which the last stage adds.
+                asked = b["training"][b["rare_doc"]] == 0
+                if words.capped:
+                    asked[:] = False
+                asked_word, asked_at = np.unique(b["rare"][asked], return_index=True)
+                far_count = lookup(far_table, far_counts, b["far"])
+                far_seen, far_times = far_count > 0, b["far_times"].astype(np.float64)
+                far_from, far_to = b["far"] >> FAR_BITS, b["far"] & ((1 << FAR_BITS) - 1)
+                far_ratio = np.log10(np.maximum(far_count, 1)) - np.log10(followed[far_from] + 1.0)
+                sums += _sums(
+                    b["far_doc"], far_times * np.where(far_seen, far_ratio, code_chance[far_to]), size
+                )
+                far_few = far_seen & (far_count <= MOST_DISCOUNTED)
                 base = _sums(b["rare_doc"], rare_times * words.base(rare_count), size)
                 known = _sums(b["rare_doc"], rare_times * (rare_count > 0), size)
                 few = seen & (count <= MOST_DISCOUNTED)
                 level = _sums(
                     b["doc"][few] * MOST_DISCOUNTED + count[few] - 1, times[few], size * MOST_DISCOUNTED
+                ) + _sums(
+                    b["far_doc"][far_few] * MOST_DISCOUNTED + far_count[far_few] - 1,
+                    far_times[far_few],
+                    size * MOST_DISCOUNTED,
                 )
+                # Contexts that training doesn't have back off with weight one.
+                open_context = np.unique(far_from[~far_seen])
+                open_context = codes[open_context[(codes[open_context] < 0) & (followed[open_context] > 0)]]
+                if len(open_context):
+                    yield _row("open", bucket, number, table=(open_context, [], []))
                 yield _row(
                     "sums", bucket, number,
                     _packed(
@@ -403,14 +489,24 @@ def _looked_up(words: Words):
                         context=context[~seen].astype(np.uint32), times=b["times"][~seen],
                         full_doc=b["doc"][ended], full=context[ended].astype(np.uint32),
                         full_times=b["times"][ended],
+                        far_doc=b["far_doc"][~far_seen], far_context=codes[far_from[~far_seen]],
+                        far_word=codes[far_to[~far_seen]], far_times=b["far_times"][~far_seen],
+                        rare=rare_codes(asked_word), rare_chance=words.chance(rare_count[asked][asked_at]),
                     ),
                 )
 
     return run
 
 
+_SUMS = (*(f"n{r}" for r in range(1, MOST_DISCOUNTED + 2)), "rest", "chances", "pairs")
+_CONTEXT_SCHEMA = "context long, " + ", ".join(f"{name} double" for name in _SUMS)
+
+
 def _context_sums(chances: np.ndarray):
-    """For each context of a bucket: pairs by count, the rest of its counts, and what its words have."""
+    """For each context of a bucket: pairs by count, the rest of its counts, and what its words have.
+
+    Words without an id have their chances added later.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -421,43 +517,66 @@ def _context_sums(chances: np.ndarray):
                 found, at = np.unique(context, return_inverse=True)
                 many = times > MOST_DISCOUNTED
                 parts = [*(times == r for r in range(1, MOST_DISCOUNTED + 2)), np.where(many, times, 0)]
-                parts += [chances[word], np.ones(len(word))]
+                parts += [np.where(word >= 0, chances[np.maximum(word, 0)], 0.0), np.ones(len(word))]
                 columns = [_sums(at, part, len(found)) for part in parts]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.astype(np.int32)), *map(pa.array, columns)],
+                    [pa.array(found.astype(np.int64)), *map(pa.array, columns)],
                     names=["context", *_SUMS],
                 )
 
     return run
 
 
-_SUMS = (*(f"n{r}" for r in range(1, MOST_DISCOUNTED + 2)), "rest", "chances", "pairs")
+def _rare_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose second word has no id."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            context, word = (batch.column(c)[row].values.to_numpy() for c in ("context", "word"))
+            rare = word < 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(context[rare]), pa.array(word[rare])], names=["context", "word"]
+            )
+
+
+def _rare_chances(pairs: DataFrame, counts: DataFrame, words: Words) -> DataFrame:
+    """Sums for contexts as of ``_context_sums`` that only have the chances of words without an id."""
+    times = F.col("times")
+    step = F.least(times, F.lit(MOST_DISCOUNTED + 1)).cast("int") + 1
+    discount = F.element_at(F.array(*[F.lit(float(d)) for d in words.discount]), step)
+    code = F.col("word").bitwiseOR(F.lit(int(RARE.view(np.int64))).cast("long"))
+    chances = counts.select(code.alias("word"), (discount * times / max(words.tokens, 1)).alias("chances"))
+    found = pairs.mapInArrow(_rare_pairs, "context long, word long").join(chances, "word")
+    return found.select("context", *[F.col(n) if n == "chances" else F.lit(0.0).alias(n) for n in _SUMS])
 
 
-def backoff_weights(pairs: DataFrame, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Discounts of pair counts; for every context its backoff weight, and a factor for seen pairs.
+def backoff_weights(
+    pairs: DataFrame, words: Words, counts: DataFrame
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, DataFrame]:
+    """Discounts of pair counts; for every context with an id its backoff weight, and a factor for seen
+    pairs; last a table with the weights of the other contexts.
 
     A context without any pair backs off with weight one. The factor is one but where a context was
     followed by every class, so that there is nothing left to back off to. What comes to the driver is
-    a row a context, so no more than the vocabulary.
+    a row a context with an id.
     """
     shared = pairs.sparkSession.sparkContext.broadcast(words.chances)
 
     def run(batches):
         return _context_sums(shared.value)(batches)
 
-    schema = "context int, " + ", ".join(f"{name} double" for name in _SUMS)
-    rows = (
-        pairs.select("context", "word", "times")
-        .mapInArrow(run, schema)
-        .groupBy("context")
-        .agg(*[F.sum(name).alias(name) for name in _SUMS])
-        .collect()
+    lists = pairs.select("context", "word", "times")
+    parts = lists.mapInArrow(run, _CONTEXT_SCHEMA)
+    if not words.capped:
+        parts = parts.unionByName(_rare_chances(lists, counts, words))
+    sums = scratch_table(
+        parts.groupBy("context").agg(*[F.sum(name).alias(name) for name in _SUMS]), "katz-contexts"
     )
+    most = MOST_DISCOUNTED
+    seen = sums.agg(*[F.sum(name) for name in _SUMS[: most + 1]]).first()
+    discount = discounts({r: int(seen[r - 1] or 0) for r in range(1, most + 2)})
+    rows = sums.filter("context >= 0").collect()
     found = np.array([[row[name] for name in _SUMS] for row in rows]).reshape(-1, len(_SUMS))
     context = np.array([row["context"] for row in rows], np.int64)
-    most = MOST_DISCOUNTED
-    discount = discounts({r: int(found[:, r - 1].sum()) for r in range(1, most + 2)})
     weights = np.ones(len(words.counts))
     kept = found[:, :most] @ (discount[1 : most + 1] * np.arange(1, most + 1)) + found[:, most + 1]
     kept = kept / (words.counts[context] + 1)
@@ -465,7 +584,19 @@ def backoff_weights(pairs: DataFrame, words: Words) -> tuple[np.ndarray, np.ndar
     weights[context] = np.where(full, 1.0, (1 - kept) / np.maximum(1 - found[:, most + 2], 1e-300))
     factors = np.ones(len(words.counts))
     factors[context] = np.where(full, 1 / np.maximum(kept, 1e-300), 1.0)
-    return discount, weights, factors
+    by_count = [(F.col(f"n{r}") * r, float(discount[r])) for r in range(1, most + 1)]
+    total = sum((n for n, _ in by_count), F.col("rest"))
+    left = 1 - sum((n * d for n, d in by_count), F.col("rest")) / (total + 1)
+    others = sums.filter("context < 0").select("context", (left / (1 - F.col("chances"))).alias("weight"))
+    return discount, weights, factors, others
+
+
+def _at(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The values of the sorted ``keys`` that are asked for, 0 for others."""
+    if not len(keys):
+        return np.zeros(len(asked))
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, values[at], 0.0)
 
 
 def _finished(discount: np.ndarray, weights: np.ndarray, factors: np.ndarray):
@@ -476,13 +607,29 @@ def _finished(discount: np.ndarray, weights: np.ndarray, factors: np.ndarray):
         for _, rows in _runs(batches, "block"):
             info = pickle.loads(next(r["payload"] for r in rows if r["kind"] == "block"))
             size = len(info["doc_id"])
+            given = [r for r in rows if r["kind"] == "weights"]
+            contexts = np.array([c for r in given for c in r["context"]], np.int64)
+            own_logs = np.log10(np.array([w for r in given for w in r["weight"]], np.float64))
+            order = np.argsort(contexts)
+            contexts, own_logs = contexts[order], own_logs[order]
+            parts = [
+                _unpacked(r["payload"])
+                for r in sorted((r for r in rows if r["kind"] == "sums"), key=lambda r: r["bucket"])
+            ]
+            rares = np.concatenate([np.zeros(0, np.int64), *(p["rare"] for p in parts)])
+            rare_logs = np.log10(np.concatenate([np.zeros(0), *(p["rare_chance"] for p in parts)]))
+            order = np.argsort(rares)
+            rares, rare_logs = rares[order], rare_logs[order]
             score, base = np.zeros(size), info["base"].copy()
             known = info["known"].copy()
-            for row in sorted((r for r in rows if r["kind"] == "sums"), key=lambda r: r["bucket"]):
-                part = _unpacked(row["payload"])
+            for part in parts:
                 score += part["sums"] + part["level"].reshape(size, -1) @ by_level
                 score += _sums(part["doc"], part["times"] * logs[part["context"]], size)
                 score += _sums(part["full_doc"], part["full_times"] * full[part["full"]], size)
+                context, word = part["far_context"], part["far_word"]
+                far = np.where(context >= 0, logs[np.maximum(context, 0)], _at(contexts, own_logs, context))
+                far += _at(rares, rare_logs, word)
+                score += _sums(part["far_doc"], part["far_times"] * far, size)
                 base += part["base"]
                 known += part["known"].astype(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -496,7 +643,7 @@ def _finished(discount: np.ndarray, weights: np.ndarray, factors: np.ndarray):
     return run
 
 
-def katz_scores(docs: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
+def katz_scores(docs: DataFrame, vocabulary: int | None = None) -> DataFrame:
     """The log10 probability of every text, a row for each row of ``docs``.
 
     Documents whose CRC-32 of the id leaves another remainder than 1 by five are the training text. A
@@ -504,13 +651,14 @@ def katz_scores(docs: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
     ``n_known`` how many of its tokens training has, ``train_tokens`` how many training has in all. NULL
     and empty texts have the end alone. Rows without an id are training text; repeated rows count as
     often as they come. Without any training text all words are unseen ones. An empty table gives no rows;
-    other columns are ignored. Texts are scored whole. The pair counts stay below the scratch folder, in
+    other columns are ignored. Texts are scored whole. With a ``vocabulary`` only that many words are told
+    apart as contexts and followers, without one all are. The pair counts stay below the scratch folder, in
     ``kind=pairs``: a row a bucket, with contexts, words and counts as lists sorted by context.
     """
     spark = docs.sparkSession
     rows = texts(docs).withColumn("held_out", fold(F.col("doc_id"), FOLDS) == HELD_OUT)
-    words = word_statistics(rows, vocabulary)
-    shared = spark.sparkContext.broadcast(words)  # bounded by the vocabulary
+    words, counts = word_statistics(rows, vocabulary)
+    shared = spark.sparkContext.broadcast(words)  # bounded by FREQUENT or the vocabulary
 
     def blocks(batches):
         return _blocks(shared.value)(batches)
@@ -524,12 +672,21 @@ def katz_scores(docs: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
     found = by_bucket.mapInArrow(looked_up, FOUND_SCHEMA)
     found.write.partitionBy("kind").option("compression", "zstd").parquet(path)
     stored = spark.read.schema(FOUND_SCHEMA).parquet(path)
-    model = spark.sparkContext.broadcast(backoff_weights(stored.filter("kind = 'pairs'"), words))
+    *bounded, others = backoff_weights(stored.filter("kind = 'pairs'"), words, counts)
+    model = spark.sparkContext.broadcast(bounded)
 
     def finished(batches):
         return _finished(*model.value)(batches)
 
-    sums = stored.filter("kind <> 'pairs'").select("kind", "bucket", "block", "payload")
+    asked = stored.filter("kind = 'open'").select("block", F.explode("context").alias("context"))
+    weights = (
+        asked.join(others, "context")
+        .groupBy("block")
+        .agg(F.collect_list("context").alias("context"), F.collect_list("weight").alias("weight"))
+        .withColumn("kind", F.lit("weights"))
+    )
+    sums = stored.filter("kind in ('block', 'sums')").select("kind", "bucket", "block", "payload")
+    sums = sums.unionByName(weights, allowMissingColumns=True)
     by_block = sums.repartitionByRange("block").sortWithinPartitions("block", "bucket")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     return by_block.mapInArrow(finished, schema).withColumn(

@@ -91,6 +91,27 @@ def test_katz_scores(table, vocabulary):
         assert (row["base_score"], row["score"]) == pytest.approx(expected[5:], rel=1e-9)
 
 
+def test_katz_tells_words_without_an_id_apart(table, monkeypatch):
+    draw = random.Random(9)
+    rows = corpus(1) + [(1000 + i, f"rare{i} the rare{i // 2} unknown{i} Word{i}") for i in range(60)]
+    rows += [(2000 + i, " ".join(f"rare{draw.randrange(30)}" for _ in range(draw.randint(1, 9)))) for i in range(150)]
+    for frequent in (30, 3):
+        monkeypatch.setattr(katz, "FREQUENT", frequent)
+        found = katz.katz_scores(table(rows)).collect()
+        for row, expected in zip(sorted(found, key=lambda r: r["doc_id"]), plain_katz(rows, 1 << 18), strict=True):
+            assert tuple(row[c] for c in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens")) == expected[:5]
+            assert (row["base_score"], row["score"]) == pytest.approx(expected[5:], rel=1e-9)
+
+
+def test_katz_keeps_pairs_of_any_number_of_words(table):
+    ids = iter(doc for doc in range(3000) if not held_out(doc, 5, 1))
+    held = [doc for doc in range(100) if held_out(doc, 5, 1)]
+    rows = [(next(ids), " ".join(f"w{i}" for i in range(start, start + 1000))) for start in range(0, 270_000, 1000)]
+    rows += [(held[0], "w5 w6"), (held[1], "w5 w9")]
+    found = {r["doc_id"]: r["score"] for r in katz.katz_scores(table(rows)).collect()}
+    assert found[held[0]] > found[held[1]] + 1
+
+
 def test_katz_of_odd_documents(odd, empty, table):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     key = lambda r: tuple(map(str, r[:4]))
