@@ -1,6 +1,6 @@
 """Quality classifier: naive Bayes support vectors over n-grams.
 
-Indicators of character n-grams and of words are scaled by the log ratio of how often good and bad
+Indicators of character n-grams, of their shapes and of word n-grams are scaled by the log ratio of how often good and bad
 documents have them, and a linear hinge-loss model is fitted to them by dual coordinate descent. Its
 margins become scores by a logistic curve fitted to documents that it was not trained on.
 """
@@ -13,6 +13,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,25 +31,38 @@ ACCEPT = 0.7
 COST = 1.0
 
 
+def _ngrams(codes: np.ndarray, kind: int) -> list[np.ndarray]:
+    """The distinct character n-grams of the orders from 2 on, ``kind`` apart from others."""
+    found, total = [], codes
+    for order in ORDERS[1:]:
+        if len(codes) < order:
+            break
+        total = total[:-1] * np.uint64(1 << 21) + codes[order - 1 :]
+        found.append(np.unique(mix(total + np.uint64(order << 60)) + np.uint64(kind)))
+    return found
+
+
 def indicators(text: str) -> np.ndarray:
-    """Buckets of the character n-grams of a text, each once, in ascending order.
+    """Buckets of the n-grams of a text, each once, in ascending order.
 
-    Letters count as one of two (small or capital) in n-grams of order 2 and more: what words a text is
-    made of should not matter to them, but how it is set. Order 1 keeps every character. Word
-    n-grams from triples on count where they repeat one word.
+    Characters, pairs and triples of characters as they are written, and of their shapes, where letters
+    count as one of two (small or capital) and digits as one: what a text says, and how it is set. Words
+    as they are written between white space, and pairs of words that follow each other, in lower case.
     """
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     shapes = _SHAPES[np.minimum(codes, len(_SHAPES) - 1).astype(np.int64)]
-    found = [np.unique(codes)]
-    total = shapes
-    for order in ORDERS[1:]:
-        if len(shapes) < order:
-            break
-        total = total[:-1] * np.uint64(1 << 21) + shapes[order - 1 :]
-        found.append(np.unique(total) + np.uint64(order << 60))
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     # The same word three to eight times is an n-gram for each of these lengths, whatever the word.
-    longest = max((len(list(run)) for _, run in groupby(text.split())), default=0)
-    found.append(np.arange(3, min(longest, MOST_REPEATS) + 1, dtype=np.uint64) + np.uint64(4 << 60))
+    longest = max((len(list(run)) for _, run in groupby(words)), default=0)
+    found = [
+        np.unique(codes),
+        *_ngrams(shapes, 0),
+        *_ngrams(codes, 1),
+        np.unique(hashes),
+        np.unique(mix(hashes[:-1]) + hashes[1:]),
+        np.arange(3, min(longest, MOST_REPEATS) + 1, dtype=np.uint64) + np.uint64(4 << 60),
+    ]
     return np.unique(mix(np.concatenate(found)) % np.uint64(BUCKETS)).astype(np.int64)
 
 

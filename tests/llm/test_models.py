@@ -193,6 +193,24 @@ def test_quality_of_held_out_texts(spark, table):
     assert set(kept.toPandas()["doc_id"]) == {d for d in found if found[d]["predicted"]}
 
 
+@pytest.mark.parametrize("shown_by", ["words", "letters", "pairs of words"])
+def test_quality_that_only_words_or_letter_sequences_show(shown_by):
+    draw = random.Random(10)
+    words = ["".join(draw.sample("abcdefgh", 6)) for _ in range(30)]
+
+    def text(good):
+        chosen = [draw.choice(words) for _ in range(40)]
+        if shown_by == "pairs of words":  # the same words, each next to its own
+            return " ".join(w for word in chosen[:20] for w in ([word, word[::-1]] if good else [word[::-1], word]))
+        if shown_by == "words":  # the same letters
+            return " ".join(word if good else "".join(sorted(word)) for word in chosen)
+        return " ".join(chosen) if good else " ".join("".join(draw.sample("abcdefgh", 6)) for _ in chosen)
+
+    rows = [(text(good), good) for good in [1, 0] * 150]
+    model = quality.fit(*map(list, zip(*rows[:200])))
+    assert np.mean([(model.score(t) >= quality.ACCEPT) == good for t, good in rows[200:]]) > 0.95
+
+
 def test_quality_of_odd_documents(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1), (5, 0), (6, 1), (7, 0), (9, 1)], "doc_id long, quality int")
     assert quality.quality_scores(odd, labels).filter("score between 0 and 1").count() == odd.count()
