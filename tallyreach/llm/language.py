@@ -33,7 +33,7 @@ RATE, SOFTENING, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.01, 4
 
 
 def _letter_table() -> np.ndarray:
-    return np.array([chr(code).isalpha() for code in range(0x3000)] + [True])
+    return np.array([chr(code).isalpha() for code in range(0x110000)])
 
 
 _LETTERS = _letter_table()
@@ -64,7 +64,7 @@ def grams(all_texts: list[str]) -> Grams:
     sizes = np.fromiter(map(len, lowered), np.int64, len(lowered))
     joined = "".join(lowered).encode("utf-32-le", "surrogatepass")
     codes = np.frombuffer(joined, np.uint32).astype(np.uint64)
-    letter = _LETTERS[np.minimum(codes, len(_LETTERS) - 1).astype(np.int64)]
+    letter = _LETTERS[codes.astype(np.int64)]
     codes = np.where(letter, codes, np.uint64(32))
     owner = np.repeat(np.arange(len(sizes)), sizes)
     buckets, owners = [], []

@@ -163,6 +163,16 @@ def test_languages_of_odd_documents(odd, empty, table):
     assert found[20] == found[21] == ("und", 0.0) and found[22][0] == "xx"
 
 
+def test_texts_of_signs_beyond_the_first_planes_have_no_letter(table):
+    signs = ["\U0001f600\U0001f680", "\u3001\u3002", "\uff11\uff12\uff0b", "\ue000", "\U00100000"]
+    rows = [(i, "some text", "xx") for i in range(8)] + [(20 + i, text, None) for i, text in enumerate(signs)]
+    rows.append((30, "\u8a9e\uac00\U00020000", None))
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.languages_of(table(rows)).collect()}
+    assert all(found[20 + i] == ("und", 0.0) for i in range(len(signs)))
+    assert found[30][0] == "xx"
+    assert language.grams(signs + ["\u8a9e\uac00\U00020000"]).letters.tolist() == [0, 0, 0, 0, 0, 3]
+
+
 def test_penalty_leaves_weights_at_zero():
     draw = random.Random(3)
     rows = [(prose(draw, LANGUAGES[lang]), lang) for _ in range(60) for lang in LANGUAGES]
