@@ -1,7 +1,8 @@
 """Training documents that hold passages of test items, also edited ones.
 
 Seeds are the rare word triples of the items: those that chance would hardly bring together, judged
-by how often their words occur in the whole corpus. A fixed-size bitmap of the seeds goes to all
+by how often their words occur in the whole corpus. Items with few of them, as those of common words or
+with very many copies, have all their triples as seeds. A fixed-size bitmap of the seeds goes to all
 tasks and picks the places in the documents that may hold one; those are joined with the seeds.
 Around every seed the item is aligned with the document by Smith-Waterman on words, so that replaced,
 missing and added words cost something but don't hide a copy.
@@ -24,9 +25,10 @@ from tallyreach.llm.tokens import chunks
 from tallyreach.sources.storage import scratch_table
 
 SEED_WORDS = 3
-# A seed is rare if its words meet by chance less than once in 10^8 places; an item without one
-# uses its rarest.
+# A seed is rare if its words meet by chance less than once in 10^8 places. An item that has rare ones in
+# fewer than so many stretches of three words uses all its triples: few seeds are easily edited away.
 RARITY = 8.0
+FEWEST_STRETCHES = 8
 MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BITMAP_BITS = 24
@@ -213,7 +215,7 @@ def row_key() -> Column:
 
 
 def seeds_of(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """seed, item and item_pos of the rare word triples of ``items`` (item, text)."""
+    """seed, item and item_pos of the rare word triples of ``items`` (item, text), or of all where few are rare."""
     words = scratch_table(
         items.mapInArrow(_item_words, "item long, item_pos int, word long, seed long"), "item-words"
     )
@@ -239,10 +241,12 @@ def seeds_of(items: DataFrame, docs: DataFrame) -> DataFrame:
     ranked = triples.join(scratch_table(held, "held"), "seed").withColumn(
         "rarity", F.col("rarity") - F.log10("items")
     )
-    best = F.max("rarity").over(Window.partitionBy("item"))
+    rare = F.col("rarity") >= RARITY
+    stretch = F.when(rare, F.floor(F.col("item_pos") / SEED_WORDS))
+    covered = F.size(F.collect_set(stretch).over(Window.partitionBy("item")))
     return scratch_table(
-        ranked.withColumn("best", best)
-        .filter(F.col("rarity") >= F.least(F.lit(RARITY), "best"))
+        ranked.withColumn("covered", covered)
+        .filter(rare | (F.col("covered") < FEWEST_STRETCHES))
         .select("seed", "item", "item_pos"),
         "seeds",
     )

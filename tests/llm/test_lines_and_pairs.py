@@ -181,6 +181,28 @@ def test_edited_passages_are_found(table, benchmark):
     assert set(left.toPandas()["doc_id"]) == set(texts) - {doc for doc, _ in expected}
 
 
+def test_edited_copies_of_a_hot_item_and_of_common_words_are_found(spark, table):
+    draw = random.Random(11)
+    hot = [f"hot{i}" for i in range(30)]
+    common = [draw.choice(["the", "of", "and", "to", "in", "is"]) for _ in range(30)]
+    items = spark.createDataFrame([(1, " ".join(hot)), (2, " ".join(common))], "item_id long, text string")
+    rows, expected = [], set()
+    for doc in range(400):
+        text = [draw.choice(["the", "of", "and", *(f"w{i}" for i in range(300))]) for _ in range(50)]
+        item = [0, 1, 1, 2][doc % 4]
+        if item:
+            kept = [w if draw.random() > 0.15 else f"new{draw.randrange(10**6)}" for w in [hot, common][item - 1]]
+            text[20:20] = kept
+        rows.append((doc, " ".join(text)))
+        words = np.array(text)
+        expected |= {
+            (doc, number) for number, words_of_item in ((1, hot), (2, common))
+            if align(np.array(words_of_item), words)[0] / 60 >= 0.5
+        }
+    found = {(r["doc_id"], r["item_id"]) for r in contaminated(table(rows), items).collect()}
+    assert len(expected) > 250 and found == expected
+
+
 def test_decontamination_of_nothing(odd, empty, benchmark):
     assert contaminated(odd, benchmark).count() == 0
     assert contaminated(empty, benchmark).count() == 0
