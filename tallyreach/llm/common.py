@@ -23,3 +23,10 @@ def fold(key: Column, parts: int) -> Column:
 def texts(frame: DataFrame, *kept: str) -> DataFrame:
     """The id, the text with NULL as the empty text, and the columns named."""
     return frame.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *kept)
+
+
+def crc_sql(text: str) -> str:
+    """DuckDB's expression for the unsigned CRC-32 of an ASCII text, NULL for NULL."""
+    step = "list_reduce(list_transform(range(8), lambda i: 0::UBIGINT), lambda x, i: xor(x >> 1, 3988292384::UBIGINT * (x & 1)), xor(c, b))"
+    characters = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(({text})[i])::UBIGINT)"
+    return f"xor(list_reduce({characters}, lambda c, b: {step}, 4294967295::UBIGINT), 4294967295::UBIGINT)"

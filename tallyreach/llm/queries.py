@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from tallyreach.llm import decontamination, katz, language, line_dedup, near_dedup, packing, personal_data, quality, spotsigs, token_files
+from tallyreach.llm import (
+    conversations,
+    decontamination,
+    katz,
+    language,
+    line_dedup,
+    merkle,
+    near_dedup,
+    packing,
+    personal_data,
+    quality,
+    simhash,
+    spotsigs,
+    token_files,
+)
 
 QUERIES = {
     "op2_benchmark_decontamination": decontamination.op2_benchmark_decontamination,
@@ -15,6 +29,13 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_simhash_near_dedup": simhash.op11_simhash_near_dedup,
+    "op12_conversation_repair": conversations.op12_conversation_repair,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
-ORACLE: dict[str, str] = {"op9_line_dedup": line_dedup.OP9_SQL}
+ORACLE: dict[str, str] = {
+    "op9_line_dedup": line_dedup.OP9_SQL,
+    "op12_conversation_repair": conversations.OP12_SQL,
+    "op13_merkle_manifest": merkle.OP13_SQL,
+}

@@ -17,12 +17,15 @@ COLUMNS = {
     "op10_best_fit_packing": {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"},
     "op1_minhash_near_dedup": {"doc_id", "class_id"},
     "op2_benchmark_decontamination": {"doc_id", "item_id", "score"},
+    "op11_simhash_near_dedup": {"doc_id", "fingerprint", "component_id"},
+    "op12_conversation_repair": {"conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"},
+    "op13_merkle_manifest": {"doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"},
 }
 
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op"))
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert "pipeline" in entry.queries()
 
 
@@ -34,6 +37,9 @@ def test_query(spark, name):
     documents = spark.read.parquet(f"{SF}/documents.parquet").count()
     if name == "op10_best_fit_packing":
         assert sum(rows.values()) >= documents
+    elif name == "op12_conversation_repair":
+        conversations = spark.read.parquet(f"{SF}/conversations.parquet")
+        assert sum(rows.values()) == conversations.select("conv_id").distinct().count()
     elif name != "op2_benchmark_decontamination":
         assert sum(rows.values()) == documents
     if name in entry.oracle_sql():
