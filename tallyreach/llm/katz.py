@@ -48,6 +48,9 @@ FOLDS, HELD_OUT = 5, 1
 FREQUENT = 1 << 18
 # Good-Turing discounts apply to counts up to this.
 MOST_DISCOUNTED = 5
+# The line through the counts of counts goes through those of counts up to this.
+FITTED = 64
+FLATTEST = -1.1
 PAIRS_A_BUCKET = 3_000_000
 END = xxhash.xxh64_intdigest(b"\n")  # no word holds a line feed
 # Places in the vocabulary that belong to no word.
@@ -93,22 +96,34 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def falling_power(seen: dict[int, int]) -> float:
+    """The power of the count by which counts of counts fall: Simple Good-Turing's line.
+
+    ``seen[r]`` is how many events were counted r times. Each is averaged over the gap to its neighbours,
+    and the line goes through the logarithms. A single point gets Zipf's power, -2. Above -1 the line would
+    give counts back more than they have; the power is FLATTEST at most.
+    """
+    r = np.array(sorted(r for r, n in seen.items() if n > 0), np.float64)
+    if len(r) < 2:
+        return -2.0
+    before, after = np.concatenate(([0.0], r[:-1])), np.append(r[1:], 2 * r[-1] - r[-2])
+    averaged = np.array([seen[int(x)] for x in r]) * 2 / (after - before)
+    x, y = np.log(r), np.log(averaged)
+    power = ((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum()
+    return min(float(power), FLATTEST)
+
+
 def discounts(seen: dict[int, int]) -> np.ndarray:
     """Good-Turing discounts by count: entry r for counts of r, the last for all larger ones.
 
-    ``seen[r]`` is how many events were counted r times. Where the counts of counts don't fall as the
-    estimate needs (small corpora), half a count is taken off instead.
+    ``seen[r]`` is how many events were counted r times. With counts of counts on a falling line, r counts as
+    r (1 + 1/r) ** (power + 1); Katz's cut leaves counts above MOST_DISCOUNTED whole. The
+    discounts are between 0 and 1 for every ``seen``.
     """
-    most = MOST_DISCOUNTED
-    n = [seen.get(r, 0) for r in range(most + 2)]
-    plain = np.array([1.0, *[(r - 0.5) / r for r in range(1, most + 1)], 1.0])
-    if not all(n[1:]):
-        return plain
-    cut = (most + 1) * n[most + 1] / n[1]
-    found = [((r + 1) * n[r + 1] / (r * n[r]) - cut) / (1 - cut) if cut != 1 else 0.0 for r in range(1, most + 1)]
-    if not all(0 < d < 1 for d in found):
-        return plain
-    return np.array([1.0, *found, 1.0])
+    power = falling_power({r: n for r, n in seen.items() if r <= FITTED})
+    r = np.arange(1, MOST_DISCOUNTED + 1)
+    cut = (MOST_DISCOUNTED + 1.0) ** (power + 1)
+    return np.array([1.0, *((1 + 1 / r) ** (power + 1) - cut) / (1 - cut), 1.0])
 
 
 def rare_codes(hashes: np.ndarray) -> np.ndarray:
@@ -213,7 +228,7 @@ def word_statistics(rows: DataFrame, vocabulary: int | None = None) -> tuple[Wor
     times = np.array([r["times"] for r in chosen], np.int64)
     order = np.argsort(hashes)
     hashes, times = hashes[order], times[order]
-    discount = discounts({r["step"]: r["words"] for r in steps if r["step"] <= MOST_DISCOUNTED + 1})
+    discount = discounts({r["step"]: r["words"] for r in steps})
     by_count = {r["step"]: r for r in steps}
     lost = sum((1 - discount[r]) * r * by_count[r]["words"] for r in range(1, MOST_DISCOUNTED + 1) if r in by_count)
     # Half a count for what was never seen, where nothing is discounted.
@@ -307,28 +322,28 @@ def _blocks(words: Words):
         rare = hashes[~inside]
         rare_bucket = (mix(rare) % np.uint64(words.buckets)).astype(np.int32)
         (rare_bucket, rare, rare_owner), rare_times = _grouped(rare_bucket, rare, doc[~inside])
-        numbers = np.arange(words.buckets + 1)
-        starts, far_starts, rare_starts = (
-            np.searchsorted(b, numbers) for b in (bucket, far_bucket, rare_bucket)
-        )
+        # Only the buckets that the block has anything for.
+        parts = (bucket, far_bucket, rare_bucket)
+        own = np.unique(np.concatenate(parts))
+        limits = [
+            zip(np.searchsorted(p, own).tolist(), np.searchsorted(p, own, "right").tolist()) for p in parts
+        ]
         flags = training.astype(np.uint8)
-        for b in range(words.buckets):
-            mine, fars, rares = (slice(s[b], s[b + 1]) for s in (starts, far_starts, rare_starts))
-            if any(part.start < part.stop for part in (mine, fars, rares)):
-                keys = pair[mine]
-                yield b, _packed(
-                    pair=np.diff(keys, prepend=0),
-                    doc=owner[mine],
-                    times=times[mine].astype(np.uint32),
-                    far_context=np.diff(far_context[fars], prepend=0),
-                    far_word=far_word[fars],
-                    far_doc=far_owner[fars],
-                    far_times=far_times[fars].astype(np.uint32),
-                    rare=rare[rares],
-                    rare_doc=rare_owner[rares],
-                    rare_times=rare_times[rares].astype(np.uint32),
-                    training=flags,
-                )
+        for b, *ends in zip(own.tolist(), *limits):
+            mine, fars, rares = (slice(*end) for end in ends)
+            yield b, _packed(
+                pair=np.diff(pair[mine], prepend=0),
+                doc=owner[mine],
+                times=times[mine].astype(np.uint32),
+                far_context=np.diff(far_context[fars], prepend=0),
+                far_word=far_word[fars],
+                far_doc=far_owner[fars],
+                far_times=far_times[fars].astype(np.uint32),
+                rare=rare[rares],
+                rare_doc=rare_owner[rares],
+                rare_times=rare_times[rares].astype(np.uint32),
+                training=flags,
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -527,6 +542,15 @@ def _context_sums(chances: np.ndarray):
     return run
 
 
+def _times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many pairs were counted so many times, up to FITTED."""
+    for batch in batches:
+        counts = batch.column("times").flatten().to_numpy()
+        seen = np.bincount(counts[counts <= FITTED], minlength=FITTED + 1)
+        there = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(seen[there])], names=["times", "n"])
+
+
 def _rare_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose second word has no id."""
     for batch in batches:
@@ -572,8 +596,8 @@ def backoff_weights(
         parts.groupBy("context").agg(*[F.sum(name).alias(name) for name in _SUMS]), "katz-contexts"
     )
     most = MOST_DISCOUNTED
-    seen = sums.agg(*[F.sum(name) for name in _SUMS[: most + 1]]).first()
-    discount = discounts({r: int(seen[r - 1] or 0) for r in range(1, most + 2)})
+    seen = lists.select("times").mapInArrow(_times, "times long, n long").groupBy("times").agg(F.sum("n"))
+    discount = discounts(dict(seen.collect()))  # FITTED rows
     rows = sums.filter("context >= 0").collect()
     found = np.array([[row[name] for name in _SUMS] for row in rows]).reshape(-1, len(_SUMS))
     context = np.array([row["context"] for row in rows], np.int64)
@@ -667,7 +691,9 @@ def katz_scores(docs: DataFrame, vocabulary: int | None = None) -> DataFrame:
         return _looked_up(shared.value)(batches)
 
     cut = rows.mapInArrow(blocks, BLOCK_SCHEMA)
-    by_bucket = cut.repartitionByRange("bucket").sortWithinPartitions("bucket", "block")
+    # By number, as ranges would have to be sampled, and every text be cut twice.
+    place = F.pmod("bucket", F.lit(words.buckets))
+    by_bucket = cut.repartitionById(words.buckets, place).sortWithinPartitions("bucket", "block")
     path = f"{scratch_folder(spark)}/tallyreach/katz-{uuid.uuid4().hex}"
     found = by_bucket.mapInArrow(looked_up, FOUND_SCHEMA)
     found.write.partitionBy("kind").option("compression", "zstd").parquet(path)

@@ -27,6 +27,23 @@ def corpus(seed, documents=250):
     ]
 
 
+def plain_discounts(seen):
+    """Katz's discounts of Good-Turing estimates under the line through the counts of counts up to 64."""
+    points = sorted(r for r in seen if r <= 64)
+    power = -2.0
+    if len(points) > 1:
+        logs = []
+        for i, r in enumerate(points):
+            below = points[i - 1] if i else 0
+            above = points[i + 1] if i + 1 < len(points) else 2 * r - points[i - 1]
+            logs.append((math.log(r), math.log(seen[r] / ((above - below) / 2))))
+        power = min(float(np.polyfit(*zip(*logs), 1)[0]), -1.1)
+    line = lambda r: r**power
+    share = 6 * line(6) / line(1)
+    good = {r: (r + 1) * line(r + 1) / line(r) / r for r in range(1, 6)}
+    return np.array([1.0, *((good[r] - share) / (1 - share) for r in range(1, 6)), 1.0])
+
+
 def plain_katz(rows, vocabulary):
     """Scores of every row by the formula, with tables in memory."""
     tokens = lambda text: (text or "").encode().lower().split() + [b"\n"]
@@ -47,7 +64,7 @@ def plain_katz(rows, vocabulary):
             pairs[before, of(w)] += 1
             contexts[before] += 1
             before = of(w)
-    d1, d2 = katz.discounts(times), katz.discounts(Counter(pairs.values()))
+    d1, d2 = plain_discounts(times), plain_discounts(Counter(pairs.values()))
     lost = sum((1 - d1[r]) * r * times[r] for r in range(1, 6))
     unseen = max(lost, 0.5) / (total + 0.5)
     d1 = d1 * (1 - unseen) / (1 - lost / total)
@@ -128,12 +145,22 @@ def test_katz_of_odd_documents(odd, empty, table):
 
 
 def test_good_turing_takes_what_unseen_pairs_need():
-    seen = {1: 1000, 2: 400, 3: 220, 4: 140, 5: 100, 6: 75}
+    seen = {r: round(1e7 * r**-2.2) for r in range(1, 200)}
     found = katz.discounts(seen)
     assert all(0 < d < 1 for d in found[1:6]) and found[6] == 1
     lost = sum((1 - found[r]) * r * seen[r] for r in range(1, 6))
-    assert lost == pytest.approx(seen[1])
-    assert katz.discounts({1: 5})[1] == 0.5
+    assert lost == pytest.approx(seen[1], rel=1e-3)
+
+
+def test_good_turing_discounts_at_every_size():
+    draw = random.Random(4)
+    cases = [{1: 5}, {7: 1}, {1: 1, 2: 9, 3: 50}, {1: 1_482_341, 2: 227_973, 3: 46_941, 4: 19_718, 5: 17_404, 6: 6_993}]
+    cases += [{draw.randint(1, 90): draw.randint(1, 1000) for _ in range(draw.randint(1, 9))} for _ in range(200)]
+    for seen in cases:
+        found = katz.discounts(seen)
+        assert found == pytest.approx(plain_discounts(seen), rel=1e-9)
+        # More is left of larger counts.
+        assert all(0 < a < b < 1 for a, b in zip(found[1:5], found[2:6])), seen
 
 
 LANGUAGES = {"xx": "abcde", "yy": "defgh", "zz": "ghijk"}
