@@ -2,9 +2,9 @@
 
 Within a bucket all members are compared with the one of the highest weight. Distance is a metric, so a
 member that is close to that pivot can leave the bucket once nobody who failed is near enough to be
-linked with it. In buckets where several classes are left, further rounds compare those outside the
-largest class with the members that they may still reach, until no bucket has two classes left that were
-not compared.
+linked with it. Documents of buckets where several classes are left may be dealt anew, to smaller buckets in
+which alike ones are sure to meet. There further rounds compare those outside the largest class with the
+members that they may still reach, until no bucket has two classes left that were not compared.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from tallyreach.llm.components import components
 from tallyreach.sources.storage import scratch_table
 
 Measure = Callable[[DataFrame], DataFrame]
+Deal = Callable[[DataFrame], DataFrame]
 
 
 def _round(
@@ -34,12 +35,15 @@ def _ordered(one: Column, other: Column) -> list[Column]:
     return [F.greatest(one, other).alias("a"), F.least(one, other).alias("b")]
 
 
-def bucket_links(members: DataFrame, measure: Measure, threshold: float) -> DataFrame:
+def bucket_links(
+    members: DataFrame, measure: Measure, threshold: float, deal: Deal | None = None
+) -> DataFrame:
     """Pairs a, b of alike documents that connect all alike documents of every bucket.
 
     ``members`` has a row for each bucket (key) and document in it, with the document's ``weight``.
     ``measure`` adds to stored pairs their ``similarity``, and whether it is ``exact`` or an upper bound
-    of one below the threshold.
+    of one below the threshold. ``deal`` gives members of new buckets, in which any two alike ones of the
+    documents (column doc_id) that it is given share one.
     """
     pivots = scratch_table(
         members.groupBy("key")
@@ -93,6 +97,10 @@ def bucket_links(members: DataFrame, measure: Measure, threshold: float) -> Data
         )
         if buckets.isEmpty():
             break
+        if deal is not None:
+            doubtful = placed.join(buckets, "key", "left_semi").select("doc_id").distinct()
+            anew = scratch_table(deal(scratch_table(doubtful, "doubtful")), "dealt")
+            return links.unionAll(bucket_links(anew, measure, threshold))
         members = scratch_table(placed.join(buckets, "key"), "members")
         drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(1 << 30) * (most / F.col("apart"))
         is_pivot = drawn & (F.col("component") != F.col("main"))

@@ -1,8 +1,10 @@
 """Near-duplicate documents by DartMinHash signatures and banded joining.
 
-Documents with the same words are one from the start. The others get a signature; documents that
+Documents with the same words are one text from the start. Each text gets a signature; texts that
 agree in a whole band of it share a bucket. They are compared there, by the exact weighted
-Jaccard similarity of their shingles, as :mod:`tallyreach.llm.buckets` tells.
+Jaccard similarity of their shingles, as :mod:`tallyreach.llm.buckets` tells. Crowds in which many are nearly
+but not quite alike are dealt anew by their rarest shingles: two alike texts have one in common of the
+rarest fifth of either, which what a crowd shares is not among.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from tallyreach.llm.buckets import bucket_links
 from tallyreach.llm.common import documents, texts
 from tallyreach.llm.components import components
 from tallyreach.llm.dartminhash import signatures
-from tallyreach.llm.shingles import counted, mix, normal_words, weighted_jaccard, weighted_sets
+from tallyreach.llm.shingles import counted, mix, normal_words, tokens_of, weighted_jaccard, weighted_sets
 from tallyreach.llm.tokens import chunks
 from tallyreach.sources.storage import scratch_table
 
@@ -30,12 +32,12 @@ BANDS, ROWS = 42, 6
 SLACK = 0.13
 DOCS_AT_ONCE = 300
 KNOWN_PIVOTS = 32
-SIGNED_SCHEMA = "doc_id long, hi long, lo long, bands array<long>, sketch binary"
+SIGNED_SCHEMA = "doc_id long, row long, hi long, lo long, bands array<long>, sketch binary"
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, all_texts = batch.column("doc_id"), batch.column("text").to_pylist()
+        ids, own, all_texts = batch.column("doc_id"), batch.column("row"), batch.column("text").to_pylist()
         for rows in chunks(all_texts, DOCS_AT_ONCE):
             words = [normal_words(text) for text in all_texts[rows]]
             digests = [
@@ -53,6 +55,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(rows.start, len(words)),
+                    own.slice(rows.start, len(words)),
                     pa.array(halves[:, 0]),
                     pa.array(halves[:, 1]),
                     pa.ListArray.from_arrays(
@@ -60,7 +63,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ),
                     pa.array(sketch, pa.binary()),
                 ],
-                names=["doc_id", "hi", "lo", "bands", "sketch"],
+                names=["doc_id", "row", "hi", "lo", "bands", "sketch"],
             )
 
 
@@ -95,7 +98,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _similarities(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
+def _similarities(pairs: DataFrame, sketches: DataFrame, contents: DataFrame) -> DataFrame:
     """a, b and their similarity; of pairs that are surely unlike an upper bound, not ``exact``."""
     sketch = lambda side: sketches.select(F.col("doc_id").alias(side), F.col("sketch").alias(f"sketch_{side}"))
     estimates = scratch_table(
@@ -106,7 +109,7 @@ def _similarities(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> Dat
     )
     close = estimates.filter(F.col("estimate") >= SIMILARITY - SLACK).select("a", "b")
     ids = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = scratch_table(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "wanted")
+    wanted = scratch_table(_texts_of(ids, contents), "wanted")
     text = lambda side: wanted.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
     exact = close.join(text("a"), "a").join(text("b"), "b").mapInArrow(
         _measured, "a long, b long, similarity double"
@@ -117,6 +120,49 @@ def _similarities(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> Dat
     return scratch_table(exact.withColumn("exact", F.lit(True)).unionAll(unlike), "similarities")
 
 
+def _texts_of(nodes: DataFrame, contents: DataFrame) -> DataFrame:
+    """The text of each of ``nodes``; ``contents`` has the nodes of all rows that show one."""
+    return contents.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [tokens_of(text) for text in batch.column("text").to_pylist()]
+        ends = np.concatenate(([0], np.cumsum([len(f) for f in found])))
+        flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
+            names=["doc_id", "tokens"],
+        )
+
+
+def rarest_tokens(nodes: DataFrame, contents: DataFrame) -> DataFrame:
+    """key, doc_id and weight: the rarest tokens of every node, as many as alike ones can't all differ in.
+
+    Of two sets with a similarity of at least t each has at least the share t of its tokens in common with
+    the other. In an order that holds for all, so one of the first (1 - t) n + 1 of either is shared.
+    Tokens that no other node has come first and are no bucket.
+    """
+    tokens = scratch_table(
+        _texts_of(nodes, contents).select("doc_id", "text").mapInArrow(_tokens, "doc_id long, tokens array<long>"),
+        "tokens",
+    )
+    places = tokens.select("doc_id", F.explode("tokens").alias("key"))
+    shared = scratch_table(places.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared-tokens")
+    known = (
+        places.join(shared, "key")
+        .groupBy("doc_id")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("known"))
+    )
+    size = F.size("tokens")
+    first = size - F.ceil(size * F.lit(SIMILARITY) - F.lit(1e-9)) + 1
+    own = size - F.size("known")
+    chosen = F.slice("known", F.lit(1), F.greatest(first - own, F.lit(0)).cast("int"))
+    return tokens.join(known, "doc_id").select(
+        "doc_id", size.cast("long").alias("weight"), F.explode(chosen).alias("token")
+    ).select(F.col("token.key").alias("key"), "doc_id", "weight")
+
+
 def duplicate_classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id, a row for each id: the smallest id of its class of near duplicates.
 
@@ -127,20 +173,19 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
     id are compared with nothing and give one row with a NULL class, if there are any. An empty table
     gives no rows; other columns are ignored.
     """
-    rows = texts(docs.filter("doc_id IS NOT NULL"))
-    signed = scratch_table(rows.mapInArrow(_signed, SIGNED_SCHEMA), "signed")
-    firsts = scratch_table(
-        signed.groupBy("hi", "lo").agg(F.min("doc_id").alias("first")), "firsts"
-    )
-    same = scratch_table(
-        signed.select("doc_id", "hi", "lo").join(firsts, ["hi", "lo"]).select("doc_id", "first"),
-        "same",
-    )
-    single = signed.join(firsts, ["hi", "lo"]).filter("doc_id = first").select(
-        "doc_id", "bands", "sketch"
+    rows = texts(docs.filter("doc_id IS NOT NULL")).withColumn("row", F.xxhash64("text"))
+    signed = rows.mapInArrow(_signed, SIGNED_SCHEMA).withColumn("at", F.monotonically_increasing_id())
+    signed = scratch_table(signed, "signed")
+    # A text has the number of the first row that shows it.
+    firsts = signed.groupBy("hi", "lo").agg(F.min("at").alias("node"), F.min("doc_id").alias("first"))
+    firsts = scratch_table(firsts, "firsts")
+    same = signed.select("doc_id", "hi", "lo").join(firsts, ["hi", "lo"]).select("doc_id", "node")
+    same = scratch_table(same.distinct(), "same")
+    single = signed.join(firsts.select("node"), F.col("at") == F.col("node")).select(
+        F.col("node"), "doc_id", "row", "bands", "sketch"
     )
-    single = scratch_table(single.dropDuplicates(["doc_id"]), "single")
-    banded = single.select(F.explode("bands").alias("key"), "doc_id")
+    single = scratch_table(single, "single")
+    banded = single.select(F.explode("bands").alias("key"), F.col("node").alias("doc_id"))
     shared = scratch_table(
         banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared"
     )
@@ -151,14 +196,36 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
     members = scratch_table(
         crowded.join(weights, "doc_id").select("key", "doc_id", "weight"), "members"
     )
-    sketches = single.select("doc_id", "sketch")
-    links = bucket_links(members, lambda pairs: _similarities(pairs, sketches, rows), SIMILARITY)
-    # Rows that share an id link the first documents of their texts.
-    links = links.unionAll(same.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
+    sketches = single.select(F.col("node").alias("doc_id"), "sketch")
+    # Texts that share no bucket are never read again.
+    shown = single.select("node", F.col("doc_id").alias("id"), "row").join(
+        weights.withColumnRenamed("doc_id", "node"), "node", "left_semi"
+    )
+    shown = scratch_table(shown, "shown")
+    contents = rows.join(shown, (rows["doc_id"] == shown["id"]) & (rows["row"] == shown["row"])).select(
+        F.col("node").alias("doc_id"), "text"
+    )
+    links = bucket_links(
+        members,
+        lambda pairs: _similarities(pairs, sketches, contents),
+        SIMILARITY,
+        lambda nodes: rarest_tokens(nodes, contents),
+    )
+    # Rows that share an id link their texts.
+    ids = same.groupBy("doc_id").agg(F.min("node").alias("b"), F.count("*").alias("n"))
+    several = ids.filter("n > 1").select("doc_id", "b")
+    links = links.unionAll(same.join(several, "doc_id").select(F.col("node").alias("a"), "b"))
     classes = scratch_table(components(links), "classes")
-    known = same.select("doc_id").distinct()
-    classed = known.join(classes, known["doc_id"] == classes["node"], "left").select(
-        "doc_id", F.coalesce("component", "doc_id").alias("class_id")
+    placed = firsts.join(classes.withColumnRenamed("component", "found"), "node", "left").select(
+        "node", "first", F.coalesce("found", "node").alias("component")
+    )
+    placed = scratch_table(placed, "placed")
+    named = placed.groupBy("component").agg(F.min("first").alias("class_id"))
+    classed = (
+        same.join(placed.select("node", "component"), "node")
+        .join(named, "component")
+        .select("doc_id", "class_id")
+        .distinct()
     )
     missing = docs.filter("doc_id IS NULL").select("doc_id").distinct()
     return classed.unionAll(missing.select("doc_id", F.lit(None).cast("long").alias("class_id")))

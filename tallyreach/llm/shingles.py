@@ -100,6 +100,13 @@ def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingle_hashes(normal_words(text)), return_counts=True)
 
 
+def tokens_of(text: str) -> np.ndarray:
+    """A hash for each time that each shingle occurs, so that weighted sets are plain ones."""
+    element, weight = counted(text)
+    nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+    return mix(np.repeat(element, weight) + nth.astype(np.uint64) * _MULTIPLIERS[0])
+
+
 def weighted_jaccard(a: tuple, b: tuple) -> float:
     """Sum of the smaller by sum of the larger weights; two empty sets are alike."""
     total = int(a[1].sum() + b[1].sum())

@@ -226,3 +226,42 @@ def test_alignment_is_smith_waterman():
         a, b = ([draw.choice("abc") for _ in range(draw.randint(1, 12))] for _ in range(2))
         assert align(word_hashes(a), word_hashes(b))[0] == plain_alignment(a, b)
     assert align(np.zeros(0, np.uint64), word_hashes(["a"])) == (0, 0, 0)
+
+
+def test_texts_that_share_an_id_keep_their_links(table):
+    draw = random.Random(6)
+    words = [f"w{i}" for i in range(900)]
+    one, two, other = (draw.choices(words, k=300) for _ in range(3))
+    near = lambda text: " ".join(["new", *text[1:]])
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, near(one)), (3, near(two)), (4, " ".join(other))]
+    rows += [(5, near(other)), (6, " ".join(words))]
+    wanted = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
+    for _ in range(2):
+        assert dict(map(tuple, duplicate_classes(table(rows)).collect())) == wanted
+
+
+def test_a_crowd_of_texts_that_are_nearly_alike(table):
+    """Copies of one text of which most are somewhat below the threshold to each other."""
+    draw = random.Random(8)
+    base = [f"w{draw.randrange(5000)}" for _ in range(150)]
+    rows = []
+    for doc in range(220):
+        text = list(base)
+        for place in draw.sample(range(150), draw.choice([1, 2, 3, 4, 5])):
+            text[place] = f"own{doc}x{place}"
+        rows.append((doc * 3 % 661, " ".join(text)))
+    sets = {doc: counted(text) for doc, text in rows}
+    parent = {doc: doc for doc in sets}
+
+    def root(doc):
+        while parent[doc] != doc:
+            doc = parent[doc]
+        return doc
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if weighted_jaccard(sets[a], sets[b]) >= 0.8:
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+    assert dict(map(tuple, duplicate_classes(table(rows)).collect())) == {doc: root(doc) for doc in ids}
