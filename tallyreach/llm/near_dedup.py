@@ -2,9 +2,7 @@
 
 Documents with the same words are one text from the start. Each text gets a signature; texts that
 agree in a whole band of it share a bucket. They are compared there, by the exact weighted
-Jaccard similarity of their shingles, as :mod:`tallyreach.llm.buckets` tells. Crowds in which many are nearly
-but not quite alike are dealt anew by their rarest shingles: two alike texts have one in common of the
-rarest fifth of either, which what a crowd shares is not among.
+Jaccard similarity of their shingles, as :mod:`tallyreach.llm.buckets` tells.
 """
 
 from __future__ import annotations
@@ -21,7 +19,7 @@ from tallyreach.llm.buckets import bucket_links
 from tallyreach.llm.common import documents, texts
 from tallyreach.llm.components import components
 from tallyreach.llm.dartminhash import signatures
-from tallyreach.llm.shingles import counted, mix, normal_words, tokens_of, weighted_jaccard, weighted_sets
+from tallyreach.llm.shingles import mix, normal_words, tokens_of, weighted_sets
 from tallyreach.llm.tokens import chunks
 from tallyreach.sources.storage import scratch_table
 
@@ -31,7 +29,8 @@ BANDS, ROWS = 42, 6
 # Signatures estimate a similarity of 0.8 with a deviation of 0.025; five of them are allowed.
 SLACK = 0.13
 DOCS_AT_ONCE = 300
-KNOWN_PIVOTS = 32
+# Tokens that a task keeps of the texts it compares.
+MOST_TOKENS = 2_000_000
 SIGNED_SCHEMA = "doc_id long, row long, hi long, lo long, bands array<long>, sketch binary"
 
 
@@ -81,17 +80,27 @@ def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weighted Jaccard similarity of each pair, by the sorted tokens of both texts."""
+    known: dict[int, np.ndarray] = {}
+    held = 0
     for batch in batches:
-        known: dict[int, tuple] = {}
         found = []
         columns = (batch.column(c).to_pylist() for c in ("a", "text_a", "b", "text_b"))
         for a, text_a, b, text_b in zip(*columns):
-            # The pivot comes again and again, the other member seldom.
-            if b not in known:
-                if len(known) == KNOWN_PIVOTS:
-                    known.clear()
-                known[b] = counted(text_b)
-            found.append(weighted_jaccard(counted(text_a), known[b]))
+            # The same texts come again and again.
+            if held > MOST_TOKENS:
+                known, held = {}, 0
+            for node, text in ((a, text_a), (b, text_b)):
+                if node not in known:
+                    known[node] = np.sort(tokens_of(text))
+                    held += len(known[node]) + 100
+            few, many = sorted((known[a], known[b]), key=len)
+            if not len(few):
+                found.append(float(len(many) == 0))
+                continue
+            at = np.minimum(np.searchsorted(many, few), len(many) - 1)
+            shared = int(np.count_nonzero(many[at] == few))
+            found.append(shared / (len(few) + len(many) - shared))
         yield pa.RecordBatch.from_arrays(
             [batch.column("a"), batch.column("b"), pa.array(found, pa.float64())],
             names=["a", "b", "similarity"],
@@ -111,7 +120,9 @@ def _similarities(pairs: DataFrame, sketches: DataFrame, contents: DataFrame) ->
     ids = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     wanted = scratch_table(_texts_of(ids, contents), "wanted")
     text = lambda side: wanted.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
-    exact = close.join(text("a"), "a").join(text("b"), "b").mapInArrow(
+    # Pairs are small and their texts are not: as many tasks as there may be, however few the bytes.
+    spread = close.repartition(int(close.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    exact = spread.join(text("a"), "a").join(text("b"), "b").mapInArrow(
         _measured, "a long, b long, similarity double"
     )
     unlike = estimates.filter(F.col("estimate") < SIMILARITY - SLACK).select(
@@ -125,44 +136,6 @@ def _texts_of(nodes: DataFrame, contents: DataFrame) -> DataFrame:
     return contents.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [tokens_of(text) for text in batch.column("text").to_pylist()]
-        ends = np.concatenate(([0], np.cumsum([len(f) for f in found])))
-        flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-            names=["doc_id", "tokens"],
-        )
-
-
-def rarest_tokens(nodes: DataFrame, contents: DataFrame) -> DataFrame:
-    """key, doc_id and weight: the rarest tokens of every node, as many as alike ones can't all differ in.
-
-    Of two sets with a similarity of at least t each has at least the share t of its tokens in common with
-    the other. In an order that holds for all, so one of the first (1 - t) n + 1 of either is shared.
-    Tokens that no other node has come first and are no bucket.
-    """
-    tokens = scratch_table(
-        _texts_of(nodes, contents).select("doc_id", "text").mapInArrow(_tokens, "doc_id long, tokens array<long>"),
-        "tokens",
-    )
-    places = tokens.select("doc_id", F.explode("tokens").alias("key"))
-    shared = scratch_table(places.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared-tokens")
-    known = (
-        places.join(shared, "key")
-        .groupBy("doc_id")
-        .agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("known"))
-    )
-    size = F.size("tokens")
-    first = size - F.ceil(size * F.lit(SIMILARITY) - F.lit(1e-9)) + 1
-    own = size - F.size("known")
-    chosen = F.slice("known", F.lit(1), F.greatest(first - own, F.lit(0)).cast("int"))
-    return tokens.join(known, "doc_id").select(
-        "doc_id", size.cast("long").alias("weight"), F.explode(chosen).alias("token")
-    ).select(F.col("token.key").alias("key"), "doc_id", "weight")
-
-
 def duplicate_classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id, a row for each id: the smallest id of its class of near duplicates.
 
@@ -205,12 +178,7 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
     contents = rows.join(shown, (rows["doc_id"] == shown["id"]) & (rows["row"] == shown["row"])).select(
         F.col("node").alias("doc_id"), "text"
     )
-    links = bucket_links(
-        members,
-        lambda pairs: _similarities(pairs, sketches, contents),
-        SIMILARITY,
-        lambda nodes: rarest_tokens(nodes, contents),
-    )
+    links = bucket_links(members, lambda pairs: _similarities(pairs, sketches, contents), SIMILARITY)
     # Rows that share an id link their texts.
     ids = same.groupBy("doc_id").agg(F.min("node").alias("b"), F.count("*").alias("n"))
     several = ids.filter("n > 1").select("doc_id", "b")

@@ -245,11 +245,11 @@ def test_a_crowd_of_texts_that_are_nearly_alike(table):
     draw = random.Random(8)
     base = [f"w{draw.randrange(5000)}" for _ in range(150)]
     rows = []
-    for doc in range(220):
+    for doc in range(80):
         text = list(base)
         for place in draw.sample(range(150), draw.choice([1, 2, 3, 4, 5])):
             text[place] = f"own{doc}x{place}"
-        rows.append((doc * 3 % 661, " ".join(text)))
+        rows.append((doc * 3 % 241, " ".join(text)))
     sets = {doc: counted(text) for doc, text in rows}
     parent = {doc: doc for doc in sets}
 
