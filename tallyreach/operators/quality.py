@@ -35,5 +35,7 @@ def quality_summary(rows: list[DataFrame]) -> DataFrame:
 
 
 def reject_count(rejects: DataFrame) -> DataFrame:
-    """Number of rejected lines. A line is one reject row, whatever is wrong with it."""
+    """Number of rejected lines, whatever is wrong with each: distinct (file, line) where lines have numbers."""
+    if "line" in rejects.columns:
+        rejects = rejects.select("source_file", "line").distinct()
     return rejects.agg(F.count("*").alias("rejected_csv_rows"))

@@ -120,12 +120,22 @@ def preprocess(spark: SparkSession, settings: Settings, force: bool = False) ->
             )
         rejects = settings.quality(f"csv_rejects/{name}")
         if force or absent or not storage.is_complete(spark, rejects):
-            storage.write_lines(rejected_rows(spark, settings, name), rejects)
+            storage.write_lines(reject_report(spark, settings, name, paths[name]), rejects)
     storage.write_report(
         quality_report(spark, settings), settings.quality("preprocessing_summary")
     )
 
 
+def reject_report(spark: SparkSession, settings: Settings, table: str, paths: list[str]) -> DataFrame:
+    """The rejected lines with their numbers. Only a table that has any is read again, to count lines."""
+    found = rejected_rows(spark, settings, table)
+    if found.isEmpty():
+        return found.withColumn("line", F.lit(None).cast("bigint"))
+    spec = settings.tables[table]
+    lines = delimited.read_lines(spark, paths, numbered=True)
+    return delimited.rejects(lines, len(spec.fields), spec.delimiter)
+
+
 def quality_report(spark: SparkSession, settings: Settings) -> DataFrame:
     """One row per clean table, also for tables that an earlier run wrote."""
     rows = []

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,15 +25,41 @@ REJECT_FIELDS = (
 )
 
 
-def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+# monotonically_increasing_id has the partition above, the row within it below this bit.
+_PLACE_BITS = 33
+
+
+def read_lines(spark: SparkSession, paths: list[str], numbered: bool = False) -> DataFrame:
     """All lines of all files as ``value``, with the ``source_file`` each came from.
 
-    A line ends at a newline; a carriage return before it is dropped, any other one is data.
+    A line ends at a newline; a carriage return before it is dropped, any other one is data. Lines that
+    are to be ``numbered`` have two more columns, for :func:`line_shifts`: where the split of the file that
+    they are in begins, and their place among all lines that a task reads.
     """
     line = F.col("value")
     bare = F.when(line.endswith("\r"), F.left(line, F.length(line) - 1)).otherwise(line)
+    place = [
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("place"),
+    ]
     return spark.read.option("lineSep", "\n").text(paths).select(
-        bare.alias("value"), F.col("_metadata.file_path").alias("source_file")
+        bare.alias("value"), F.col("_metadata.file_path").alias("source_file"), *(place if numbered else [])
+    )
+
+
+def line_shifts(lines: DataFrame) -> DataFrame:
+    """source_file, split and what to add to the ``place`` of a line of the split to get its number.
+
+    A task reads the lines of a split one after the other. So a line's number is its distance from the
+    first line of its split, and the lines of the splits of its file before that: a row for each split.
+    """
+    before = Window.partitionBy("source_file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("source_file", "split").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    return splits.select(
+        "source_file",
+        "split",
+        F.shiftright("first", _PLACE_BITS).alias("task"),
+        (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"),
     )
 
 
@@ -60,8 +86,12 @@ def parse(lines: DataFrame, names: list[str], delimiter: str) -> DataFrame:
 
 
 def rejects(lines: DataFrame, expected: int, delimiter: str) -> DataFrame:
-    """All other lines, whole, and what is wrong with them. None is dropped."""
-    return (
+    """All other lines, whole, and what is wrong with them. None is dropped.
+
+    Numbered lines also have their number in their file as ``line``, from 1; empty lines count.
+    """
+    numbered = "place" in lines.columns
+    bad = (
         lines.filter(F.col("value") != "")
         .withColumn("field_count", F.size(F.split("value", re.escape(delimiter), -1)))
         .filter(~_well_formed(F.col("field_count"), expected))
@@ -71,8 +101,21 @@ def rejects(lines: DataFrame, expected: int, delimiter: str) -> DataFrame:
             "field_count",
             F.lit(expected).alias("expected_count"),
             _error_type(F.col("field_count"), expected).alias("error_type"),
+            *(["split", "place"] if numbered else []),
         )
     )
+    if not numbered:
+        return bad
+    # Both sides read the files; that they cut them alike is checked, not assumed.
+    same_cut = F.col("task") == F.shiftright("place", _PLACE_BITS)
+    line = F.when(same_cut, F.col("place") + F.col("shift")).otherwise(
+        F.raise_error(F.lit("the files were cut differently when their lines were counted")).cast("bigint")
+    )
+    return (
+        bad.join(line_shifts(lines), ["source_file", "split"], "left")
+        .withColumn("line", line)
+        .drop("split", "place", "task", "shift")
+    )
 
 
 def _well_formed(count: Column, expected: int) -> Column:

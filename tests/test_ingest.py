@@ -1,5 +1,6 @@
 import pytest
 
+from tallyreach.operators.quality import reject_count
 from tallyreach.sources import delimited, storage
 from tallyreach.sources.specs import FieldSpec, TableSpec
 
@@ -144,3 +145,31 @@ def test_scratch_lies_in_the_folder_of_the_session(spark):
     table = storage.scratch_table(spark.range(4), "numbers")
     assert table.count() == 4
     assert all(storage.scratch_folder(spark) in file for file in table.inputFiles())
+
+
+def test_rejected_lines_have_their_number_in_files_of_several_splits(spark, tmp_path):
+    """Splits of 600 bytes, some of one file in one task, small files together in others."""
+    wanted = set()
+    for name, count in (("one", 400), ("two", 3), ("three", 90), ("four", 0), ("five", 1)):
+        lines = []
+        for number in range(1, count + 1):
+            line = "" if number % 7 == 0 else "x\t" * (number % 5) + "y" * (number % 40)
+            if line and line.count("\t") != 2:
+                wanted.add((name, number, line))
+            lines.append(line)
+        end = "" if name == "two" else "\n"
+        (tmp_path / f"{name}.csv").write_text("\n".join(lines) + (end if lines else ""))
+    settings = {"spark.sql.files.maxPartitionBytes": "600", "spark.sql.files.openCostInBytes": "50"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        lines = delimited.read_lines(spark, [str(tmp_path)], numbered=True)
+        assert lines.select("source_file", "split").distinct().count() > 10
+        found = delimited.rejects(lines, 3, "\t").collect()
+        many = delimited.rejects(lines.unionAll(lines.limit(0)), 3, "\t")
+        assert reject_count(many).first()[0] == len(wanted)
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert {(r["source_file"].rsplit("/", 1)[1][:-4], r["line"], r["raw_line"]) for r in found} == wanted
+    assert len(found) == len(wanted)

@@ -30,7 +30,9 @@ lines AS (
                 THEN concat_ws(chr(9), o_orderkey::VARCHAR, '\N', 'null', 'NULL', ' null ')
             ELSE whole
         END AS value,
-        o_orderstatus || '.csv' AS source_file
+        o_orderstatus || '.csv' AS source_file,
+        floor(o_orderkey / 50000)::BIGINT AS part,
+        row_number() OVER (PARTITION BY floor(o_orderkey / 50000) ORDER BY o_orderkey) AS line
     FROM (
         SELECT *, concat_ws(
             chr(9), ' ' || chr(160) || o_orderkey || chr(12288) || ' ', o_orderstatus, o_totalprice::VARCHAR,
@@ -55,7 +57,8 @@ raw AS (
 rejected AS (
     SELECT
         source_file, value AS raw_line, len(f)::INTEGER AS field_count, 5 AS expected_count,
-        CASE WHEN len(f) < 5 THEN 'MISSING COLUMNS' ELSE 'TOO MANY COLUMNS' END AS error_type
+        CASE WHEN len(f) < 5 THEN 'MISSING COLUMNS' ELSE 'TOO MANY COLUMNS' END AS error_type,
+        part, line
     FROM cut WHERE len(f) <> 5
 ),
 clean AS (
@@ -166,7 +169,7 @@ likes AS (
 ),
 subscriptions AS (
     SELECT
-        l_suppkey AS subscriber_id, CASE WHEN l_quantity > 45 THEN l_partkey END AS subscribed_to_id
+        l_suppkey AS subscriber_id, CASE WHEN l_linenumber <> 7 THEN l_partkey END AS subscribed_to_id
     FROM lineitem
 )
 """
@@ -534,7 +537,11 @@ ORACLE: dict[str, str] = {
         """,
         LINES,
     ),
-    "rejects": with_parts("SELECT * FROM rejected", LINES),
+    "rejects": with_parts("SELECT * EXCLUDE (part, line) FROM rejected", LINES),
+    "numbered_rejects": with_parts("SELECT * EXCLUDE (source_file) FROM rejected", LINES),
+    "rejected_line_count": with_parts(
+        "SELECT count(DISTINCT (part, line)) AS rejected_csv_rows FROM rejected", LINES
+    ),
     "reject_count": with_parts("SELECT count(*) AS rejected_csv_rows FROM rejected", LINES),
     "clean_typed": with_parts("SELECT * FROM clean", LINES),
     "try_casts": with_parts(
@@ -625,7 +632,7 @@ ORACLE: dict[str, str] = {
             CASE WHEN n IS NULL THEN 'unknown' WHEN n = 0 THEN '0' WHEN n < 10 THEN '1-9'
                 WHEN n < 100 THEN '10-99' WHEN n < 1000 THEN '100-999' ELSE '1000+' END
         FROM (
-            SELECT l_partkey, sum(l_quantity) FILTER (WHERE l_quantity > 45) AS n
+            SELECT l_partkey, sum(l_quantity) FILTER (WHERE l_linenumber <> 7) AS n
             FROM lineitem GROUP BY l_partkey
         )
         UNION ALL

@@ -59,6 +59,23 @@ def reject_count(spark: SparkSession, sf: str) -> DataFrame:
     return count_rejects(rejects(spark, sf))
 
 
+def _numbered_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    folder = f"{scratch_folder(spark)}/tallyreach/numbered-{uuid.uuid4().hex}"
+    tables.line_files(spark, sf, folder)
+    lines = delimited.read_lines(spark, [folder], numbered=True)
+    return delimited.rejects(lines, len(tables.LINE_FIELDS), "\t")
+
+
+def numbered_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Rejected lines of text files with their numbers; ``part`` tells the files apart."""
+    part = F.regexp_extract("source_file", "part=([0-9]+)/", 1).cast("bigint")
+    return _numbered_rejects(spark, sf).withColumn("part", part).drop("source_file")
+
+
+def rejected_line_count(spark: SparkSession, sf: str) -> DataFrame:
+    return count_rejects(_numbered_rejects(spark, sf))
+
+
 def clean_typed(spark: SparkSession, sf: str) -> DataFrame:
     clean, _ = delimited.clean_table(tables.lines(spark, sf), tables.LINE_SPEC)
     return clean.drop("identifier_is_valid", "timestamp_in_study_window")
@@ -252,7 +269,7 @@ def band_names(spark: SparkSession, sf: str) -> DataFrame:
         return frame.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), band.alias("band"))
 
     shipped = table(spark, sf, "lineitem").groupBy("l_partkey").agg(
-        F.sum(F.when(F.col("l_quantity") > 45, F.col("l_quantity"))).alias("followers"),
+        F.sum(F.when(F.col("l_linenumber") != 7, F.col("l_quantity"))).alias("followers"),
         F.count("*").alias("posts"),
     )
     return (
@@ -440,6 +457,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "null_tokens": null_token_fields,
     "rejects": rejects,
     "reject_count": reject_count,
+    "numbered_rejects": numbered_rejects,
+    "rejected_line_count": rejected_line_count,
     "clean_typed": clean_typed,
     "try_casts": try_casts,
     "quality_flags": quality_flags,

@@ -100,8 +100,8 @@ def services(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def subscriptions(spark: SparkSession, sf: str) -> DataFrame:
-    """All lineitems as edges; the followed end of those of no more than 45 pieces is not known."""
-    followed = F.when(F.col("l_quantity") > 45, F.col("l_partkey"))
+    """All lineitems as edges; the followed end of the seventh of an order is not known."""
+    followed = F.when(F.col("l_linenumber") != 7, F.col("l_partkey"))
     return table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("subscriber_id"), followed.alias("subscribed_to_id")
     )
@@ -131,8 +131,11 @@ def users(spark: SparkSession, sf: str) -> DataFrame:
 LINE_FIELDS = ("post_id", "status", "price", "posted_at", "note")
 
 
-def lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders as delimited lines; among those of status P are short, long, blank and odd ones."""
+def lines(spark: SparkSession, sf: str, *kept: str) -> DataFrame:
+    """Orders as delimited lines; among those of status P are short, long, blank and odd ones.
+
+    ``kept`` names columns of the orders that come along.
+    """
     orders = table(spark, sf, "orders")
     key = F.col("o_orderkey").cast("string")
     status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
@@ -153,7 +156,20 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
         .when(odd, F.concat(key, F.lit("\t\\N\tnull\tNULL\t null ")))
         .otherwise(whole)
     )
-    return orders.select(value.alias("value"), F.concat(status, F.lit(".csv")).alias("source_file"))
+    return orders.select(value.alias("value"), F.concat(status, F.lit(".csv")).alias("source_file"), *kept)
+
+
+#: Orders of one file of lines.
+FILE_ORDERS = 50_000
+
+
+def line_files(spark: SparkSession, sf: str, folder: str) -> None:
+    """The lines as text files in ``folder``, each sorted by order key, FILE_ORDERS keys at most."""
+    part = F.floor(F.col("o_orderkey") / FILE_ORDERS)
+    rows = lines(spark, sf, "o_orderkey").withColumn("part", part)
+    rows.repartition("part").sortWithinPartitions("part", "o_orderkey").select("part", "value").write.partitionBy(
+        "part"
+    ).text(folder)
 
 
 LINE_SPEC = TableSpec(
