@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyreach.sources.storage import scratch_table
+
 
 def column_sets(columns: list[str], max_size: int) -> Column:
     """All sets of 1 to ``max_size`` columns, as arrays of column positions.
@@ -33,6 +35,28 @@ def category_text(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("string")
 
 
+def _combinations(
+    df: DataFrame, columns: list[str], targets: list[str], entity: str | None
+) -> DataFrame:
+    """One row per entity and full feature combination, the rows of an entity in one partition."""
+    texts = [category_text(df, name).alias(name) for name in columns]
+    who = [] if entity is None else [entity]
+    combos = (
+        df.select(*texts, *[F.col(name) for name in who], *targets)
+        .groupBy(*columns, *who)
+        .agg(
+            F.count("*").alias("_rows"),
+            *[F.count_if(target).alias(f"_joint{i}") for i, target in enumerate(targets)],
+        )
+    )
+    if entity is not None:
+        # A fixed number of partitions: judged by their size before the sets are spread out, they
+        # would be merged into far too few.
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        combos = combos.repartition(partitions, entity)
+    return combos
+
+
 def itemset_counts(
     df: DataFrame,
     columns: list[str],
@@ -51,21 +75,8 @@ def itemset_counts(
     of all rows. From there on the rows stay with their entity: the sets are spread out and
     reduced to one row per entity and item inside the same stage, and only item totals shuffle.
     """
-    texts = [category_text(df, name).alias(name) for name in columns]
+    combos = _combinations(df, columns, targets, entity)
     who = [] if entity is None else [entity]
-    combos = (
-        df.select(*texts, *[F.col(name) for name in who], *targets)
-        .groupBy(*columns, *who)
-        .agg(
-            F.count("*").alias("_rows"),
-            *[F.count_if(target).alias(f"_joint{i}") for i, target in enumerate(targets)],
-        )
-    )
-    if entity is not None:
-        # A fixed number of partitions: judged by their size before the sets are spread out, they
-        # would be merged into far too few.
-        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        combos = combos.repartition(partitions, entity)
     sums = ["_rows", *[f"_joint{i}" for i in range(len(targets))]]
     item = ["set_id", *[f"value{place}" for place in range(max_size)]]
     # A position beyond the end of a set is NULL, and so is the value there.
@@ -83,6 +94,84 @@ def itemset_counts(
             for place in range(max_size)
         ],
     )
+    counted = _item_totals(spread, item, sums, targets, entity)
+    return counted.select(
+        "set_id",
+        F.slice(F.array(*item[1:]), F.lit(1), set_size(columns, max_size)).alias("values"),
+        F.col("_rows").alias("antecedent_count"),
+        *[F.col(f"_joint{i}").alias(f"joint_{target}") for i, target in enumerate(targets)],
+        *([] if entity is None else ["entities", *[f"entities_{target}" for target in targets]]),
+    )
+
+
+def frequent_itemset_counts(
+    df: DataFrame,
+    columns: list[str],
+    targets: list[str],
+    max_size: int,
+    min_count: int,
+    entity: str | None = None,
+) -> DataFrame:
+    """The rows of :func:`itemset_counts` with at least ``min_count`` rows behind them, found by levels.
+
+    A set can't have more rows than one with a column less. So only sets that reached ``min_count`` are
+    extended, by the columns after their last one, and a row is spread to the sets that are left
+    to it in place of all. Frequent sets are at most as many as rows fit ``min_count`` times for each set of
+    columns; whether they are broadcast is left to Spark.
+    """
+    combos = scratch_table(_combinations(df, columns, targets, entity), "combinations")
+    sums = ["_rows", *[f"_joint{i}" for i in range(len(targets))]]
+    who = [] if entity is None else [entity]
+    every = F.array(*[F.lit(place) for place in range(len(columns))])
+    spread = combos.select(
+        *who, *sums, F.array(*columns).alias("_texts"), F.array().cast("array<int>").alias("_set")
+    )
+    levels = []
+    for size in range(1, max_size + 1):
+        later = F.slice(every, F.coalesce(F.try_element_at("_set", F.lit(-1)) + 2, F.lit(1)), len(columns))
+        spread = spread.select(
+            *who,
+            *sums,
+            "_texts",
+            F.col("_set").alias("_before"),
+            F.explode(later).alias("_place"),
+        ).select(
+            *who, *sums, "_texts", F.array_append("_before", F.col("_place")).alias("_set")
+        )
+        spread = spread.withColumn(
+            "_values", F.transform("_set", lambda place: F.get(F.col("_texts"), place))
+        )
+        level = _item_totals(spread, ["_set", "_values"], sums, targets, entity).filter(
+            F.col("_rows") >= min_count
+        )
+        # The text of an item, as arrays with missing values are no key of a join.
+        key = F.to_json(F.struct("_set", "_values"), {"ignoreNullFields": "false"})
+        level = scratch_table(level.withColumn("_key", key), f"itemsets-{size}")
+        levels.append(level)
+        if size < max_size:
+            spread = scratch_table(
+                spread.withColumn("_key", key)
+                .join(level.select("_key"), "_key", "left_semi")
+                .select(*who, *sums, "_texts", "_set"),
+                f"spread-{size}",
+            )
+    found = levels[0]
+    for level in levels[1:]:
+        found = found.unionAll(level)
+    set_id = F.array_position(column_sets(columns, max_size), F.col("_set")) - 1
+    return found.select(
+        set_id.cast("int").alias("set_id"),
+        F.col("_values").alias("values"),
+        F.col("_rows").alias("antecedent_count"),
+        *[F.col(f"_joint{i}").alias(f"joint_{target}") for i, target in enumerate(targets)],
+        *([] if entity is None else ["entities", *[f"entities_{target}" for target in targets]]),
+    )
+
+
+def _item_totals(
+    spread: DataFrame, item: list[str], sums: list[str], targets: list[str], entity: str | None
+) -> DataFrame:
+    """Sums per item, with the distinct entities behind it."""
     totals = [F.sum(name).alias(name) for name in sums]
     if entity is not None:
         spread = spread.groupBy(entity, *item).agg(*totals)
@@ -91,14 +180,7 @@ def itemset_counts(
         for i, target in enumerate(targets):
             behind = known & (F.col(f"_joint{i}") > 0)
             totals.append(F.count_if(behind).alias(f"entities_{target}"))
-    counted = spread.groupBy(*item).agg(*totals)
-    return counted.select(
-        "set_id",
-        F.slice(F.array(*item[1:]), F.lit(1), set_size(columns, max_size)).alias("values"),
-        F.col("_rows").alias("antecedent_count"),
-        *[F.col(f"_joint{i}").alias(f"joint_{target}") for i, target in enumerate(targets)],
-        *([] if entity is None else ["entities", *[f"entities_{target}" for target in targets]]),
-    )
+    return spread.groupBy(*item).agg(*totals)
 
 
 def set_size(columns: list[str], max_size: int) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyreach.operators.categories import TOP_CATEGORIES
 from tallyreach.operators.itemsets import (
     antecedent_text,
+    frequent_itemset_counts,
     itemset_counts,
     set_size,
     uses_column,
@@ -173,12 +174,18 @@ def rule_counts(
     targets: list[str],
     max_antecedent: int = 2,
     entity: str = "author_id",
+    min_count: int | None = None,
 ) -> DataFrame:
-    """Counts of every antecedent for every target, all targets in one pass."""
+    """Counts of every antecedent for every target, all targets in one pass.
+
+    With ``min_count`` only antecedents of so many rows, found level by level.
+    """
     names = list(columns)
-    counts = itemset_counts(
-        features.filter("analysis_eligible"), names, targets, max_antecedent, entity
-    )
+    eligible = features.filter("analysis_eligible")
+    if min_count is None:
+        counts = itemset_counts(eligible, names, targets, max_antecedent, entity)
+    else:
+        counts = frequent_itemset_counts(eligible, names, targets, max_antecedent, min_count, entity)
     per_target = F.array(
         *[
             F.struct(
@@ -210,7 +217,9 @@ def mine_rules(
     Ties in lift go to support, then confidence, then the antecedent text.
     """
     found = population(features, targets)
-    counts = rule_counts(features, columns, targets, limits.max_antecedent, entity)
+    # Sets of three and more are too many to spread all; those of two are spread in one pass.
+    floor = limits.min_count if limits.max_antecedent > 2 else None
+    counts = rule_counts(features, columns, targets, limits.max_antecedent, entity, floor)
     baseline = _by_target({target: found.baseline(target) for target in targets})
     return (
         counts.filter(F.col("antecedent_count") >= limits.min_count)

@@ -14,11 +14,12 @@ from tallyreach.operators.authors import author_statistics, degree_counts
 from tallyreach.operators.categories import top_categories, with_category_group
 from tallyreach.operators.dedup import first_per_key
 from tallyreach.operators.engagement import windowed_counts
-from tallyreach.operators.itemsets import antecedent_text, itemset_counts
+from tallyreach.operators.itemsets import antecedent_text, frequent_itemset_counts, itemset_counts
 from tallyreach.operators.labels import thresholds, with_labels
 from tallyreach.operators.quantiles import Quantile, exact_quantiles
 from tallyreach.operators.rules import definition, population
 from tallyreach.operators.sensitivity import sensitivity_grid
+from tallyreach.sources.storage import scratch_table
 from workload import queries, tables
 
 SF = "/root/testdata/sf0.001"
@@ -338,3 +339,40 @@ def test_grid_keeps_empty_cells(spark):
     assert (loose["top_rule"], loose["top_lift"], loose["implied_min_lift"]) == ("a=1", 1.5, 0.2)
     assert (strict["rules"], strict["min_joint_posts"], strict["top_rule"]) == (0, 0, "")
     assert strict["top_lift"] is None
+
+
+@pytest.mark.parametrize("min_count", [1, 4, 30, 10_000])
+def test_frequent_sets_are_those_of_all_sets_that_are_frequent(spark, min_count):
+    draw = random.Random(5)
+    columns = ["a", "b", "c", "d"]
+    values = {"a": "xy", "b": ["p", "q", "r", None], "c": [True, False, None], "d": "lmnop"}
+    rows = [
+        (*(draw.choice(values[c]) for c in columns), draw.random() < 0.3, draw.choice([None, *range(9)]))
+        for _ in range(300)
+    ]
+    frame = spark.createDataFrame(rows, "a string, b string, c boolean, d string, hit boolean, who int")
+    key = lambda r: str(tuple(r))
+    for entity in ("who", None):
+        every = itemset_counts(frame, columns, ["hit"], 3, entity)
+        wanted = every.filter(every["antecedent_count"] >= min_count)
+        found = frequent_itemset_counts(frame, columns, ["hit"], 3, min_count, entity)
+        assert found.columns == wanted.columns
+        assert sorted(found.collect(), key=key) == sorted(wanted.collect(), key=key)
+
+
+def test_only_frequent_sets_are_extended(spark, monkeypatch):
+    """Of 300 rows with a value of their own in one column, none is spread to sets with it."""
+    from tallyreach.operators import itemsets
+
+    stored = {}
+
+    def counted(df, name):
+        stored[name] = scratch_table(df, name)
+        return stored[name]
+
+    monkeypatch.setattr(itemsets, "scratch_table", counted)
+    rows = [(f"own{i}", "x", "y", True) for i in range(300)]
+    frame = spark.createDataFrame(rows, "own string, b string, c string, hit boolean")
+    frequent_itemset_counts(frame, ["own", "b", "c"], ["hit"], 3, 10).collect()
+    # Two of three single values are extended; of the pairs only b with c.
+    assert stored["spread-1"].count() == 600 and stored["spread-2"].count() == 300

@@ -444,6 +444,7 @@ def with_parts(select: str, *parts: str) -> str:
 BASE = (ENTRIES, ENGAGEMENT, AUTHORS, FEATURES)
 LABELLED = (*BASE, LABELS)
 MINED = (*LABELLED, RULES)
+MINED_TRIPLES = (*LABELLED, RULES.replace(counted_sets(2), counted_sets(3)))
 
 
 def text_measures(kind: str, table: str, key: str, column: str) -> str:
@@ -778,6 +779,11 @@ ORACLE: dict[str, str] = {
     ),
 }
 
+ORACLE["frequent_triples"] = with_parts(
+    "SELECT * FROM by_target WHERE antecedent_count >= 50", *MINED_TRIPLES
+)
+ORACLE["rules_of_three"] = ORACLE["rules"].replace(counted_sets(2), counted_sets(3))
+
 ORACLE["ingest_files"] = ORACLE["ingest_delimited"]
 ORACLE["stored_rows"] = ORACLE["clean_typed"]
 ORACLE["report_rows"] = """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -429,6 +430,19 @@ def rules(spark: SparkSession, sf: str) -> DataFrame:
     return rule_ops.mine_rules(labelled, TARGETS, limits=LIMITS)
 
 
+def frequent_triples(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of antecedents of up to three values that are frequent, found level by level."""
+    return rule_ops.rule_counts(
+        _labelled(spark, sf), rule_ops.RULE_COLUMNS, TARGETS, 3, min_count=LIMITS.min_count
+    )
+
+
+def rules_of_three(spark: SparkSession, sf: str) -> DataFrame:
+    return rule_ops.mine_rules(
+        _labelled(spark, sf), TARGETS, limits=replace(LIMITS, max_antecedent=3)
+    )
+
+
 def _candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, float]:
     labelled = _labelled(spark, sf)
     target = TARGETS[0]
@@ -490,6 +504,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "profile_by_band": profile_by_band,
     "category_summary": category_summary,
     "rule_counts": rule_counts,
+    "frequent_triples": frequent_triples,
+    "rules_of_three": rules_of_three,
     "rules": rules,
     "rule_candidates": rule_candidates,
     "sensitivity_grid": sensitivity_grid,
