@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tallyreach.llm.common import documents, fold, texts
 from tallyreach.llm.shingles import mix
 from tallyreach.llm.tokens import chunks
+from tallyreach.sources.storage import scratch_table
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -125,25 +126,51 @@ def inverse_frequencies(rows: DataFrame) -> np.ndarray:
     return np.log((1 + total) / (1 + docs)) + 1
 
 
-def sample(rows: DataFrame, most_rows: int = MOST_ROWS) -> list[tuple[str, str]]:
-    """text and lang of at most ``most_rows`` rows of each language, drawn by a hash of the id."""
-    drawn = Window.partitionBy("lang").orderBy("place", "doc_id")
-    place = F.xxhash64("doc_id")
+def sample(rows: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
+    """place, lang and text of ``most_rows`` ids of each language at most, drawn by a hash of the id.
+
+    An id that has many rows counts once in a language, with the text of the lowest hash.
+    """
+    ids = rows.filter("doc_id IS NOT NULL").select("doc_id", "lang").distinct()
+    ids = scratch_table(ids.withColumn("place", F.xxhash64("doc_id")), "language-ids")
     # A share of each language somewhat above the bound goes through the window.
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), (2 * most_rows + 50) / F.col("n"))
-    ids = (
-        rows.select("doc_id", "lang", place.alias("place"))
-        .join(F.broadcast(sizes), "lang")
+    drawn = Window.partitionBy("lang").orderBy("place", "doc_id")
+    chosen = (
+        ids.join(F.broadcast(sizes), "lang")
         .filter(F.pmod("place", F.lit(1 << 30)) < share * (1 << 30))
         .withColumn("nth", F.row_number().over(drawn))
         .filter(F.col("nth") <= most_rows)
-        .select("doc_id", "lang")
-        .distinct()
+        .select("doc_id", "lang", "place")
     )
-    chosen = rows.join(F.broadcast(ids), ["doc_id", "lang"])
-    found = [(r["place"], r["text"], r["lang"]) for r in chosen.withColumn("place", place).collect()]
-    return [(text, lang) for _, text, lang in sorted(found)]
+    # At most most_rows rows a language.
+    texts_of = rows.join(F.broadcast(chosen), ["doc_id", "lang"])
+    return texts_of.groupBy("place", "doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
+def counted_grams(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each text how many letters it has, its buckets, and how often it has each."""
+    for text in texts:
+        found = grams([text])
+        bucket, times = np.unique(np.concatenate([np.zeros(0, np.int64), *found.buckets]), return_counts=True)
+        yield int(found.letters[0]), bucket.astype(np.int64), times.astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        letters, buckets, times = [], [], []
+        for found in counted_grams(batch.column("text").to_pylist()):
+            for column, value in zip((letters, buckets, times), found):
+                column.append(value)
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("place"), batch.column("doc_id"), batch.column("lang"),
+                pa.array(letters, pa.int64()), pa.array(buckets, kind), pa.array(times, kind),
+            ],
+            names=["place", "doc_id", "lang", "letters", "buckets", "times"],
+        )
 
 
 @dataclass(frozen=True)
@@ -219,13 +246,16 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def fit(rows: list[tuple[str, str]], inverse: np.ndarray) -> LanguageModel:
+    """The model of texts and their languages."""
+    return fit_counts(list(counted_grams([text for text, _ in rows])), [lang for _, lang in rows], inverse)
+
+
+def fit_counts(found: list[tuple], langs: list[str], inverse: np.ndarray) -> LanguageModel:
     """Train on four of five rows and calibrate on the rest. Rows without a letter teach nothing."""
     vectors, labels = [], []
-    languages = tuple(sorted({lang for _, lang in rows}))
-    for text, lang in rows:
-        found = grams([text])
-        if found.letters[0]:
-            bucket, times = np.unique(np.concatenate(found.buckets), return_counts=True)
+    languages = tuple(sorted(set(langs)))
+    for (letters, bucket, times), lang in zip(found, langs):
+        if letters:
             value = times * inverse[bucket]
             # The feature after the buckets is there in every text.
             vectors.append((np.append(bucket, BUCKETS), np.append(value / value.sum() * TOTAL, 1.0)))
@@ -248,8 +278,13 @@ def fit(rows: list[tuple[str, str]], inverse: np.ndarray) -> LanguageModel:
 
 
 def train(docs: DataFrame, most_rows: int = MOST_ROWS) -> LanguageModel:
+    """Fit the model to the counts of a bounded sample: BUCKETS numbers a text at most, and no text."""
     rows = training_rows(docs)
-    return fit(sample(rows, most_rows), inverse_frequencies(rows))
+    schema = "place long, doc_id long, lang string, letters long, buckets array<long>, times array<long>"
+    found = sample(rows, most_rows).mapInArrow(_counted, schema).collect()
+    found.sort(key=lambda r: (r["place"], r["doc_id"], r["lang"]))
+    counts = [(r["letters"], np.array(r["buckets"], np.int64), np.array(r["times"], np.int64)) for r in found]
+    return fit_counts(counts, [r["lang"] for r in found], inverse_frequencies(rows))
 
 
 def languages_of(docs: DataFrame) -> DataFrame:

@@ -161,8 +161,15 @@ def logistic_curve(margins: np.ndarray, labels: np.ndarray, weights: np.ndarray)
     return float(chosen[0]), float(chosen[1])
 
 
-def fit(all_texts: list[str], quality: list[int], weights_of: dict[int, float] | None = None) -> QualityModel:
-    """A model of labelled texts. Without both classes every score is the share of label 1.
+def fit(all_texts: list[str], quality: list[int]) -> QualityModel:
+    """A model of labelled texts."""
+    return fit_indicators([indicators(text) for text in all_texts], quality)
+
+
+def fit_indicators(
+    rows: list[np.ndarray], quality: list[int], weights_of: dict[int, float] | None = None
+) -> QualityModel:
+    """A model of the indicators of labelled texts. Without both classes every score is the share of label 1.
 
     ``weights_of`` says for each label how many rows a text with it stands for.
     """
@@ -171,7 +178,6 @@ def fit(all_texts: list[str], quality: list[int], weights_of: dict[int, float] |
     if len(set(labels.tolist())) < 2:
         share = 0.5 if not len(labels) else float(np.clip((labels > 0).mean(), 0.01, 0.99))
         return QualityModel(np.zeros(BUCKETS), 0.0, 1.0, float(np.log(share / (1 - share))))
-    rows = [indicators(text) for text in all_texts]
     margins, costs = np.zeros(len(rows)), COST * stands_for / stands_for.mean()
     thirds = np.arange(len(rows)) % 3
     for third in range(3):  # margins of rows that a model has not seen
@@ -200,31 +206,50 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
-    """text and quality of at most ``most_rows`` training documents of each class, drawn by a hash."""
-    drawn = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (
-        training_labels(labels)
+    """place, quality and text of ``most_rows`` labelled ids of each class at most, drawn by a hash.
+
+    An id that has many rows counts once, with the text of the lowest hash.
+    """
+    ids = training_labels(labels).withColumn("place", F.xxhash64("doc_id"))
+    # The lowest hashes are drawn, so a share somewhat above the bound has them all.
+    sizes = ids.groupBy("quality").agg(F.count("*").alias("n"))
+    share = F.least(F.lit(1.0), (2 * most_rows + 50) / F.col("n"))
+    drawn = Window.partitionBy("quality").orderBy("place", "doc_id")
+    chosen = (
+        ids.join(F.broadcast(sizes), "quality")
+        .filter(F.col("place") <= share * 2.0**64 - 2.0**63)
         .withColumn("nth", F.row_number().over(drawn))
         .filter(F.col("nth") <= most_rows)
+        .select("doc_id", "quality", "place")
     )
     # At most two times most_rows rows.
-    return texts(docs).join(F.broadcast(ids.select("doc_id", "quality")), "doc_id").select(
-        "text", "quality", F.xxhash64("doc_id", "text").alias("place")
-    )
+    found = texts(docs).join(F.broadcast(chosen.drop("place")), "doc_id")
+    one = found.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return one.withColumn("place", F.xxhash64("doc_id", "text"))
+
+
+def _indicated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [indicators(text) for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(c) for c in ("place", "doc_id", "quality")] + [pa.array(found, pa.list_(pa.int64()))],
+            names=["place", "doc_id", "quality", "found"],
+        )
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> QualityModel:
-    """Fit the model to the bounded sample of ``labelled_sample``.
+    """Fit the model to the indicators of the bounded sample: BUCKETS numbers a text at most, and no text.
 
     Its scores are chances under the shares that the classes have among all training labels.
     """
-    rows = sorted(
-        labelled_sample(docs, labels, most_rows).collect(), key=lambda r: (r["place"], r["text"])
-    )
+    schema = "place long, doc_id long, quality long, found array<long>"
+    sampled = labelled_sample(docs, labels, most_rows).withColumn("quality", F.col("quality").cast("long"))
+    rows = sampled.select("place", "doc_id", "quality", "text").mapInArrow(_indicated, schema).collect()
+    rows.sort(key=lambda r: (r["place"], r["doc_id"], r["quality"]))
     quality = [row["quality"] for row in rows]
     sizes = dict(training_labels(labels).groupBy("quality").count().collect())
     weights_of = {label: sizes[label] / quality.count(label) for label in set(quality)}
-    return fit([row["text"] for row in rows], quality, weights_of)
+    return fit_indicators([np.array(row["found"], np.int64) for row in rows], quality, weights_of)
 
 
 def _scored(model: QualityModel):

@@ -401,3 +401,25 @@ def test_classes_of_alike_fingerprints(table, empty):
     found = {r["doc_id"]: r["class_id"] for r in similar_classes(table(rows)).collect()}
     assert found == label
     assert similar_classes(empty).count() == 0
+
+
+def test_an_id_with_most_rows_of_a_language_counts_once(table):
+    """However many rows an id has, its language is learned and no more than one text of it is taken."""
+    draw = random.Random(12)
+    trained = [doc for doc in range(2000) if not held_out(doc, 4, 2)]
+    rows = [(trained[0], prose(draw, LANGUAGES["xx"]), "xx") for _ in range(300)]
+    rows += [(doc, prose(draw, LANGUAGES["yy"]), "yy") for doc in trained[1:120]]
+    frame = table(rows)
+    chosen = language.sample(language.training_rows(frame), 40).collect()
+    assert Counter(r["lang"] for r in chosen) == {"xx": 1, "yy": 40}
+    assert {r["lang_pred"] for r in language.languages_of(frame).collect()} == {"xx", "yy"}
+
+
+def test_labels_of_an_id_with_many_rows_count_once(spark, table):
+    trained = [doc for doc in range(2000) if not held_out(doc, 4, 2)]
+    rows = [(trained[0], f"text {i}") for i in range(200)] + [(doc, f"own {doc}") for doc in trained[1:90]]
+    labels = spark.createDataFrame([(doc, i % 2) for i, doc in enumerate(trained[:90])], "doc_id long, quality int")
+    chosen = quality.labelled_sample(table(rows), labels, 30).collect()
+    assert Counter(r["quality"] for r in chosen) == {0: 30, 1: 30}
+    every = quality.labelled_sample(table(rows), labels, 1000).collect()
+    assert len(every) == len({r["doc_id"] for r in every}) == 90
