@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +28,20 @@ def quality_row(
     )
 
 
-def quality_summary(rows: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, rows)
+def quality_measures(timestamp_flag: str | None) -> dict[str, Column]:
+    """The same counts as aggregates of clean and rejected rows in one table, told apart by ``rejected``.
+
+    For taking them while the table is written.
+    """
+    clean = F.col("rejected") == 0
+    measures = {
+        "row_count": F.count_if(clean),
+        "invalid_identifier_rows": F.count_if(clean & ~F.col("identifier_is_valid")),
+        "rejected_csv_rows": F.count_if(~clean),
+    }
+    if timestamp_flag is not None:
+        measures["invalid_timestamp_rows"] = F.count_if(clean & ~F.col(timestamp_flag))
+    return measures
 
 
 def reject_count(rejects: DataFrame) -> DataFrame:

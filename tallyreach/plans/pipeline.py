@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +22,7 @@ from tallyreach.operators.labels import (
     thresholds,
     with_labels,
 )
-from tallyreach.operators.quality import quality_row, quality_summary
+from tallyreach.operators.quality import quality_measures
 from tallyreach.operators.rules import (
     RuleLimits,
     category_summary,
@@ -105,22 +105,33 @@ def valid_rows(spark: SparkSession, settings: Settings, table: str) -> DataFrame
 
 
 def preprocess(spark: SparkSession, settings: Settings, force: bool = False) -> None:
-    """Step 1: raw files to clean tables, reject reports and the quality summary."""
+    """Step 1: raw files to clean tables, reject reports and the quality summary.
+
+    A table is written anew where its layout, its study window or one of its raw files has changed.
+    """
     raw = storage.raw_directory(spark, settings.data_dir)
     paths = {
         name: [f"{raw}/{file}" for file in spec.files] for name, spec in settings.tables.items()
     }
     storage.require_paths(spark, [path for group in paths.values() for path in group])
     for name, spec in settings.tables.items():
-        absent = not storage.is_complete(spark, settings.clean(name))
-        if force or absent:
+        files = {
+            file: storage.list_files(spark, path) for file, path in zip(spec.files, paths[name])
+        }
+        made_from = {"layout": asdict(spec), "files": files}
+        if force or not storage.is_current(spark, settings.clean(name), made_from):
             lines = delimited.read_lines(spark, paths[name])
             storage.write_parquet(
-                delimited.sorted_out(lines, spec), settings.clean(name), ("rejected",)
+                delimited.sorted_out(lines, spec),
+                settings.clean(name),
+                ("rejected",),
+                made_from,
+                quality_measures(spec.timestamp_flag),
             )
         rejects = settings.quality(f"csv_rejects/{name}")
-        if force or absent or not storage.is_complete(spark, rejects):
-            storage.write_lines(reject_report(spark, settings, name, paths[name]), rejects)
+        if force or not storage.is_current(spark, rejects, made_from):
+            report = reject_report(spark, settings, name, paths[name])
+            storage.write_lines(report, rejects, made_from)
     storage.write_report(
         quality_report(spark, settings), settings.quality("preprocessing_summary")
     )
@@ -128,40 +139,64 @@ def preprocess(spark: SparkSession, settings: Settings, force: bool = False) ->
 
 def reject_report(spark: SparkSession, settings: Settings, table: str, paths: list[str]) -> DataFrame:
     """The rejected lines with their numbers. Only a table that has any is read again, to count lines."""
-    found = rejected_rows(spark, settings, table)
-    if found.isEmpty():
-        return found.withColumn("line", F.lit(None).cast("bigint"))
+    if not _measures(spark, settings, table)["rejected_csv_rows"]:
+        return rejected_rows(spark, settings, table).withColumn("line", F.lit(None).cast("bigint"))
     spec = settings.tables[table]
     lines = delimited.read_lines(spark, paths, numbered=True)
     return delimited.rejects(lines, len(spec.fields), spec.delimiter)
 
 
+def _measures(spark: SparkSession, settings: Settings, table: str) -> dict:
+    return storage.read_manifest(spark, settings.clean(table))["measures"]
+
+
+QUALITY_SCHEMA = (
+    "table string, row_count bigint, invalid_identifier_rows bigint, invalid_timestamp_rows bigint, "
+    "rejected_csv_rows bigint, parquet_file string, parquet_bytes bigint"
+)
+
+
 def quality_report(spark: SparkSession, settings: Settings) -> DataFrame:
-    """One row per clean table, also for tables that an earlier run wrote."""
+    """One row per clean table, also for tables that an earlier run wrote.
+
+    The counts were taken while the tables were written; no table is read for them.
+    """
     rows = []
-    for name, spec in settings.tables.items():
-        rejected = rejected_rows(spark, settings, name).agg(F.count("*")).scalar()
-        row = quality_row(
-            clean_rows(spark, settings, name), name, spec.timestamp_flag, rejected
-        )
+    for name in settings.tables:
         path = settings.clean(name)
         rows.append(
-            row.select(
-                "*",
-                F.lit(path.removeprefix(f"{settings.data_dir}/")).alias("parquet_file"),
-                F.lit(storage.size_in_bytes(spark, path)).cast("bigint").alias("parquet_bytes"),
-            )
+            {
+                "table": name,
+                **_measures(spark, settings, name),
+                "parquet_file": path.removeprefix(f"{settings.data_dir}/"),
+                "parquet_bytes": sum(size for _, size, _ in storage.list_files(spark, path)),
+            }
         )
-    return quality_summary(rows)
+    return spark.createDataFrame(rows, QUALITY_SCHEMA)
+
+
+def _made_from(spark: SparkSession, settings: Settings, inputs: list[str], **options) -> dict:
+    """The versions of the stored tables that another one is made from, and the settings in its making."""
+    versions = {
+        path.removeprefix(f"{settings.data_dir}/"): storage.version(spark, path) for path in inputs
+    }
+    return {"inputs": versions, "settings": options}
 
 
 def aggregate(spark: SparkSession, settings: Settings, force: bool = False) -> None:
-    """Step 2: unique posts, their engagement, and the authors."""
+    """Step 2: unique posts, their engagement, and the authors.
+
+    Like the tables of step 3, each is written anew where one of its inputs or a setting that it
+    depends on has changed since.
+    """
     storage.require_paths(spark, [settings.clean(name) for name in settings.tables])
 
     def valid(table: str) -> DataFrame:
         return valid_rows(spark, settings, table)
 
+    def clean(*tables: str) -> list[str]:
+        return [settings.clean(table) for table in tables]
+
     posts = storage.materialise(
         spark,
         settings.work("engaged_posts"),
@@ -174,10 +209,24 @@ def aggregate(spark: SparkSession, settings: Settings, force: bool = False) -> N
             settings.window,
         ),
         force,
+        made_from=_made_from(
+            spark,
+            settings,
+            clean("entries", "comments", "likes"),
+            default_source=settings.default_source,
+            study=[settings.study_start, settings.study_end],
+            window_seconds=settings.window.total_seconds(),
+        ),
     )
+    stored_posts = settings.work("engaged_posts")
     storage.materialise(
-        spark, settings.aggregated("post_engagement"), lambda: post_engagement(posts), force
+        spark,
+        settings.aggregated("post_engagement"),
+        lambda: post_engagement(posts),
+        force,
+        made_from=_made_from(spark, settings, [stored_posts]),
     )
+    others = ("comments", "likes", "services", "subscriptions", "following_events", "users")
     storage.materialise(
         spark,
         settings.aggregated("author_statistics"),
@@ -191,6 +240,7 @@ def aggregate(spark: SparkSession, settings: Settings, force: bool = False) -> N
             valid("users"),
         ),
         force,
+        made_from=_made_from(spark, settings, [stored_posts, *clean(*others)]),
     )
 
 
@@ -199,9 +249,6 @@ def extract_features(spark: SparkSession, settings: Settings, force: bool = Fals
     check_quantile(settings.high_quantile)
     inputs = [settings.work("engaged_posts"), settings.aggregated("author_statistics")]
     storage.require_paths(spark, inputs)
-    if not force and storage.is_complete(spark, settings.features):
-        return
-    # Rebuilt along with the labels: an unlabelled table may stem from an earlier set of inputs.
     base = storage.materialise(
         spark,
         settings.work("base_features"),
@@ -209,13 +256,19 @@ def extract_features(spark: SparkSession, settings: Settings, force: bool = Fals
             *[spark.read.parquet(path) for path in inputs],
             top_sources=settings.top_sources,
         ),
-        force=True,
+        force,
+        made_from=_made_from(spark, settings, inputs, top_sources=settings.top_sources),
+    )
+    made_from = _made_from(
+        spark, settings, [settings.work("base_features")], high_quantile=settings.high_quantile
     )
+    if not force and storage.is_current(spark, settings.features, made_from):
+        return
     # Fetched once, so the stored labels and the stored metadata rest on the same two numbers.
     limits = thresholds(base, settings.high_quantile)
     limits = spark.createDataFrame(limits.collect(), limits.schema)
-    storage.write_parquet(with_labels(base, limits), settings.features)
     last = datetime.fromisoformat(settings.study_end) - settings.window
+    # Before the features: a run that ends between the two writes both again.
     storage.write_json(
         feature_metadata(
             limits,
@@ -226,6 +279,7 @@ def extract_features(spark: SparkSession, settings: Settings, force: bool = Fals
         ),
         settings.quality("feature_metadata"),
     )
+    storage.write_parquet(with_labels(base, limits), settings.features, made_from=made_from)
 
 
 def stored_features(spark: SparkSession, settings: Settings) -> DataFrame:

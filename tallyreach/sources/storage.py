@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tempfile
 import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import types as T
 
 # How result tables are compressed.
 PARQUET_OPTIONS = {"compression": "zstd", "parquet.compression.codec.zstd.level": "3"}
 
+#: Beside the rows of a stored table: what it was made from, and what was measured while it was written.
+MANIFEST = "_manifest.json"
+
 
 def _file_system(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -30,6 +35,23 @@ def size_in_bytes(spark: SparkSession, path: str) -> int | None:
     return system.getContentSummary(target).getLength() if system.exists(target) else None
 
 
+def list_files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name below ``path``, bytes and time of change of every file there; of the file itself, if it is one.
+
+    Files whose name begins with an underscore or a dot hold no rows and are left out.
+    """
+    system, target = _file_system(spark, path)
+    root = system.getFileStatus(target).getPath().toString()
+    found, listing = [], system.listFiles(target, True)
+    while listing.hasNext():
+        status = listing.next()
+        file = status.getPath()
+        if not file.getName().startswith(("_", ".")):
+            name = file.toString().removeprefix(root).lstrip("/") or file.getName()
+            found.append((name, status.getLen(), status.getModificationTime()))
+    return sorted(found)
+
+
 def require_paths(spark: SparkSession, paths: list[str]) -> None:
     """One error that names every missing input."""
     missing = [path for path in paths if not exists(spark, path)]
@@ -48,6 +70,45 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return exists(spark, f"{path}/_SUCCESS")
 
 
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    """What :func:`write_parquet` noted about the table at ``path``; empty where it noted nothing."""
+    if not exists(spark, f"{path}/{MANIFEST}"):
+        return {}
+    system, target = _file_system(spark, f"{path}/{MANIFEST}")
+    stream = system.open(target)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _write_manifest(spark: SparkSession, path: str, content: dict) -> None:
+    system, target = _file_system(spark, f"{path}/{MANIFEST}")
+    stream = system.create(target)
+    try:
+        stream.write(bytearray(json.dumps(content, indent=1, sort_keys=True), "utf-8"))
+    finally:
+        stream.close()
+
+
+def version(spark: SparkSession, path: str) -> str | None:
+    """A digest of all that the table at ``path`` was made from; NULL for a table without a manifest.
+
+    Tables made from equal inputs by equal settings have equal rows, so they have one version.
+    """
+    made_from = read_manifest(spark, path).get("made_from")
+    if made_from is None:
+        return None
+    return hashlib.sha256(json.dumps(made_from, sort_keys=True).encode()).hexdigest()
+
+
+def is_current(spark: SparkSession, path: str, made_from: dict) -> bool:
+    """TRUE where a finished job wrote ``path`` from these inputs and settings."""
+    if not is_complete(spark, path):
+        return False
+    return read_manifest(spark, path).get("made_from") == json.loads(json.dumps(made_from))
+
+
 def replace_directory(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
     """Let ``write`` fill a sibling directory, then put it in place of ``path``.
 
@@ -74,16 +135,33 @@ def replace_directory(spark: SparkSession, path: str, write: Callable[[str], Non
     system.delete(hadoop_path(old), True)
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Replace the table at ``path``."""
+def write_parquet(
+    df: DataFrame,
+    path: str,
+    partition_by: tuple[str, ...] = (),
+    made_from: dict | None = None,
+    measures: dict[str, Column] | None = None,
+) -> None:
+    """Replace the table at ``path``.
+
+    ``made_from`` (anything that JSON can hold) is kept with the table, for :func:`is_current`.
+    ``measures`` are aggregates of ``df``. They are taken as its rows are written, and kept likewise.
+    """
+    spark = df.sparkSession
+    seen = Observation() if measures else None
+    if seen is not None:
+        df = df.observe(seen, *[measure.alias(name) for name, measure in measures.items()])
 
     def write(target: str) -> None:
         writer = df.write.options(**PARQUET_OPTIONS)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(target)
+        if made_from is not None or seen is not None:
+            content = {"made_from": made_from, "measures": {} if seen is None else seen.get}
+            _write_manifest(spark, target, content)
 
-    replace_directory(df.sparkSession, path, write)
+    replace_directory(spark, path, write)
 
 
 def materialise(
@@ -92,14 +170,20 @@ def materialise(
     build: Callable[[], DataFrame],
     force: bool = False,
     schema: T.StructType | None = None,
+    made_from: dict | None = None,
 ) -> DataFrame:
-    """The table at ``path``, built first where it is absent or ``force`` is set.
+    """The table at ``path``, built first where it is absent, ``force`` is set or it was made from other things.
 
-    ``build`` is not called for a table that is there. Later steps read the stored columns they
-    need, so nothing upstream runs again, also after executors are lost.
+    ``build`` is not called for a table that is there; without ``made_from`` any finished table will do.
+    Later steps read the stored columns they need, so nothing upstream runs again, also after executors
+    are lost.
     """
-    if force or not is_complete(spark, path):
-        write_parquet(build(), path)
+    if made_from is None:
+        there = is_complete(spark, path)
+    else:
+        there = is_current(spark, path, made_from)
+    if force or not there:
+        write_parquet(build(), path, made_from=made_from)
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)
 
@@ -125,13 +209,15 @@ def write_report(df: DataFrame, path: str) -> None:
     )
 
 
-def write_lines(df: DataFrame, path: str) -> None:
+def write_lines(df: DataFrame, path: str, made_from: dict | None = None) -> None:
     """A result of any size as CSV files with headers, written in parallel."""
-    replace_directory(
-        df.sparkSession,
-        path,
-        lambda target: df.write.options(header=True, escape='"').csv(target),
-    )
+
+    def write(target: str) -> None:
+        df.write.options(header=True, escape='"').csv(target)
+        if made_from is not None:
+            _write_manifest(df.sparkSession, target, {"made_from": made_from, "measures": {}})
+
+    replace_directory(df.sparkSession, path, write)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -3,15 +3,21 @@
 import csv
 import json
 import random
+import shutil
 from dataclasses import replace
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from tallyreach.operators.quality import quality_row
 from tallyreach.operators.rules import RuleLimits
 from tallyreach.plans import pipeline
 from tallyreach.plans.pipeline import Settings
+from tallyreach.sources import storage
+from tallyreach.sources.specs import FieldSpec, TableSpec
 
 START = datetime(2010, 7, 30)
 
@@ -184,6 +190,82 @@ def test_second_run_skips_and_force_rebuilds(spark, finished):
     assert sorted(p.name for p in engagement.glob("*.parquet")) != before
 
 
+def stored(folder):
+    """The data files of every stored table. A table that is written anew has other files."""
+    tables = {}
+    for path in (folder / "parquet").rglob("*.parquet"):
+        group, table = path.relative_to(folder / "parquet").parts[:2]
+        tables.setdefault(f"{group}/{table}", set()).add(path.name)
+    return tables
+
+
+def rebuilt(spark, settings):
+    folder = Path(settings.data_dir)
+    before = stored(folder)
+    pipeline.run(spark, settings, 1, 3)
+    after = stored(folder)
+    assert before.keys() == after.keys()
+    return {table for table in after if after[table] != before[table]}
+
+
+def test_changes_rebuild_what_depends_on_them(spark, finished, tmp_path):
+    folder, settings = finished
+    shutil.copytree(folder, tmp_path, dirs_exist_ok=True)
+    features = {"work/base_features", "features/post_features"}
+    authors = {"aggregated/author_statistics"}
+    moved = replace(settings, data_dir=str(tmp_path))
+    assert rebuilt(spark, moved) == set()
+
+    strict = replace(moved, high_quantile=0.8)
+    assert rebuilt(spark, strict) == {"features/post_features"}
+    (path,) = (tmp_path / "quality/feature_metadata").glob("*.json")
+    assert json.loads(path.read_text())["high_engagement_quantile"] == 0.8
+
+    shorter = replace(strict, window=timedelta(days=3))
+    posts = {"work/engaged_posts", "aggregated/post_engagement"}
+    assert rebuilt(spark, shorter) == posts | authors | features
+    assert rebuilt(spark, shorter) == set()
+
+    with (tmp_path / "raw/users.csv").open("a") as file:
+        file.write("new|person|n||about\nshort\n")
+    assert rebuilt(spark, shorter) == {"clean/users"} | authors | features
+    rows = {row["table"]: row for row in report(tmp_path, "quality/preprocessing_summary")}
+    assert (rows["users"]["row_count"], rows["users"]["rejected_csv_rows"]) == ("41", "1")
+    (rejected,) = report(tmp_path, "quality/csv_rejects/users")
+    assert rejected["line"] == "42"
+
+
+def test_quality_counts_are_taken_while_writing(spark, finished):
+    _, settings = finished
+    counted = pipeline.quality_report(spark, settings)
+    assert counted.inputFiles() == []
+    for row in counted.collect():
+        spec = settings.tables[row["table"]]
+        plain = quality_row(
+            pipeline.clean_rows(spark, settings, row["table"]),
+            row["table"],
+            spec.timestamp_flag,
+            F.lit(pipeline.rejected_rows(spark, settings, row["table"]).count()),
+        )
+        assert plain.first().asDict().items() <= row.asDict().items()
+
+
+def test_tables_of_no_lines_and_without_manifests(spark, tmp_path):
+    spec = TableSpec("t", ("t.csv",), ",", (FieldSpec("a"), FieldSpec("b")), ("a",))
+    (tmp_path / "t.csv").write_text("")
+    settings = Settings(str(tmp_path), "Host", {"t": spec})
+    pipeline.preprocess(spark, settings)
+    (row,) = pipeline.quality_report(spark, settings).collect()
+    assert (row["row_count"], row["invalid_identifier_rows"], row["rejected_csv_rows"]) == (0, 0, 0)
+    assert row["invalid_timestamp_rows"] is None
+    (tmp_path / "t.csv").write_text("1,x\n,y\n")
+    (tmp_path / "parquet/clean/t" / storage.MANIFEST).unlink()
+    assert storage.version(spark, settings.clean("t")) is None
+    pipeline.preprocess(spark, settings)
+    (row,) = pipeline.quality_report(spark, settings).collect()
+    assert (row["row_count"], row["invalid_identifier_rows"]) == (2, 1)
+
+
 def test_wrong_arguments(spark, finished, tmp_path):
     _, settings = finished
     with pytest.raises(ValueError, match="steps"):

@@ -527,6 +527,23 @@ SELECT
 FROM kept GROUP BY min_support, min_confidence
 """
 
+
+def table_quality(name: str, key: str, lacks: str, time: str | None) -> str:
+    """Counts of a raw table in which the key's last digit says which lines lack it, are long or short."""
+    outside = f"count(*) FILTER (WHERE {key} % 10 NOT IN (1, 2) AND NOT ({IN_STUDY.format(time)}))"
+    return f"""
+        SELECT
+            '{name}' AS "table",
+            count(*) FILTER (WHERE {key} % 10 NOT IN (1, 2)) AS row_count,
+            count(*) FILTER (WHERE {key} % 10 = 0 OR {key} % 10 > 2 AND ({lacks})) AS invalid_identifier_rows,
+            {outside if time else "NULL::BIGINT"} AS invalid_timestamp_rows,
+            count(*) FILTER (WHERE {key} % 10 IN (1, 2)) AS rejected_csv_rows,
+            'parquet/clean/{name}' AS parquet_file,
+            true AS has_bytes
+        FROM {name}
+    """
+
+
 ORACLE: dict[str, str] = {
     "ingest_delimited": with_parts("SELECT * FROM raw", LINES),
     "null_tokens": with_parts(
@@ -566,6 +583,18 @@ ORACLE: dict[str, str] = {
         """,
         LINES,
     ),
+    "preprocessing_summary": " UNION ALL ".join(
+        table_quality(*row)
+        for row in (
+            ("orders", "o_orderkey", "o_custkey IS NULL", "o_orderdate"),
+            ("lineitem", "l_orderkey", "l_partkey IS NULL", "l_shipdate"),
+            ("events", "event_id", "user_id IS NULL", "ts"),
+            ("customer", "c_custkey", "false", None),
+            ("supplier", "s_suppkey", "false", None),
+            ("part", "p_partkey", "false", None),
+            ("nation", "n_nationkey", "false", None),
+        )
+    ),
     "first_per_key": """
         SELECT
             l_orderkey, l_linenumber, l_shipdate, l_partkey, l_suppkey, l_quantity,

@@ -22,6 +22,7 @@ from tallyreach.operators.categories import with_category_group
 from tallyreach.operators.dedup import first_per_key as first_row
 from tallyreach.operators.quality import quality_row
 from tallyreach.operators.quality import reject_count as count_rejects
+from tallyreach.plans import pipeline
 from tallyreach.sources import delimited, storage
 from tallyreach.sources.storage import scratch_folder, scratch_table, size_in_bytes
 from workload import tables
@@ -103,6 +104,17 @@ def quality_summary(spark: SparkSession, sf: str) -> DataFrame:
     return quality_row(both.filter("rejected = 0"), spec.name, spec.timestamp_flag, rejected)
 
 
+def preprocessing_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The first step of the pipeline on seven raw tables, twice: the second run finds all of them done."""
+    folder = f"{scratch_folder(spark)}/tallyreach/dump-{uuid.uuid4().hex}"
+    tables.raw_files(spark, sf, f"{folder}/raw")
+    settings = pipeline.Settings(folder, tables.DEFAULT_SOURCE, tables.raw_specs())
+    for _ in range(2):
+        pipeline.preprocess(spark, settings)
+    report = pipeline.quality_report(spark, settings)
+    return report.withColumn("has_bytes", F.col("parquet_bytes") > 0).drop("parquet_bytes")
+
+
 def ingest_files(spark: SparkSession, sf: str) -> DataFrame:
     """The lines as text files, a folder for each source, read back and cut."""
     folder = f"{scratch_folder(spark)}/tallyreach/lines-{uuid.uuid4().hex}"
@@ -477,6 +489,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "try_casts": try_casts,
     "quality_flags": quality_flags,
     "quality_summary": quality_summary,
+    "preprocessing_summary": preprocessing_summary,
     "first_per_key": first_per_key,
     "unique_posts": unique_posts,
     "inner_join_window_count": inner_join_window_count,

@@ -188,6 +188,59 @@ LINE_SPEC = TableSpec(
 )
 
 
+#: Raw tables made of the given ones: delimiter, columns (the first is the key), identifiers, time column.
+RAW_TABLES = {
+    "orders": (
+        "\t",
+        ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"),
+        ("o_orderkey", "o_custkey"),
+        "o_orderdate",
+    ),
+    "lineitem": (
+        "\t",
+        ("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate"),
+        ("l_orderkey", "l_partkey"),
+        "l_shipdate",
+    ),
+    "events": ("\t", ("event_id", "user_id", "ts"), ("event_id", "user_id"), "ts"),
+    "customer": ("|", ("c_custkey", "c_mktsegment"), ("c_custkey",), None),
+    "supplier": ("|", ("s_suppkey", "s_name"), ("s_suppkey",), None),
+    "part": (",", ("p_partkey", "p_size"), ("p_partkey",), None),
+    "nation": (",", ("n_nationkey", "n_regionkey"), ("n_nationkey",), None),
+}
+
+
+def raw_specs() -> dict[str, TableSpec]:
+    def check(time: str | None) -> TimeCheck | None:
+        return time and TimeCheck("timestamp_in_study_window", time, STUDY_START, STUDY_END)
+
+    return {
+        name: TableSpec(
+            name,
+            (f"{name}.csv",),
+            delimiter,
+            tuple(FieldSpec(column, "timestamp" if column == time else "trimmed") for column in columns),
+            required,
+            check(time),
+        )
+        for name, (delimiter, columns, required, time) in RAW_TABLES.items()
+    }
+
+
+def raw_files(spark: SparkSession, sf: str, folder: str) -> None:
+    """The raw tables as folders of lines. By the key's last digit, lines lack it (0), are long (1) or short (2)."""
+    for name, (delimiter, columns, _, _) in RAW_TABLES.items():
+        key, *others = [F.coalesce(F.col(column).cast("string"), F.lit("")) for column in columns]
+        digit = F.col(columns[0]) % 10
+        line = (
+            F.when(digit == 0, F.concat_ws(delimiter, F.lit("\\N"), *others))
+            .when(digit == 1, F.concat_ws(delimiter, key, *others, F.lit("extra")))
+            .when(digit == 2, key)
+            .otherwise(F.concat_ws(delimiter, key, *others))
+        )
+        table(spark, sf, name).select(line.alias("value")).write.text(f"{folder}/{name}.csv")
+
+
 def messy_values(spark: SparkSession, sf: str) -> DataFrame:
     """Prices and dates written in ways that a cast may or may not take."""
     orders = table(spark, sf, "orders")
