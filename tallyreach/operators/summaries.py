@@ -66,7 +66,7 @@ def column_profile(df: DataFrame) -> DataFrame:
 
     measures = [F.count("*").alias("rows")]
     for number, field in enumerate(fields):
-        column = _named(field.name)
+        column = named(field.name)
         value = column.cast("double") if field.name in numbers else F.lit(None).cast("double")
         measures += [
             F.min(column).cast("string").alias(f"min{number}"),
@@ -96,7 +96,7 @@ def column_profile(df: DataFrame) -> DataFrame:
     ]
     profile = df.agg(*measures).select(F.inline(F.array(*rows)))
     values = [
-        F.struct(F.lit(field.name).alias("column_name"), _named(field.name).cast("string").alias("value"))
+        F.struct(F.lit(field.name).alias("column_name"), named(field.name).cast("string").alias("value"))
         for field in fields
     ]
     distinct = (
@@ -111,7 +111,7 @@ def column_profile(df: DataFrame) -> DataFrame:
     )
 
 
-def _named(column: str) -> Column:
+def named(column: str) -> Column:
     """A column by its name as it is, whatever characters it has."""
     return F.col("`" + column.replace("`", "``") + "`")
 

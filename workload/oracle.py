@@ -736,6 +736,27 @@ ORACLE: dict[str, str] = {
         *LABELLED,
     ),
     "column_profile": with_parts(profile(), *LABELLED),
+    "sketch_profile": " UNION ALL ".join(
+        f"""
+        SELECT
+            '{name}' AS column_name, count(*) AS row_count, {low} AS min, {high} AS max,
+            count(DISTINCT {name}) AS distinct_values, true AS distinct_within, {near} AS quartiles_within
+        FROM lineitem
+        """
+        for name, low, high, near in (
+            *(
+                (name, f"min({name})::DOUBLE", f"max({name})::DOUBLE", "true")
+                for name in (
+                    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                    "l_extendedprice", "l_discount", "l_tax",
+                )
+            ),
+            *(
+                (name, "NULL::DOUBLE", "NULL::DOUBLE", "NULL::BOOLEAN")
+                for name in ("l_returnflag", "l_linestatus", "l_shipdate")
+            ),
+        )
+    ),
     "capped_histogram": with_parts(
         """
         SELECT least(engagement_count_7d, 3) AS engagement, count(*) AS posts

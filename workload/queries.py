@@ -17,7 +17,7 @@ from tallyreach.operators import features as feature_ops
 from tallyreach.operators import labels as label_ops
 from tallyreach.operators import rules as rule_ops
 from tallyreach.operators import sensitivity as sensitivity_ops
-from tallyreach.operators import summaries
+from tallyreach.operators import sketches, summaries
 from tallyreach.operators.categories import with_category_group
 from tallyreach.operators.dedup import first_per_key as first_row
 from tallyreach.operators.quality import quality_row
@@ -410,6 +410,42 @@ def column_profile(spark: SparkSession, sf: str) -> DataFrame:
     return summaries.column_profile(_labelled(spark, sf)).withColumns(rounded).drop("column_type")
 
 
+def sketch_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Lineitems by sketches of each month, merged: are they as near to exact counts as they should be?"""
+    rows = table(spark, sf, "lineitem")
+    monthly = rows.withColumn("month", F.date_trunc("month", "l_shipdate"))
+    parts = scratch_table(sketches.column_sketches(monthly, ("month",)), "sketches")
+    profile = scratch_table(sketches.sketch_profile(sketches.merged(parts)), "profile")
+
+    # A row a column: how many of the values lie below each quartile, and at it or below. RANK_ERROR holds 99
+    # times of 100; twice as much is off by chance once in a million.
+    checks = []
+    for row in profile.filter("q50 IS NOT NULL").collect():
+        value = F.col(row["column_name"]).cast("double")
+        near = F.lit(True)
+        for at, fraction in summaries.QUARTILES.items():
+            present = F.count(value)
+            near &= F.count_if(value < row[at]) <= (fraction + 2 * sketches.RANK_ERROR) * present
+            near &= F.count_if(value <= row[at]) >= (fraction - 2 * sketches.RANK_ERROR) * present
+        checks.append(F.struct(F.lit(row["column_name"]).alias("column_name"), near.alias("quartiles_within")))
+    ranks = rows.agg(F.array(*checks).alias("checks")).select(F.inline("checks"))
+    values = F.array(
+        *[F.struct(F.lit(n).alias("column_name"), F.col(n).cast("string").alias("value")) for n in rows.columns]
+    )
+    exact = rows.select(F.inline(values)).distinct().groupBy("column_name").agg(F.count("value").alias("distinct"))
+    # Three standard errors, and one for the rounding to whole values.
+    off = F.abs(F.col("distinct_values") - F.col("distinct"))
+    return profile.join(exact, "column_name").join(ranks, "column_name", "left").select(
+        "column_name",
+        F.col("count").alias("row_count"),
+        "min",
+        "max",
+        F.col("distinct").alias("distinct_values"),
+        (off <= 3 * sketches.DISTINCT_ERROR * F.col("distinct") + 1).alias("distinct_within"),
+        "quartiles_within",
+    )
+
+
 def capped_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return summaries.capped_histogram(_labelled(spark, sf), cap=HISTOGRAM_CAP)
 
@@ -511,6 +547,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "feature_metadata": feature_metadata,
     "overview": overview,
     "column_profile": column_profile,
+    "sketch_profile": sketch_profile,
     "capped_histogram": capped_histogram,
     "profile_by_source": profile_by_source,
     "profile_by_hour": profile_by_hour,
