@@ -70,27 +70,44 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return exists(spark, f"{path}/_SUCCESS")
 
 
-def read_manifest(spark: SparkSession, path: str) -> dict:
-    """What :func:`write_parquet` noted about the table at ``path``; empty where it noted nothing."""
-    if not exists(spark, f"{path}/{MANIFEST}"):
-        return {}
-    system, target = _file_system(spark, f"{path}/{MANIFEST}")
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, whole."""
+    system, target = _file_system(spark, path)
     stream = system.open(target)
     try:
-        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
         stream.close()
 
 
-def _write_manifest(spark: SparkSession, path: str, content: dict) -> None:
-    system, target = _file_system(spark, f"{path}/{MANIFEST}")
-    stream = system.create(target)
+def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = True) -> None:
+    """Write a small file. Without ``overwrite`` a file that is there already is an error."""
+    system, target = _file_system(spark, path)
+    if not overwrite and system.exists(target):
+        raise FileExistsError(path)
+    stream = system.create(target, overwrite)
     try:
-        stream.write(bytearray(json.dumps(content, indent=1, sort_keys=True), "utf-8"))
+        stream.write(bytearray(text, "utf-8"))
     finally:
         stream.close()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or a directory with all in it, if it is there."""
+    system, target = _file_system(spark, path)
+    system.delete(target, True)
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    """What :func:`write_parquet` noted about the table at ``path``; empty where it noted nothing."""
+    place = f"{path}/{MANIFEST}"
+    return json.loads(read_text(spark, place)) if exists(spark, place) else {}
+
+
+def _write_manifest(spark: SparkSession, path: str, content: dict) -> None:
+    write_text(spark, f"{path}/{MANIFEST}", json.dumps(content, indent=1, sort_keys=True))
+
+
 def version(spark: SparkSession, path: str) -> str | None:
     """A digest of all that the table at ``path`` was made from; NULL for a table without a manifest.
 

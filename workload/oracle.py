@@ -561,6 +561,7 @@ ORACLE: dict[str, str] = {
         "SELECT count(DISTINCT (part, line)) AS rejected_csv_rows FROM rejected", LINES
     ),
     "reject_count": with_parts("SELECT count(*) AS rejected_csv_rows FROM rejected", LINES),
+    "published_rows": with_parts("SELECT * FROM clean", LINES),
     "clean_typed": with_parts("SELECT * FROM clean", LINES),
     "try_casts": with_parts(
         """

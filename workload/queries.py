@@ -23,7 +23,7 @@ from tallyreach.operators.dedup import first_per_key as first_row
 from tallyreach.operators.quality import quality_row
 from tallyreach.operators.quality import reject_count as count_rejects
 from tallyreach.plans import pipeline
-from tallyreach.sources import delimited, storage
+from tallyreach.sources import delimited, published, storage
 from tallyreach.sources.storage import scratch_folder, scratch_table, size_in_bytes
 from workload import tables
 from workload.tables import table
@@ -134,6 +134,14 @@ def stored_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows
 
 
+def published_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Clean rows published as two versions of a table, the second from the first, and read back."""
+    path = f"{scratch_folder(spark)}/tallyreach/published-{uuid.uuid4().hex}"
+    published.publish(clean_typed(spark, sf), path)
+    published.publish(published.read(spark, path), path)
+    return published.read(spark, path)
+
+
 def report_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Documents per source as a CSV report and as JSON, and read back."""
     folder = f"{scratch_folder(spark)}/tallyreach/report-{uuid.uuid4().hex}"
@@ -515,6 +523,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_delimited": ingest_delimited,
     "ingest_files": ingest_files,
     "stored_rows": stored_rows,
+    "published_rows": published_rows,
     "report_rows": report_rows,
     "null_tokens": null_token_fields,
     "rejects": rejects,
