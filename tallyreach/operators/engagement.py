@@ -5,10 +5,11 @@ from __future__ import annotations
 from datetime import timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyreach.functions.time import in_window, moment, within
+from tallyreach.sources.layouts import Colocated
 
 COUNT_COLUMNS = (
     "has_full_7d_window",
@@ -72,6 +73,76 @@ def windowed_counts(
     )
 
 
+def colocated_counts(
+    items: Colocated,
+    reactions: dict[str, tuple[Colocated, str]],
+    opened_at: str,
+    window: timedelta,
+    window_name: str = "7d",
+) -> DataFrame:
+    """The rows of :func:`windowed_counts`, from tables stored by key in as many buckets, without a shuffle.
+
+    ``reactions`` maps a kind to (table, time column). A kind's heavy keys are fewer than the buckets: their
+    items are broadcast to the heavy reactions, and so are their counts to the items.
+    """
+    if any(table.buckets != items.buckets for table, _ in reactions.values()):
+        raise ValueError("the tables differ in their number of buckets")
+    key = items.key
+    openings = items.even.select(key, opened_at)
+    inside = within(F.col("_time"), F.col(opened_at), window)
+    result, empty = items.even, items.heavy
+    for kind, (table, time) in reactions.items():
+        names = [f"{kind}_count_recorded", f"{kind}_count_{window_name}"]
+        counts = [F.count(F.lit(1)).alias(names[0]), F.count_if(inside).alias(names[1])]
+
+        def slim(rows: DataFrame) -> DataFrame:
+            return rows.select(F.col(table.key).alias(key), F.col(time).alias("_time"))
+
+        found = openings.join(slim(table.even), key).groupBy(key).agg(*counts)
+        result = result.join(found, key, "left")
+        if table.heavy_keys:
+            keys = table.keys_frame(items.even.sparkSession).withColumnRenamed(table.key, key)
+            few = F.broadcast(openings.join(F.broadcast(keys), key))
+            heavy = slim(table.heavy).join(few, key).groupBy(key).agg(*counts)
+            renamed = heavy.toDF(key, *[f"_heavy_{name}" for name in names])
+            result = result.join(F.broadcast(renamed), key, "left").withColumns(
+                {name: F.coalesce(name, f"_heavy_{name}") for name in names}
+            ).drop(*[f"_heavy_{name}" for name in names])
+        result = result.fillna(0, names)
+        empty = empty.withColumns({name: F.lit(0).cast("long") for name in names})
+    # Items have one row per key, so those out of the buckets are the ones without a key.
+    if items.heavy_rows:
+        result = result.unionByName(empty)
+    recorded = [f"{kind}_count_recorded" for kind in reactions]
+    in_time = [f"{kind}_count_{window_name}" for kind in reactions]
+    total = reduce(lambda a, b: a + b, [F.col(name) for name in in_time])
+    return result.select(
+        *items.even.columns, *recorded, *in_time, total.alias(f"engagement_count_{window_name}")
+    )
+
+
+def engaged_posts_colocated(
+    posts: Colocated,
+    comments: Colocated,
+    likes: Colocated,
+    study_start: str,
+    study_end: str,
+    window: timedelta = timedelta(days=7),
+) -> DataFrame:
+    """The rows of :func:`engaged_posts`, from tables stored by post."""
+    counted = colocated_counts(
+        posts,
+        {"comment": (comments, "commented_at"), "like": (likes, "liked_at")},
+        opened_at="posted_at",
+        window=window,
+    )
+    return counted.withColumn("has_full_7d_window", _covered(study_start, study_end, window))
+
+
+def _covered(study_start: str, study_end: str, window: timedelta) -> Column:
+    return in_window(F.col("posted_at"), moment(study_start), moment(study_end) - F.lit(window))
+
+
 def engaged_posts(
     posts: DataFrame,
     comments: DataFrame,
@@ -98,10 +169,7 @@ def engaged_posts(
         opened_at="posted_at",
         window=window,
     )
-    covered = in_window(
-        F.col("posted_at"), moment(study_start), moment(study_end) - F.lit(window)
-    )
-    return counted.withColumn("has_full_7d_window", covered)
+    return counted.withColumn("has_full_7d_window", _covered(study_start, study_end, window))
 
 
 def post_engagement(engaged: DataFrame) -> DataFrame:

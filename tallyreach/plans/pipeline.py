@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from datetime import datetime, timedelta
 
@@ -12,7 +13,11 @@ from pyspark.sql import types as T
 from tallyreach.operators import summaries
 from tallyreach.operators.authors import author_statistics
 from tallyreach.operators.categories import TOP_CATEGORIES
-from tallyreach.operators.engagement import engaged_posts, post_engagement
+from tallyreach.operators.engagement import (
+    engaged_posts,
+    engaged_posts_colocated,
+    post_engagement,
+)
 from tallyreach.operators.features import post_features, unique_posts
 from tallyreach.operators.labels import (
     HIGH_QUANTILE,
@@ -36,6 +41,7 @@ from tallyreach.operators.sensitivity import (
     sensitivity_grid,
 )
 from tallyreach.sources import delimited, storage
+from tallyreach.sources.layouts import MONTH, Colocated, in_months, materialise_colocated, with_month
 from tallyreach.sources.specs import STUDY_END, STUDY_START, TableSpec, dump_tables
 
 
@@ -44,6 +50,9 @@ class Settings:
     """``default_source`` names the source of posts that give none: the host network's own name.
 
     ``tables`` are by default those of the dump, with their checks on the study window given here.
+    With ``buckets`` the posts and their reactions are stored by post in as many buckets, so that
+    another window is counted without a shuffle. With ``by_month`` clean tables that have a time are stored
+    by month, so that the study window reads its months alone; their rows shuffle once for that.
     """
 
     data_dir: str
@@ -56,6 +65,8 @@ class Settings:
     high_quantile: float = HIGH_QUANTILE
     targets: tuple[str, ...] = TARGETS
     rule_limits: RuleLimits = RuleLimits()
+    buckets: int | None = None
+    by_month: bool = False
 
     def __post_init__(self) -> None:
         if self.tables is None:
@@ -74,6 +85,10 @@ class Settings:
     def features(self) -> str:
         return f"{self.data_dir}/parquet/features/post_features"
 
+    def months(self, table: str) -> bool:
+        """Whether the clean table is stored by month."""
+        return self.by_month and self.tables[table].time_check is not None
+
     def quality(self, name: str) -> str:
         return f"{self.data_dir}/quality/{name}"
 
@@ -87,7 +102,10 @@ def stored_table(spark: SparkSession, settings: Settings, table: str) -> DataFra
     for name, kind in delimited.REJECT_FIELDS:
         if name not in schema.fieldNames():
             schema = schema.add(name, kind)
-    return spark.read.schema(schema.add("rejected", T.IntegerType())).parquet(settings.clean(table))
+    schema = schema.add("rejected", T.IntegerType())
+    if settings.months(table):
+        schema = schema.add(MONTH, T.IntegerType())
+    return spark.read.schema(schema).parquet(settings.clean(table))
 
 
 def clean_rows(spark: SparkSession, settings: Settings, table: str) -> DataFrame:
@@ -104,6 +122,15 @@ def valid_rows(spark: SparkSession, settings: Settings, table: str) -> DataFrame
     return clean_rows(spark, settings, table).filter("identifier_is_valid")
 
 
+def study_rows(spark: SparkSession, settings: Settings, table: str) -> DataFrame:
+    """Valid rows with a time in the window that the table is checked for."""
+    check, spec = settings.tables[table].time_check, settings.tables[table]
+    rows = stored_table(spark, settings, table).filter("rejected = 0")
+    if settings.months(table):
+        rows = rows.filter(in_months(check.start, check.end))
+    return rows.filter(F.col("identifier_is_valid") & F.col(check.flag)).select(*spec.schema().fieldNames())
+
+
 def preprocess(spark: SparkSession, settings: Settings, force: bool = False) -> None:
     """Step 1: raw files to clean tables, reject reports and the quality summary.
 
@@ -119,12 +146,18 @@ def preprocess(spark: SparkSession, settings: Settings, force: bool = False) ->
             file: storage.list_files(spark, path) for file, path in zip(spec.files, paths[name])
         }
         made_from = {"layout": asdict(spec), "files": files}
+        if settings.months(name):
+            made_from["by"] = MONTH
         if force or not storage.is_current(spark, settings.clean(name), made_from):
             lines = delimited.read_lines(spark, paths[name])
+            rows, parts = delimited.sorted_out(lines, spec), ("rejected",)
+            if settings.months(name):
+                rows = with_month(rows, spec.time_check.column, *parts)
+                parts = (*parts, MONTH)
             storage.write_parquet(
-                delimited.sorted_out(lines, spec),
+                rows,
                 settings.clean(name),
-                ("rejected",),
+                parts,
                 made_from,
                 quality_measures(spec.timestamp_flag),
             )
@@ -183,6 +216,34 @@ def _made_from(spark: SparkSession, settings: Settings, inputs: list[str], **opt
     return {"inputs": versions, "settings": options}
 
 
+def _by_post(spark: SparkSession, settings: Settings, force: bool) -> list[Colocated]:
+    """Unique posts, comments and likes, stored by post."""
+    reactions = {"comments": ("entry_id", "commented_at"), "likes": ("post_id", "liked_at")}
+
+    def posts() -> DataFrame:
+        entries = valid_rows(spark, settings, "entries")
+        return storage.scratch_table(unique_posts(entries, settings.default_source), "posts")
+
+    def stored(table: str, key: str, build: Callable[[], DataFrame], **options) -> Colocated:
+        return materialise_colocated(
+            spark,
+            settings.work(f"by_post/{table}"),
+            build,
+            key,
+            settings.buckets,
+            _made_from(spark, settings, [settings.clean(table)], **options),
+            force,
+        )
+
+    return [
+        stored("entries", "post_id", posts, default_source=settings.default_source),
+        *[
+            stored(table, columns[0], lambda: valid_rows(spark, settings, table).select(*columns))
+            for table, columns in reactions.items()
+        ],
+    ]
+
+
 def aggregate(spark: SparkSession, settings: Settings, force: bool = False) -> None:
     """Step 2: unique posts, their engagement, and the authors.
 
@@ -197,17 +258,17 @@ def aggregate(spark: SparkSession, settings: Settings, force: bool = False) -> N
     def clean(*tables: str) -> list[str]:
         return [settings.clean(table) for table in tables]
 
+    def counted() -> DataFrame:
+        study = (settings.study_start, settings.study_end, settings.window)
+        if settings.buckets is not None:
+            return engaged_posts_colocated(*_by_post(spark, settings, force), *study)
+        posts = unique_posts(valid("entries"), settings.default_source)
+        return engaged_posts(posts, valid("comments"), valid("likes"), *study)
+
     posts = storage.materialise(
         spark,
         settings.work("engaged_posts"),
-        lambda: engaged_posts(
-            unique_posts(valid("entries"), settings.default_source),
-            valid("comments"),
-            valid("likes"),
-            settings.study_start,
-            settings.study_end,
-            settings.window,
-        ),
+        counted,
         force,
         made_from=_made_from(
             spark,
@@ -236,7 +297,7 @@ def aggregate(spark: SparkSession, settings: Settings, force: bool = False) -> N
             valid("likes"),
             valid("services"),
             valid("subscriptions"),
-            valid("following_events").filter("timestamp_in_study_window"),
+            study_rows(spark, settings, "following_events"),
             valid("users"),
         ),
         force,

@@ -104,7 +104,8 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
     return json.loads(read_text(spark, place)) if exists(spark, place) else {}
 
 
-def _write_manifest(spark: SparkSession, path: str, content: dict) -> None:
+def write_manifest(spark: SparkSession, path: str, content: dict) -> None:
+    """Note beside the rows of a table what it was made from and what was measured."""
     write_text(spark, f"{path}/{MANIFEST}", json.dumps(content, indent=1, sort_keys=True))
 
 
@@ -176,7 +177,7 @@ def write_parquet(
         writer.parquet(target)
         if made_from is not None or seen is not None:
             content = {"made_from": made_from, "measures": {} if seen is None else seen.get}
-            _write_manifest(spark, target, content)
+            write_manifest(spark, target, content)
 
     replace_directory(spark, path, write)
 
@@ -232,7 +233,7 @@ def write_lines(df: DataFrame, path: str, made_from: dict | None = None) -> None
     def write(target: str) -> None:
         df.write.options(header=True, escape='"').csv(target)
         if made_from is not None:
-            _write_manifest(df.sparkSession, target, {"made_from": made_from, "measures": {}})
+            write_manifest(df.sparkSession, target, {"made_from": made_from, "measures": {}})
 
     replace_directory(df.sparkSession, path, write)
 

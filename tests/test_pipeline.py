@@ -235,6 +235,38 @@ def test_changes_rebuild_what_depends_on_them(spark, finished, tmp_path):
     assert rejected["line"] == "42"
 
 
+def test_other_layouts_give_the_same_rows(spark, finished, tmp_path):
+    """Posts and reactions by post, clean tables by month; another window reads the same tables by post."""
+    folder, settings = finished
+    shutil.copytree(folder / "raw", tmp_path / "raw")
+    other = replace(settings, data_dir=str(tmp_path), buckets=4, by_month=True)
+    pipeline.run(spark, other, 1, 2)
+
+    def equal(one, two, table):
+        # The folder is part of the source file.
+        names = [name for name in spark.read.parquet(f"{folder}/parquet/{table}").columns if name != "source_file"]
+        rows = [spark.read.parquet(f"{place}/parquet/{table}").select(*names) for place in (one, two)]
+        return rows[0].exceptAll(rows[1]).isEmpty() and rows[1].exceptAll(rows[0]).isEmpty()
+
+    assert equal(folder, tmp_path, "work/engaged_posts")
+    assert equal(folder, tmp_path, "aggregated/author_statistics")
+    assert spark.read.parquet(f"{tmp_path}/parquet/work/by_post/likes/heavy").count() > 600
+    rows = pipeline.study_rows(spark, other, "following_events")
+    plain = pipeline.study_rows(spark, settings, "following_events").drop("source_file")
+    assert rows.drop("source_file").exceptAll(plain).isEmpty() and rows.count() == plain.count()
+    assert "month_number" in rows._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1]
+
+    before = {path: path.stat().st_mtime_ns for path in tmp_path.glob("parquet/work/by_post/*/_manifest.json")}
+    assert len(before) == 3
+    shorter = replace(other, window=timedelta(days=3))
+    pipeline.aggregate(spark, shorter)
+    assert before == {path: path.stat().st_mtime_ns for path in before}
+    shutil.copytree(folder, tmp_path / "plain")
+    plain = replace(settings, data_dir=f"{tmp_path}/plain", window=timedelta(days=3))
+    pipeline.aggregate(spark, plain)
+    assert equal(tmp_path / "plain", tmp_path, "aggregated/post_engagement")
+
+
 def test_quality_counts_are_taken_while_writing(spark, finished):
     _, settings = finished
     counted = pipeline.quality_report(spark, settings)

@@ -620,6 +620,13 @@ ORACLE: dict[str, str] = {
         ENTRIES,
     ),
     "post_engagement": with_parts("SELECT * FROM engagement", ENTRIES, ENGAGEMENT),
+    "post_engagement_colocated": with_parts("SELECT * FROM engagement", ENTRIES, ENGAGEMENT),
+    "window_by_month": """
+        SELECT l_returnflag, strftime(l_shipdate, '%Y-%m-%d') AS day, count(*) AS row_count,
+               sum(l_orderkey)::BIGINT AS key_sum
+        FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-02-15' AND l_shipdate < TIMESTAMP '1996-04-01'
+        GROUP BY ALL
+    """,
     "distinct_authors": "SELECT DISTINCT o_custkey AS author_id FROM orders "
     "WHERE o_custkey IS NOT NULL",
     "author_activity": with_parts("SELECT * FROM activity", ENTRIES, AUTHORS),

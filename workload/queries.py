@@ -23,7 +23,7 @@ from tallyreach.operators.dedup import first_per_key as first_row
 from tallyreach.operators.quality import quality_row
 from tallyreach.operators.quality import reject_count as count_rejects
 from tallyreach.plans import pipeline
-from tallyreach.sources import delimited, published, storage
+from tallyreach.sources import delimited, layouts, published, storage
 from tallyreach.sources.storage import scratch_folder, scratch_table, size_in_bytes
 from workload import tables
 from workload.tables import table
@@ -210,6 +210,36 @@ def post_engagement(spark: SparkSession, sf: str) -> DataFrame:
     return engagement_ops.post_engagement(_engaged(spark, sf, posts))
 
 
+BUCKETS = 16
+
+
+def post_engagement_colocated(spark: SparkSession, sf: str) -> DataFrame:
+    """Posts, comments and likes stored by post, then counted without a shuffle."""
+    folder = f"{scratch_folder(spark)}/tallyreach/colocated-{uuid.uuid4().hex}"
+    inputs = {
+        "posts": (_slim_posts(spark, sf).drop("source_file"), "post_id"),
+        "comments": (tables.comments(spark, sf), "entry_id"),
+        "likes": (tables.likes(spark, sf), "post_id"),
+    }
+    stored = [
+        layouts.colocate(rows, f"{folder}/{name}", key, BUCKETS) for name, (rows, key) in inputs.items()
+    ]
+    engaged = engagement_ops.engaged_posts_colocated(
+        *stored, tables.STUDY_START, tables.STUDY_END, tables.WINDOW
+    )
+    return engagement_ops.post_engagement(engaged)
+
+
+def window_by_month(spark: SparkSession, sf: str) -> DataFrame:
+    """Lineitems stored by month, then counted by flag and day in six weeks of them."""
+    path = f"{scratch_folder(spark)}/tallyreach/by-month-{uuid.uuid4().hex}"
+    layouts.write_by_month(table(spark, sf, "lineitem"), path, "l_shipdate")
+    rows = layouts.read_window(spark, path, "l_shipdate", "1996-02-15", "1996-04-01")
+    return rows.groupBy("l_returnflag", F.to_date("l_shipdate").cast("string").alias("day")).agg(
+        F.count("*").alias("row_count"), F.sum("l_orderkey").alias("key_sum")
+    )
+
+
 def distinct_authors(spark: SparkSession, sf: str) -> DataFrame:
     return tables.entries(spark, sf).filter("author_id IS NOT NULL").select("author_id").distinct()
 
@@ -539,6 +569,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "unique_posts": unique_posts,
     "inner_join_window_count": inner_join_window_count,
     "post_engagement": post_engagement,
+    "post_engagement_colocated": post_engagement_colocated,
+    "window_by_month": window_by_month,
     "distinct_authors": distinct_authors,
     "author_activity": author_activity,
     "degree_counts": degree_counts,
