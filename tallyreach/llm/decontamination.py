@@ -2,8 +2,11 @@
 
 Seeds are the rare word triples of the items: those that chance would hardly bring together, judged
 by how often their words occur in the whole corpus. Items with few of them, as those of common words or
-with very many copies, have all their triples as seeds. A fixed-size bitmap of the seeds goes to all
-tasks and picks the places in the documents that may hold one; those are joined with the seeds.
+with very many copies, have all their triples as seeds. A triple is three words in a row, or two and the next but
+one, in items and documents alike: a copy in which each third word is replaced, or missing, has no three words
+of the item in a row. A fixed-size bitmap of the seeds goes to all
+tasks and picks the places in the documents that may hold one; those are joined with the seeds. Another one, of
+the documents that hold any, keeps all others out of the join that brings texts to items.
 Around every seed the item is aligned with the document by Smith-Waterman on words, so that replaced,
 missing and added words cost something but don't hide a copy.
 """
@@ -20,11 +23,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyreach.llm.common import documents
-from tallyreach.llm.shingles import run_hashes
+from tallyreach.llm.shingles import gapped_hashes, run_hashes
 from tallyreach.llm.tokens import chunks
 from tallyreach.sources.storage import scratch_table
 
 SEED_WORDS = 3
+GAPPED = (0, 1, 3)
 # A seed is rare if its words meet by chance less than once in 10^8 places. An item that has rare ones in
 # fewer than so many stretches of three words uses all its triples: few seeds are easily edited away.
 RARITY = 8.0
@@ -123,7 +127,7 @@ def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        owners, places, words, seeds = [], [], [], []
+        owners, places, words, seeds, gapped = [], [], [], [], []
         for number, text in enumerate(batch.column("text").to_pylist()):
             hashes = hashes_of(text)
             seed = run_hashes(hashes, SEED_WORDS)
@@ -132,6 +136,8 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words.append(hashes)
             # The last words of an item begin no seed of their own; they repeat the last one.
             seeds.append(seed[np.minimum(np.arange(len(hashes)), len(seed) - 1)])
+            found = gapped_hashes(hashes, GAPPED).view(np.int64).tolist()
+            gapped += found + [None] * (len(hashes) - len(found))
         flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         yield pa.RecordBatch.from_arrays(
             [
@@ -139,8 +145,9 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(flat(places, np.int32)),
                 pa.array(flat(words, np.uint64).view(np.int64)),
                 pa.array(flat(seeds, np.uint64).view(np.int64)),
+                pa.array(gapped, pa.int64()),
             ],
-            names=["item", "item_pos", "word", "seed"],
+            names=["item", "item_pos", "word", "seed", "gapped"],
         )
 
 
@@ -168,12 +175,13 @@ def _hits(bits: np.ndarray):
         for batch in batches:
             owners, places, seeds = [], [], []
             for number, text in enumerate(batch.column("text").to_pylist()):
-                hashes = run_hashes(hashes_of(text), SEED_WORDS)
-                hit = np.flatnonzero(_marked(bits, hashes))
-                if len(hit):
-                    owners.append(np.full(len(hit), number, np.int32))
-                    places.append(hit.astype(np.int32))
-                    seeds.append(hashes[hit])
+                words = hashes_of(text)
+                for hashes in (run_hashes(words, SEED_WORDS), gapped_hashes(words, GAPPED)):
+                    hit = np.flatnonzero(_marked(bits, hashes))
+                    if len(hit):
+                        owners.append(np.full(len(hit), number, np.int32))
+                        places.append(hit.astype(np.int32))
+                        seeds.append(hashes[hit])
             if owners:
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -187,6 +195,17 @@ def _hits(bits: np.ndarray):
     return run
 
 
+def _rows_in(bits: np.ndarray):
+    """The rows that the bitmap may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column("row").to_numpy(zero_copy_only=False).view(np.uint64)
+            yield batch.filter(pa.array(_marked(bits, rows)))
+
+    return run
+
+
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [
@@ -217,7 +236,7 @@ def row_key() -> Column:
 def seeds_of(items: DataFrame, docs: DataFrame) -> DataFrame:
     """seed, item and item_pos of the rare word triples of ``items`` (item, text), or of all where few are rare."""
     words = scratch_table(
-        items.mapInArrow(_item_words, "item long, item_pos int, word long, seed long"), "item-words"
+        items.mapInArrow(_item_words, "item long, item_pos int, word long, seed long, gapped long"), "item-words"
     )
     counted = docs.select("text").mapInArrow(
         _word_counts(_bitmap(words, "word")), "word long, times long"
@@ -228,12 +247,24 @@ def seeds_of(items: DataFrame, docs: DataFrame) -> DataFrame:
         "rarity", F.log10((total + 1) / (F.coalesce("times", F.lit(0)) + 1))
     )
     # The words of one item at a time.
-    ahead = Window.partitionBy("item").orderBy("item_pos").rowsBetween(0, SEED_WORDS - 1)
+    in_order = Window.partitionBy("item").orderBy("item_pos")
+    ahead = in_order.rowsBetween(0, SEED_WORDS - 1)
+    apart = sum((F.lead("rarity", place).over(in_order) for place in GAPPED[1:]), F.col("rarity"))
     triples = (
-        chance.withColumn("rarity", F.sum("rarity").over(ahead))
+        chance.withColumns({"in_a_row": F.sum("rarity").over(ahead), "apart": apart})
         .withColumn("size", F.count("*").over(Window.partitionBy("item")))
         .filter((F.col("item_pos") <= F.col("size") - SEED_WORDS) | (F.col("item_pos") == 0))
-        .select("item", "item_pos", "seed", "rarity")
+        .select(
+            "item",
+            "item_pos",
+            F.inline(
+                F.array(
+                    F.struct("seed", F.col("in_a_row").alias("rarity")),
+                    F.struct(F.col("gapped").alias("seed"), F.col("apart").alias("rarity")),
+                )
+            ),
+        )
+        .filter("seed IS NOT NULL")
     )
     # A triple that many items hold says little about any of them.
     triples = scratch_table(triples, "triples")
@@ -281,9 +312,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_S
         .agg(F.collect_set("start").alias("starts")),
         "pairs",
     )
+    held = rows.select("row", "doc_id", "text").mapInArrow(
+        _rows_in(_bitmap(pairs, "row")), "row long, doc_id long, text string"
+    )
     aligned = (
         pairs.join(items.select("item", "item_id", F.col("text").alias("item_text")), "item")
-        .join(rows, "row")
+        .join(held, "row")
         .select("row", "doc_id", "item_id", "item_text", "text", "starts")
         .mapInArrow(
             _scored,

@@ -64,6 +64,16 @@ def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return total
 
 
+def gapped_hashes(hashes: np.ndarray, places: tuple[int, ...]) -> np.ndarray:
+    """A hash for each start of the words at ``places`` from it, as :func:`run_hashes` gives for such words in a row."""
+    count = max(len(hashes) - places[-1], 0)
+    total = np.full(count, len(places), np.uint64)
+    for number, place in enumerate(places):
+        total += mix(hashes[place : place + count] * _MULTIPLIERS[number])
+        total = mix(total)
+    return total
+
+
 @dataclass
 class WeightedSets:
     """Elements with weights; ``owner`` says which set each belongs to, in ascending order."""

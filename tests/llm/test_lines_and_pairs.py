@@ -203,6 +203,60 @@ def test_edited_copies_of_a_hot_item_and_of_common_words_are_found(spark, table)
     assert len(expected) > 250 and found == expected
 
 
+@pytest.mark.parametrize("edit", ["replaced", "missing", "added"])
+def test_copies_without_three_words_in_a_row_are_found(spark, table, benchmark, edit):
+    """Every third word of an item is replaced or missing, or one is added before every other word."""
+    rows, expected = [], set()
+    for r in benchmark.filter("item_id < 12 AND item_id > 0").collect():
+        copy = []
+        for place, word in enumerate(r["text"].split()):
+            if edit == "added":
+                copy += [word] if place % 2 else [f"new{place}", word]
+            elif place % 3 != 2:
+                copy.append(word)
+            elif edit == "replaced":
+                copy.append(f"new{place}")
+        rows.append((r["item_id"], " ".join(["before"] * 9 + copy + ["after"] * 9)))
+        if align(np.array(r["text"].split()), np.array(rows[-1][1].split()))[0] / 60 >= 0.5:
+            expected.add((r["item_id"], r["item_id"]))
+    found = {(r["doc_id"], r["item_id"]) for r in contaminated(table(rows), benchmark).collect()}
+    assert len(expected) == 11 and found == expected
+
+
+@pytest.mark.parametrize("rate", [0.05, 0.1, 0.2, 0.3])
+def test_recall_against_alignments_of_all_pairs(spark, table, rate):
+    """Edited copies of given items within given texts: the pairs that reach the limit, of all pairs."""
+    draw = random.Random(rate)
+    items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").select("item_id", "text")
+    items = items.filter("text IS NOT NULL").orderBy("item_id").limit(25)
+    texts = [
+        " ".join(words_of(r["text"])[:60])
+        for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("text IS NOT NULL").collect()
+    ]
+    known = {r["item_id"]: words_of(r["text"]) for r in items.collect()}
+    rows = []
+    for number in range(250):
+        words = []
+        for word in known[draw.choice(list(known))]:
+            chance = draw.random() / rate
+            if chance > 1:
+                words.append(word)
+            elif chance < 0.6:
+                words.append(f"new{draw.randrange(500)}")
+            elif chance > 0.8:
+                words += [word, f"new{draw.randrange(500)}"]
+        rows.append((number, " ".join([draw.choice(texts), *words, draw.choice(texts)])))
+    expected = set()
+    for number, text in rows:
+        for item, words in known.items():
+            if align(np.array(words), np.array(text.split()))[0] / (2 * len(words)) >= 0.5:
+                expected.add((number, item))
+    found = {(r["doc_id"], r["item_id"]) for r in contaminated(table(rows), items).collect()}
+    assert found <= expected
+    assert len(expected) > 100
+    assert len(found) >= 0.98 * len(expected)
+
+
 def test_decontamination_of_nothing(odd, empty, benchmark):
     assert contaminated(odd, benchmark).count() == 0
     assert contaminated(empty, benchmark).count() == 0
