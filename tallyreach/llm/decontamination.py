@@ -82,8 +82,13 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def passage(item: np.ndarray, text: np.ndarray, starts: list[int]) -> tuple[float, int, int]:
-    """The best alignment around any of ``starts``: score from 0 to 1, first and last word + 1."""
+def passage(
+    item: np.ndarray, text: np.ndarray, starts: list[int], min_score: float = 0.0
+) -> tuple[float, int, int]:
+    """The best alignment around any of ``starts``: score from 0 to 1, first and last word + 1.
+
+    A score of 0 where none can reach ``min_score``.
+    """
     slack = len(item) // 2 + 5
     windows: list[list[int]] = []
     for start in sorted(set(starts)):
@@ -95,6 +100,10 @@ def passage(item: np.ndarray, text: np.ndarray, starts: list[int]) -> tuple[floa
     found = (0.0, 0, 0)
     for low, high in windows:
         part = text[low:high]
+        # No more words can agree than occur in both.
+        most = np.isin(item, part).sum() / len(item)
+        if most < min_score or most <= found[0]:
+            continue
         score, row, end = align(item, part)
         if score / (MATCH * len(item)) > found[0]:
             _, _, length = align(item[:row][::-1], part[:end][::-1])
@@ -170,27 +179,46 @@ def _word_counts(bits: np.ndarray):
     return run
 
 
+def _triples(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashes of the triples of all texts, by shape, with the number of the text and the place of the first word."""
+    sizes = np.array([len(words) for words in texts])
+    ends = np.cumsum(sizes)
+    together, owner = np.concatenate(texts), np.repeat(np.arange(len(texts)), sizes)
+    for hashes, reach in (
+        (run_hashes(together, SEED_WORDS), SEED_WORDS - 1),
+        (gapped_hashes(together, GAPPED), GAPPED[-1]),
+    ):
+        # Those that go on in the next text are none.
+        count = max(len(together) - reach, 0)
+        start = np.flatnonzero(owner[:count] == owner[reach:])
+        text = owner[start]
+        yield hashes[start], text, start - (ends - sizes)[text]
+    for number, words in enumerate(texts):
+        if len(words) < SEED_WORDS:
+            hashes = run_hashes(words, SEED_WORDS)
+            yield hashes, np.full(len(hashes), number), np.zeros(len(hashes), np.int64)
+
+
 def _hits(bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owners, places, seeds = [], [], []
-            for number, text in enumerate(batch.column("text").to_pylist()):
-                words = hashes_of(text)
-                for hashes in (run_hashes(words, SEED_WORDS), gapped_hashes(words, GAPPED)):
-                    hit = np.flatnonzero(_marked(bits, hashes))
-                    if len(hit):
-                        owners.append(np.full(len(hit), number, np.int32))
-                        places.append(hit.astype(np.int32))
-                        seeds.append(hashes[hit])
-            if owners:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("row").take(pa.array(np.concatenate(owners))),
-                        pa.array(np.concatenate(places)),
-                        pa.array(np.concatenate(seeds).view(np.int64)),
-                    ],
-                    names=["row", "doc_pos", "seed"],
-                )
+            all_texts = batch.column("text").to_pylist()
+            for rows in chunks(all_texts):
+                found = [
+                    (text[hit], place[hit], hashes[hit])
+                    for hashes, text, place in _triples([hashes_of(text) for text in all_texts[rows]])
+                    if (hit := _marked(bits, hashes)).any()
+                ]
+                if found:
+                    owners, places, seeds = map(np.concatenate, zip(*found))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column("row")[rows].take(pa.array(owners)),
+                            pa.array(places.astype(np.int32)),
+                            pa.array(seeds.view(np.int64)),
+                        ],
+                        names=["row", "doc_pos", "seed"],
+                    )
 
     return run
 
@@ -206,26 +234,30 @@ def _rows_in(bits: np.ndarray):
     return run
 
 
-def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [
-            passage(hashes_of(item), hashes_of(text), starts)
-            for item, text, starts in zip(
-                *(batch.column(c).to_pylist() for c in ("item_text", "text", "starts"))
+def _scored(min_score: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, words = None, None
+        for batch in batches:
+            found = []
+            for item, text, starts in zip(*(batch.column(c).to_pylist() for c in ("item_text", "text", "starts"))):
+                # The items of a document come one after another.
+                if text != last:
+                    last, words = text, hashes_of(text)
+                found.append(passage(hashes_of(item), words, starts, min_score))
+            score, first, end = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("row"),
+                    batch.column("doc_id"),
+                    batch.column("item_id"),
+                    pa.array(score, pa.float64()),
+                    pa.array(first, pa.int64()),
+                    pa.array(end, pa.int64()),
+                ],
+                names=["row", "doc_id", "item_id", "score", "first_word", "end_word"],
             )
-        ]
-        score, first, end = zip(*found) if found else ((), (), ())
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("row"),
-                batch.column("doc_id"),
-                batch.column("item_id"),
-                pa.array(score, pa.float64()),
-                pa.array(first, pa.int64()),
-                pa.array(end, pa.int64()),
-            ],
-            names=["row", "doc_id", "item_id", "score", "first_word", "end_word"],
-        )
+
+    return run
 
 
 def row_key() -> Column:
@@ -320,7 +352,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_S
         .join(held, "row")
         .select("row", "doc_id", "item_id", "item_text", "text", "starts")
         .mapInArrow(
-            _scored,
+            _scored(min_score),
             "row long, doc_id long, item_id long, score double, first_word long, end_word long",
         )
     )
