@@ -14,6 +14,7 @@ missing and added words cost something but don't hide a copy.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,13 +166,17 @@ def _word_counts(bits: np.ndarray):
         for batch in batches:
             all_texts = batch.column("text").to_pylist()
             for rows in chunks(all_texts):
-                hashes = np.concatenate([hashes_of(text) for text in all_texts[rows]])
-                word, times = np.unique(hashes[_marked(bits, hashes)], return_counts=True)
-                # The row without a word has the number of all words.
+                written = Counter()
+                for text in all_texts[rows]:
+                    written.update(text.lower().split())
+                hashes = np.fromiter(map(_known.__getitem__, written), np.uint64, len(written))
+                times = np.fromiter(written.values(), np.int64, len(written))
+                asked = _marked(bits, hashes) & (hashes != 0)
+                # A word may have several rows, by how it is written; the row without one has the number of all words.
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([None, *word.view(np.int64).tolist()], pa.int64()),
-                        pa.array([len(hashes), *times.tolist()], pa.int64()),
+                        pa.array([None, *hashes[asked].view(np.int64).tolist()], pa.int64()),
+                        pa.array([int(times[hashes != 0].sum()), *times[asked].tolist()], pa.int64()),
                     ],
                     names=["word", "times"],
                 )
