@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -38,10 +39,10 @@ def category_text(df: DataFrame, column: str) -> Column:
 def _combinations(
     df: DataFrame, columns: list[str], targets: list[str], entity: str | None
 ) -> DataFrame:
-    """One row per entity and full feature combination, the rows of an entity in one partition."""
+    """One row per entity and full feature combination."""
     texts = [category_text(df, name).alias(name) for name in columns]
     who = [] if entity is None else [entity]
-    combos = (
+    return (
         df.select(*texts, *[F.col(name) for name in who], *targets)
         .groupBy(*columns, *who)
         .agg(
@@ -49,12 +50,16 @@ def _combinations(
             *[F.count_if(target).alias(f"_joint{i}") for i, target in enumerate(targets)],
         )
     )
-    if entity is not None:
-        # A fixed number of partitions: judged by their size before the sets are spread out, they
-        # would be merged into far too few.
-        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        combos = combos.repartition(partitions, entity)
-    return combos
+
+
+def _by_entity(rows: DataFrame, entity: str | None) -> DataFrame:
+    """``rows`` with those of an entity in one partition."""
+    if entity is None:
+        return rows
+    # A fixed number of partitions: judged by their size before the sets are spread out, they
+    # would be merged into far too few.
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(partitions, entity)
 
 
 def itemset_counts(
@@ -75,7 +80,7 @@ def itemset_counts(
     of all rows. From there on the rows stay with their entity: the sets are spread out and
     reduced to one row per entity and item inside the same stage, and only item totals shuffle.
     """
-    combos = _combinations(df, columns, targets, entity)
+    combos = _by_entity(_combinations(df, columns, targets, entity), entity)
     who = [] if entity is None else [entity]
     sums = ["_rows", *[f"_joint{i}" for i in range(len(targets))]]
     item = ["set_id", *[f"value{place}" for place in range(max_size)]]
@@ -116,58 +121,96 @@ def frequent_itemset_counts(
 
     A set can't have more rows than one with a column less. So only sets that reached ``min_count`` are
     extended, by the columns after their last one, and a row is spread to the sets that are left
-    to it in place of all. Frequent sets are at most as many as rows fit ``min_count`` times for each set of
+    to it in place of all. Frequent values and sets are numbered as they are found: a row carries the number of
+    its set and those of the frequent values that may follow, and a longer set is two numbers, whatever its
+    values. Frequent sets are at most as many as rows fit ``min_count`` times for each set of
     columns; whether they are broadcast is left to Spark.
     """
     combos = scratch_table(_combinations(df, columns, targets, entity), "combinations")
     sums = ["_rows", *[f"_joint{i}" for i in range(len(targets))]]
     who = [] if entity is None else [entity]
-    every = F.array(*[F.lit(place) for place in range(len(columns))])
-    spread = combos.select(
-        *who, *sums, F.array(*columns).alias("_texts"), F.array().cast("array<int>").alias("_set")
+    singles = _by_entity(combos, entity).select(
+        *who, *sums, F.posexplode(F.array(*columns)).alias("_place", "_value")
     )
-    levels = []
-    for size in range(1, max_size + 1):
-        later = F.slice(every, F.coalesce(F.try_element_at("_set", F.lit(-1)) + 2, F.lit(1)), len(columns))
-        spread = spread.select(
-            *who,
-            *sums,
-            "_texts",
-            F.col("_set").alias("_before"),
-            F.explode(later).alias("_place"),
-        ).select(
-            *who, *sums, "_texts", F.array_append("_before", F.col("_place")).alias("_set")
-        )
-        spread = spread.withColumn(
-            "_values", F.transform("_set", lambda place: F.get(F.col("_texts"), place))
-        )
-        level = _item_totals(spread, ["_set", "_values"], sums, targets, entity).filter(
-            F.col("_rows") >= min_count
-        )
-        # The text of an item, as arrays with missing values are no key of a join.
-        key = F.to_json(F.struct("_set", "_values"), {"ignoreNullFields": "false"})
-        level = scratch_table(level.withColumn("_key", key), f"itemsets-{size}")
-        levels.append(level)
+    values = _frequent(singles, ["_place", "_value"], sums, targets, entity, min_count, 1)
+    found = values.withColumns({"_places": F.array("_place"), "_values": F.array("_value")})
+    levels = [found]
+    if max_size > 1:
+        spread = scratch_table(_spread_to_values(combos, columns, values, [*who, *sums]), "spread-1")
+    for size in range(2, max_size + 1):
+        following = F.posexplode("_later").alias("_at", "_code")
+        last = spread.filter(F.size("_later") > 0)
+        longer = _by_entity(last, entity).select(*who, *sums, "_set", following)
+        level = _frequent(longer, ["_set", "_code"], sums, targets, entity, min_count, size)
         if size < max_size:
-            spread = scratch_table(
-                spread.withColumn("_key", key)
-                .join(level.select("_key"), "_key", "left_semi")
-                .select(*who, *sums, "_texts", "_set"),
-                f"spread-{size}",
+            after = F.slice("_later", F.col("_at") + 2, len(columns))
+            extended = (
+                last.select("*", following)
+                .join(level.select("_set", "_code", "_number"), ["_set", "_code"])
+                .select(*who, *sums, F.col("_number").alias("_set"), after.alias("_later"))
             )
-    found = levels[0]
-    for level in levels[1:]:
-        found = found.unionAll(level)
-    set_id = F.array_position(column_sets(columns, max_size), F.col("_set")) - 1
-    return found.select(
-        set_id.cast("int").alias("set_id"),
-        F.col("_values").alias("values"),
-        F.col("_rows").alias("antecedent_count"),
-        *[F.col(f"_joint{i}").alias(f"joint_{target}") for i, target in enumerate(targets)],
-        *([] if entity is None else ["entities", *[f"entities_{target}" for target in targets]]),
+            spread = scratch_table(extended, f"spread-{size}")
+        before = found.select(F.col("_number").alias("_set"), "_places", "_values")
+        added = values.select(F.col("_number").alias("_code"), "_place", "_value")
+        found = (
+            level.join(before, "_set")
+            .join(added, "_code")
+            .withColumns(
+                {
+                    "_places": F.array_append("_places", F.col("_place")),
+                    "_values": F.array_append("_values", F.col("_value")),
+                }
+            )
+        )
+        levels.append(found)
+    set_id = F.array_position(column_sets(columns, max_size), F.col("_places")) - 1
+    return reduce(
+        DataFrame.unionAll,
+        [
+            level.select(
+                set_id.cast("int").alias("set_id"),
+                F.col("_values").alias("values"),
+                F.col("_rows").alias("antecedent_count"),
+                *[F.col(f"_joint{i}").alias(f"joint_{target}") for i, target in enumerate(targets)],
+                *([] if entity is None else ["entities", *[f"entities_{target}" for target in targets]]),
+            )
+            for level in levels
+        ],
+    )
+
+
+def _spread_to_values(
+    combos: DataFrame, columns: list[str], values: DataFrame, kept: list[str]
+) -> DataFrame:
+    """A row for each frequent value of a row: its number (_set), and those of later columns (_later)."""
+    for place, name in enumerate(columns):
+        known = values.filter(F.col("_place") == place).select(
+            F.col("_value").alias("_known"), F.col("_number").alias(f"_code{place}")
+        )
+        combos = combos.join(known, F.col(name).eqNullSafe(F.col("_known")), "left").drop("_known")
+    codes = F.array(*[f"_code{place}" for place in range(len(columns))])
+    later = F.array_compact(F.slice("_codes", F.col("_at") + 2, len(columns)))
+    return (
+        combos.select(*kept, codes.alias("_codes"), F.posexplode(codes).alias("_at", "_set"))
+        .filter(F.col("_set").isNotNull())
+        .select(*kept, "_set", later.alias("_later"))
     )
 
 
+def _frequent(
+    spread: DataFrame,
+    item: list[str],
+    sums: list[str],
+    targets: list[str],
+    entity: str | None,
+    min_count: int,
+    size: int,
+) -> DataFrame:
+    """The items with at least ``min_count`` rows, stored with a number (_number) for each."""
+    totals = _item_totals(spread, item, sums, targets, entity).filter(F.col("_rows") >= min_count)
+    return scratch_table(totals.withColumn("_number", F.monotonically_increasing_id()), f"itemsets-{size}")
+
+
 def _item_totals(
     spread: DataFrame, item: list[str], sums: list[str], targets: list[str], entity: str | None
 ) -> DataFrame:

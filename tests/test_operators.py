@@ -376,3 +376,21 @@ def test_only_frequent_sets_are_extended(spark, monkeypatch):
     frequent_itemset_counts(frame, ["own", "b", "c"], ["hit"], 3, 10).collect()
     # Two of three single values are extended; of the pairs only b with c.
     assert stored["spread-1"].count() == 600 and stored["spread-2"].count() == 300
+
+
+def test_rows_are_spread_as_numbers(spark, monkeypatch):
+    """Values of any length are written once, with the item; rows of a set carry their numbers."""
+    from tallyreach.operators import itemsets
+
+    stored = {}
+
+    def noted(df, name):
+        stored[name] = scratch_table(df, name)
+        return stored[name]
+
+    monkeypatch.setattr(itemsets, "scratch_table", noted)
+    rows = [(f"{'long ' * 100}{i % 2}", "y", None, i % 3 == 0, i) for i in range(60)]
+    frame = spark.createDataFrame(rows, "a string, b string, c string, hit boolean, who int")
+    found = frequent_itemset_counts(frame, ["a", "b", "c"], ["hit"], 3, 10, "who").collect()
+    assert sorted(row["antecedent_count"] for row in found) == [30] * 8 + [60] * 3
+    assert all("string" not in kind for name in ("spread-1", "spread-2") for _, kind in stored[name].dtypes)
