@@ -230,9 +230,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_RO
 
 def _indicated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [indicators(text) for text in batch.column("text").to_pylist()]
+        # As bytes: a list would reach the driver as an object for each number.
+        found = [indicators(text).astype("<i4").tobytes() for text in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(c) for c in ("place", "doc_id", "quality")] + [pa.array(found, pa.list_(pa.int64()))],
+            [batch.column(c) for c in ("place", "doc_id", "quality")] + [pa.array(found, pa.binary())],
             names=["place", "doc_id", "quality", "found"],
         )
 
@@ -242,14 +243,14 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Qua
 
     Its scores are chances under the shares that the classes have among all training labels.
     """
-    schema = "place long, doc_id long, quality long, found array<long>"
+    schema = "place long, doc_id long, quality long, found binary"
     sampled = labelled_sample(docs, labels, most_rows).withColumn("quality", F.col("quality").cast("long"))
     rows = sampled.select("place", "doc_id", "quality", "text").mapInArrow(_indicated, schema).collect()
     rows.sort(key=lambda r: (r["place"], r["doc_id"], r["quality"]))
     quality = [row["quality"] for row in rows]
     sizes = dict(training_labels(labels).groupBy("quality").count().collect())
     weights_of = {label: sizes[label] / quality.count(label) for label in set(quality)}
-    return fit_indicators([np.array(row["found"], np.int64) for row in rows], quality, weights_of)
+    return fit_indicators([np.frombuffer(row["found"], "<i4") for row in rows], quality, weights_of)
 
 
 def _scored(model: QualityModel):

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyreach.llm import katz, language, quality
@@ -423,3 +424,15 @@ def test_labels_of_an_id_with_many_rows_count_once(spark, table):
     assert Counter(r["quality"] for r in chosen) == {0: 30, 1: 30}
     every = quality.labelled_sample(table(rows), labels, 1000).collect()
     assert len(every) == len({r["doc_id"] for r in every}) == 90
+
+
+def test_quality_indicators_travel_as_bytes():
+    """The driver gets a text's buckets as one value, not as an object for each number."""
+    texts = ["Some words, some words again.", ""]
+    batch = pa.RecordBatch.from_pydict(
+        {"place": [1, 2], "doc_id": [1, 2], "quality": [1, 0], "text": texts}
+    )
+    (found,) = quality._indicated(iter([batch]))
+    assert pa.types.is_binary(found.schema.field("found").type)
+    for text, value in zip(texts, found.column("found").to_pylist()):
+        assert np.frombuffer(value, "<i4").tolist() == quality.indicators(text).tolist()
