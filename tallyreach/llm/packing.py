@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyreach.llm.common import documents, texts
-from tallyreach.llm.tokens import chunks, encoder, ids_crc32
+from tallyreach.llm.tokens import encoder, ids_crc32, text_chunks
 from tallyreach.sources.storage import scratch_table
 
 CAPACITY = 2048
@@ -127,9 +127,9 @@ def _cut(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            ids, all_texts = batch.column(0), batch.column(1).to_pylist()
-            for rows in chunks(all_texts):
-                flat, sizes = encoder(path).encode(all_texts[rows])
+            ids = batch.column(0)
+            for rows, some_texts in text_chunks(batch.column(1)):
+                flat, sizes = encoder(path).encode(some_texts)
                 flat = np.insert(flat, np.cumsum(sizes), end_id)
                 sizes = sizes + 1
                 pieces = -(-sizes // capacity)

@@ -15,10 +15,14 @@ from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK_CHARS = 4_000_000
-MAX_PIECES = 650_000
-KEPT_PIECES = 250_000
+# Of texts to encode: their pieces and ids take many times the memory of the texts.
+ENCODED_CHARS = 1_000_000
+MAX_PIECES = 550_000
+KEPT_PIECES = 300_000
 
 # Runs of white space leave in doubt what starts a word; then only the sure places cut.
 _BLANK = re.compile(r"\s")
@@ -150,6 +154,17 @@ def chunks(texts: list[str], most: int | None = None) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
+def text_chunks(column: pa.Array) -> Iterator[tuple[slice, list[str]]]:
+    """Runs of texts with about ENCODED_CHARS characters, or one longer text, made strings run by run."""
+    total = np.cumsum(pc.utf8_length(column).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(column):
+        before = int(total[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(total, before + ENCODED_CHARS, "right")))
+        yield slice(start, stop), column.slice(start, stop - start).to_pylist()
+        start = stop
+
+
 def ids_crc32(ids: np.ndarray) -> int:
     """CRC-32 of the ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"))

@@ -5,9 +5,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from tallyreach.llm import tokens
 from tallyreach.llm.packing import Step, best_fit_decreasing, pack, token_pieces
 from tallyreach.llm.token_files import read_metadata, read_tokens, token_digest, write_tokens
 from tallyreach.llm.tokens import Encoder
@@ -118,3 +120,15 @@ def test_packing_nothing(empty):
 
 def test_scratch_folder_is_the_named_one(spark):
     assert scratch_folder(spark)
+
+
+def test_texts_are_made_strings_run_by_run():
+    """Each run holds about ENCODED_CHARS characters, or one longer text; together they are all texts."""
+    size = tokens.ENCODED_CHARS
+    texts = ["", "é" * (size // 2), "b" * (size // 2), "", "c", "d" * (2 * size), "", "語"]
+    column = pa.array(["before", *texts]).slice(1)
+    runs = list(tokens.text_chunks(column))
+    assert [text for _, run in runs for text in run] == texts
+    assert [run for _, run in runs] == [texts[rows] for rows, _ in runs]
+    assert [len(run) for _, run in runs] == [4, 1, 1, 2]
+    assert list(tokens.text_chunks(pa.array([], pa.string()))) == []
