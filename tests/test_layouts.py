@@ -127,3 +127,28 @@ def test_window_reads_its_months(spark, tmp_path):
     two_months = lines.filter("l_shipdate >= '1996-03-01' AND l_shipdate < '1996-05-01'").count()
     assert 0 < scanned_rows(window) <= two_months < lines.count() / 20
     assert spark.read.parquet(path).count() == lines.count() + 1
+
+
+def test_partitioned_writes_keep_writers_open_in_any_session(spark, tmp_path, monkeypatch):
+    """Without open writers a task sorts all its rows by folder first; the session's setting comes back."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from tallyreach.sources import storage
+
+    name, seen, write = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.parquet
+
+    def noted(self, *args, **kwargs):
+        seen.append(spark.conf.get(name))
+        return write(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    given = spark.conf.get(name)
+    rows = spark.range(10).selectExpr("id", "id % 2 AS rejected")
+    try:
+        for setting, wanted in (("0", str(storage.OPEN_WRITERS)), ("9", "9")):
+            spark.conf.set(name, setting)
+            storage.write_parquet(rows, f"{tmp_path}/{setting}", ("rejected",))
+            assert (seen.pop(), spark.conf.get(name)) == (wanted, setting)
+            assert spark.read.parquet(f"{tmp_path}/{setting}").count() == 10
+    finally:
+        spark.conf.set(name, given)
