@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from compare import spark_rows
+from tallyreach.operators import quantiles
 from tallyreach.operators.authors import author_statistics, degree_counts
 from tallyreach.operators.categories import top_categories, with_category_group
 from tallyreach.operators.dedup import first_per_key
@@ -214,6 +215,21 @@ def test_quantiles_of_one_to_hundred_and_of_nothing(spark):
     assert tuple(exact_quantiles(rows, empty).first()) == (50.0, None)
 
 
+def test_columns_of_a_first_pass_share_one_scale(spark, monkeypatch):
+    made = []
+    scale = quantiles._scale
+    monkeypatch.setattr(quantiles, "_scale", lambda value: made.append(value) or scale(value))
+    whole = [F.when(F.col("id") % 7 != 3, F.col("id") * n - 50).alias(f"w{n}") for n in range(1, 7)]
+    real = [(F.col("id") / n).alias(f"r{n}") for n in range(1, 7)]
+    rows = spark.range(200).select(*whole, *real)
+    found = exact_quantiles(rows, [Quantile(c, c, 0.25) for c in rows.columns]).first()
+    for n in range(1, 7):
+        kept = [i * n - 50 for i in range(200) if i % 7 != 3]
+        assert found[f"w{n}"] == kept[ceil(Fraction(1, 4) * len(kept)) - 1]
+        assert found[f"r{n}"] == 49 / n
+    assert len(made) == 1
+
+
 def test_thresholds_have_floors(spark):
     rows = spark.createDataFrame(
         [(True, 0, None), (True, 0, 0.0), (False, 9, 9.0)],
