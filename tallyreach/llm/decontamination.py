@@ -14,8 +14,8 @@ missing and added words cost something but don't hide a copy.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,38 +37,35 @@ FEWEST_STRETCHES = 8
 MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BITMAP_BITS = 24
-_NO_WORD = re.compile(r"\W+")
-_MAX_KNOWN = 150_000
-
-
-class _Known(dict):
-    """Hashes of words by how they are written, 0 where nothing is left of one."""
-
-    def __missing__(self, written: str) -> int:
-        if len(self) > _MAX_KNOWN:
-            self.clear()
-        word = _NO_WORD.sub("", written)
-        value = self[written] = xxhash.xxh64_intdigest(word) if word else 0
-        return value
-
-
-_known = _Known()
+_NO_WORD = re.compile(r"[^\w\s]+")
+# The same for bytes of ASCII, for which it is much faster: what becomes of each, and which are left out.
+_ASCII = [chr(code).lower() for code in range(128)]
+_LOWER = bytes(ord(" " if c.isspace() else c) for c in _ASCII) + bytes(range(128, 256))
+_LEFT_OUT = bytes(code for code, c in enumerate(_ASCII) if _NO_WORD.fullmatch(c))
 
 
 def words_of(text: str) -> list[str]:
     """Lower-cased words without all that is no letter or digit."""
-    return [word for written in text.lower().split() if (word := _NO_WORD.sub("", written))]
+    return _NO_WORD.sub("", text.lower()).split()
 
 
 def hashes_of(text: str) -> np.ndarray:
     """The hashes of :func:`words_of`."""
-    written = text.lower().split()
-    found = np.fromiter(map(_known.__getitem__, written), np.uint64, len(written))
-    return found[found != 0]
+    words = text.encode().translate(_LOWER, _LEFT_OUT).split() if text.isascii() else words_of(text)
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
 
 
-def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """Best local alignment: its score, and where it ends in ``item`` and ``text`` (exclusive)."""
+@lru_cache(maxsize=256)
+def _item_hashes(text: str) -> np.ndarray:
+    """Of items, which come again with many documents."""
+    return hashes_of(text)
+
+
+def align(item: np.ndarray, text: np.ndarray, least: float = 0.0) -> tuple[int, int, int]:
+    """Best local alignment: its score, and where it ends in ``item`` and ``text`` (exclusive).
+
+    Ends early, with a score below ``least``, once none can reach it.
+    """
     ramp = -GAP * np.arange(len(text))
     above, best = np.zeros(len(text) + 1, np.int64), (0, 0, 0)
     for row, word in enumerate(item):
@@ -79,6 +76,9 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
         at = int(cells.argmax())
         if cells[at] > best[0]:
             best = (int(cells[at]), row + 1, at + 1)
+        # Each further word adds MATCH at most.
+        if best[0] < least and cells[at] + MATCH * (len(item) - row - 1) < least:
+            break
         above[1:] = cells
     return best
 
@@ -105,8 +105,9 @@ def passage(
         most = np.isin(item, part).sum() / len(item)
         if most < min_score or most <= found[0]:
             continue
-        score, row, end = align(item, part)
-        if score / (MATCH * len(item)) > found[0]:
+        score, row, end = align(item, part, min_score * MATCH * len(item) - 1e-6)
+        # Where a score that is too low begins is asked by nobody.
+        if score / (MATCH * len(item)) >= min_score and score / (MATCH * len(item)) > found[0]:
             _, _, length = align(item[:row][::-1], part[:end][::-1])
             found = (score / (MATCH * len(item)), low + end - length, low + end)
     return found
@@ -166,17 +167,13 @@ def _word_counts(bits: np.ndarray):
         for batch in batches:
             all_texts = batch.column("text").to_pylist()
             for rows in chunks(all_texts):
-                written = Counter()
-                for text in all_texts[rows]:
-                    written.update(text.lower().split())
-                hashes = np.fromiter(map(_known.__getitem__, written), np.uint64, len(written))
-                times = np.fromiter(written.values(), np.int64, len(written))
-                asked = _marked(bits, hashes) & (hashes != 0)
-                # A word may have several rows, by how it is written; the row without one has the number of all words.
+                hashes = np.concatenate([hashes_of(text) for text in all_texts[rows]])
+                words, times = np.unique(hashes[_marked(bits, hashes)], return_counts=True)
+                # The row without a word has the number of all words.
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([None, *hashes[asked].view(np.int64).tolist()], pa.int64()),
-                        pa.array([int(times[hashes != 0].sum()), *times[asked].tolist()], pa.int64()),
+                        pa.array([None, *words.view(np.int64).tolist()], pa.int64()),
+                        pa.array([len(hashes), *times.tolist()], pa.int64()),
                     ],
                     names=["word", "times"],
                 )
@@ -248,7 +245,7 @@ def _scored(min_score: float):
                 # The items of a document come one after another.
                 if text != last:
                     last, words = text, hashes_of(text)
-                found.append(passage(hashes_of(item), words, starts, min_score))
+                found.append(passage(_item_hashes(item), words, starts, min_score))
             score, first, end = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [

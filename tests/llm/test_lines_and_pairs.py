@@ -2,14 +2,16 @@
 
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from tallyreach.llm.components import components
 from tallyreach.llm.dartminhash import signatures
-from tallyreach.llm.decontamination import align, contaminated, without_contaminated, words_of
+from tallyreach.llm.decontamination import align, contaminated, hashes_of, passage, without_contaminated, words_of
 from tallyreach.llm.line_dedup import SPACES, drop_repeated_lines, with_lines_dropped
 from tallyreach.llm.near_dedup import duplicate_classes, one_of_each_class
 from tallyreach.llm.shingles import counted, weighted_jaccard, weighted_sets, word_hashes
@@ -319,3 +321,24 @@ def test_a_crowd_of_texts_that_are_nearly_alike(table):
                 low, high = sorted((root(a), root(b)))
                 parent[high] = low
     assert dict(map(tuple, duplicate_classes(table(rows)).collect())) == {doc: root(doc) for doc in ids}
+
+
+def test_words_are_hashed_alike_with_and_without_other_letters():
+    texts = ["Don't stop_it -- NOW", "a\x1cb\x1f c\x00d \x7f", "", " . ", "1,000.5 e-mail", "x" * 70 + "!"]
+    for text in texts:
+        plain = [re.sub(r"\W+", "", word) for word in text.lower().split()]
+        assert words_of(text) == [word for word in plain if word]
+        expected = [xxhash.xxh64_intdigest(word) for word in words_of(text)]
+        assert hashes_of(text).tolist() == expected
+        assert hashes_of(text + " \u00c9t\u00e9\u2014\u0130 \u4e2d\u3002")[: len(expected)].tolist() == expected
+
+
+def test_alignments_end_where_no_score_can_be_reached():
+    item, other = np.arange(40, dtype=np.uint64), np.arange(100, 160, dtype=np.uint64)
+    text = np.concatenate((other, item[:10], item[12:], other))
+    assert align(item, text, 60.0) == align(item, text)
+    # All words of the item, in reverse: by count of words they could reach the limit.
+    assert align(item, item[::-1], 40.0)[0] < 40
+    assert passage(item, item[::-1], [0], 0.5) == (0.0, 0, 0)
+    assert passage(item, text, [60], 0.5) == passage(item, text, [60])
+    assert passage(item, item[::-1], [0])[0] > 0
