@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tallyreach.llm.common import documents
 from tallyreach.llm.shingles import gapped_hashes, run_hashes
-from tallyreach.llm.tokens import chunks
+from tallyreach.llm.tokens import text_chunks
 from tallyreach.sources.storage import scratch_table
 
 SEED_WORDS = 3
@@ -165,9 +165,8 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _word_counts(bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_texts = batch.column("text").to_pylist()
-            for rows in chunks(all_texts):
-                hashes = np.concatenate([hashes_of(text) for text in all_texts[rows]])
+            for _, some_texts in text_chunks(batch.column("text")):
+                hashes = np.concatenate([hashes_of(text) for text in some_texts])
                 words, times = np.unique(hashes[_marked(bits, hashes)], return_counts=True)
                 # The row without a word has the number of all words.
                 yield pa.RecordBatch.from_arrays(
@@ -204,18 +203,17 @@ def _triples(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray,
 def _hits(bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_texts = batch.column("text").to_pylist()
-            for rows in chunks(all_texts):
+            for rows, some_texts in text_chunks(batch.column("text")):
                 found = [
                     (text[hit], place[hit], hashes[hit])
-                    for hashes, text, place in _triples([hashes_of(text) for text in all_texts[rows]])
+                    for hashes, text, place in _triples([hashes_of(text) for text in some_texts])
                     if (hit := _marked(bits, hashes)).any()
                 ]
                 if found:
                     owners, places, seeds = map(np.concatenate, zip(*found))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            batch.column("row")[rows].take(pa.array(owners)),
+                            batch.column("row").slice(rows.start, len(some_texts)).take(pa.array(owners)),
                             pa.array(places.astype(np.int32)),
                             pa.array(seeds.view(np.int64)),
                         ],

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tallyreach.llm.common import documents, fold, texts
 from tallyreach.llm.shingles import mix
-from tallyreach.llm.tokens import chunks
+from tallyreach.llm.tokens import text_chunks
 
 BUCKETS = 1 << 18
 ORDERS = (1, 2, 3)
@@ -231,7 +231,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_RO
 def _indicated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         # As bytes: a list would reach the driver as an object for each number.
-        found = [indicators(text).astype("<i4").tobytes() for text in batch.column("text").to_pylist()]
+        some_texts = (text for _, some in text_chunks(batch.column("text")) for text in some)
+        found = [indicators(text).astype("<i4").tobytes() for text in some_texts]
         yield pa.RecordBatch.from_arrays(
             [batch.column(c) for c in ("place", "doc_id", "quality")] + [pa.array(found, pa.binary())],
             names=["place", "doc_id", "quality", "found"],
@@ -256,7 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Qua
 def _scored(model: QualityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.score(text) for text in batch.column("text").to_pylist()]
+            scores = [model.score(text) for _, some in text_chunks(batch.column("text")) for text in some]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64())],
                 names=["doc_id", "held_out", "score"],
@@ -289,6 +290,18 @@ def op7_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return quality_scores(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
 
 
+def _accepting(model: QualityModel, place: int):
+    """The rows that ``model`` accepts by the text in column ``place``, a run of texts at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, some in text_chunks(batch.column(place)):
+                kept = [model.score(text or "") >= ACCEPT for text in some]
+                yield batch.slice(rows.start, len(some)).filter(pa.array(kept, pa.bool_()))
+
+    return run
+
+
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
@@ -296,8 +309,6 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     place = schema.names.index("text")
 
     def run(batches):
-        for batch in batches:
-            kept = [shared.value.score(t or "") >= ACCEPT for t in batch.column(place).to_pylist()]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+        return _accepting(shared.value, place)(batches)
 
     return docs.mapInArrow(run, schema)

@@ -156,7 +156,8 @@ def chunks(texts: list[str], most: int | None = None) -> Iterator[slice]:
 
 def text_chunks(column: pa.Array) -> Iterator[tuple[slice, list[str]]]:
     """Runs of texts with about ENCODED_CHARS characters, or one longer text, made strings run by run."""
-    total = np.cumsum(pc.utf8_length(column).to_numpy(zero_copy_only=False), dtype=np.int64)
+    sizes = pc.fill_null(pc.utf8_length(column), 0)
+    total = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64)
     start = 0
     while start < len(column):
         before = int(total[start - 1]) if start else 0

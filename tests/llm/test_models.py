@@ -14,6 +14,7 @@ import pytest
 from tallyreach.llm import katz, language, quality
 from tallyreach.llm.personal_data import personal_data
 from tallyreach.llm.spotsigs import ANCHORS, fingerprints, similar_classes
+from tallyreach.llm.tokens import text_chunks
 
 
 def held_out(doc, parts, remainder):
@@ -436,3 +437,16 @@ def test_quality_indicators_travel_as_bytes():
     assert pa.types.is_binary(found.schema.field("found").type)
     for text, value in zip(texts, found.column("found").to_pylist()):
         assert np.frombuffer(value, "<i4").tolist() == quality.indicators(text).tolist()
+
+
+def test_filtering_makes_texts_strings_run_by_run():
+    texts = ["a" * 600_000, None, "b", "c" * 700_000, "", "d" * 2_000_000, "e"]
+    scores = {"a": 0.9, "b": 0.1, "c": 0.8, "d": 0.69, "e": 0.7, "": 0.95}
+    model = type("Model", (), {"score": lambda self, text: scores[text[:1]]})()
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(7)), "text": pa.array(texts, pa.string())})
+    kept = list(quality._accepting(model, 1)([batch, batch.slice(0, 0)]))
+    assert [row["doc_id"] for part in kept for row in part.to_pylist()] == [0, 1, 3, 4, 6]
+    assert all(part.schema == batch.schema for part in kept)
+    # No run holds more characters than a million, unless one text does.
+    runs = [some for _, some in text_chunks(batch.column("text"))]
+    assert [len(some) for some in runs] == [3, 2, 1, 1]
