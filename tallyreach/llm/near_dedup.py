@@ -107,9 +107,44 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of tokens of each text, and those that its pivot lacks or has besides."""
+    for batch in batches:
+        sizes, found = [], []
+        pivot, known = None, None
+        columns = (batch.column(c).to_pylist() for c in ("pivot", "text_doc_id", "text_pivot"))
+        for of, text, pivot_text in zip(*columns):
+            if of != pivot:
+                pivot, known = of, tokens_of(pivot_text)
+            tokens = tokens_of(text)
+            sizes.append(len(tokens))
+            found.append(np.setxor1d(tokens, known, assume_unique=True).view(np.int64))
+        ends = np.concatenate(([0], np.cumsum(list(map(len, found))))).astype(np.int32)
+        flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"),
+                batch.column("pivot"),
+                pa.array(sizes, pa.int64()),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
+            ],
+            names=["doc_id", "pivot", "size", "apart"],
+        )
+
+
+def _with_texts(pairs: DataFrame, one: str, other: str, contents: DataFrame) -> DataFrame:
+    """``pairs`` with the texts of both nodes; joined alike however few they are."""
+    ids = pairs.select(F.explode(F.array(one, other)).alias("doc_id")).distinct()
+    wanted = scratch_table(contents.join(ids.hint("merge"), "doc_id", "left_semi"), "wanted")
+    text = lambda side: wanted.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
+    # Pairs are small and their texts are not: as many tasks as there may be, however few the bytes.
+    spread = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), one, other)
+    return spread.join(text(one).hint("merge"), one).join(text(other).hint("merge"), other)
+
+
 def _similarities(pairs: DataFrame, sketches: DataFrame, contents: DataFrame) -> DataFrame:
     """a, b and their similarity; of pairs that are surely unlike an upper bound, not ``exact``."""
-    sketch = lambda side: sketches.select(F.col("doc_id").alias(side), F.col("sketch").alias(f"sketch_{side}"))
+    sketch = lambda side: sketches.select(F.col("doc_id").alias(side), F.col("sketch").alias(f"sketch_{side}")).hint("merge")
     estimates = scratch_table(
         pairs.join(sketch("a"), "a").join(sketch("b"), "b").mapInArrow(
             _estimated, "a long, b long, estimate double"
@@ -117,12 +152,7 @@ def _similarities(pairs: DataFrame, sketches: DataFrame, contents: DataFrame) ->
         "estimates",
     )
     close = estimates.filter(F.col("estimate") >= SIMILARITY - SLACK).select("a", "b")
-    ids = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = scratch_table(_texts_of(ids, contents), "wanted")
-    text = lambda side: wanted.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
-    # Pairs are small and their texts are not: as many tasks as there may be, however few the bytes.
-    spread = close.repartition(int(close.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
-    exact = spread.join(text("a"), "a").join(text("b"), "b").mapInArrow(
+    exact = _with_texts(close, "a", "b", contents).mapInArrow(
         _measured, "a long, b long, similarity double"
     )
     unlike = estimates.filter(F.col("estimate") < SIMILARITY - SLACK).select(
@@ -131,9 +161,11 @@ def _similarities(pairs: DataFrame, sketches: DataFrame, contents: DataFrame) ->
     return scratch_table(exact.withColumn("exact", F.lit(True)).unionAll(unlike), "similarities")
 
 
-def _texts_of(nodes: DataFrame, contents: DataFrame) -> DataFrame:
-    """The text of each of ``nodes``; ``contents`` has the nodes of all rows that show one."""
-    return contents.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def _differences(members: DataFrame, contents: DataFrame) -> DataFrame:
+    """doc_id, pivot, the number of the text's tokens, and the tokens that one of both texts has alone."""
+    return _with_texts(members, "doc_id", "pivot", contents).mapInArrow(
+        _apart, "doc_id long, pivot long, size long, apart array<long>"
+    )
 
 
 def duplicate_classes(docs: DataFrame) -> DataFrame:
@@ -169,16 +201,25 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
     members = scratch_table(
         crowded.join(weights, "doc_id").select("key", "doc_id", "weight"), "members"
     )
-    sketches = single.select(F.col("node").alias("doc_id"), "sketch")
-    # Texts that share no bucket are never read again.
-    shown = single.select("node", F.col("doc_id").alias("id"), "row").join(
-        weights.withColumnRenamed("doc_id", "node"), "node", "left_semi"
+    # Texts that share no bucket are never read again; the others are fetched once.
+    crowd = scratch_table(
+        single.join(weights.select(F.col("doc_id").alias("node")).hint("merge"), "node", "left_semi").select(
+            "node", F.col("doc_id").alias("id"), "row", "sketch"
+        ),
+        "crowd",
     )
-    shown = scratch_table(shown, "shown")
-    contents = rows.join(shown, (rows["doc_id"] == shown["id"]) & (rows["row"] == shown["row"])).select(
+    sketches = crowd.select(F.col("node").alias("doc_id"), "sketch")
+    shown = crowd.select("node", "id", "row").hint("merge")
+    contents = rows.join(shown, (rows["doc_id"] == F.col("id")) & (rows["row"] == shown["row"])).select(
         F.col("node").alias("doc_id"), "text"
     )
-    links = bucket_links(members, lambda pairs: _similarities(pairs, sketches, contents), SIMILARITY)
+    contents = scratch_table(contents.dropDuplicates(["doc_id"]), "contents")
+    links = bucket_links(
+        members,
+        lambda pairs: _similarities(pairs, sketches, contents),
+        lambda pairs: _differences(pairs, contents),
+        SIMILARITY,
+    )
     # Rows that share an id link their texts.
     ids = same.groupBy("doc_id").agg(F.min("node").alias("b"), F.count("*").alias("n"))
     several = ids.filter("n > 1").select("doc_id", "b")

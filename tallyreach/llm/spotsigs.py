@@ -212,7 +212,17 @@ def similar_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
         )
         return scratch_table(measured, "likeness")
 
-    links = bucket_links(members, measure, threshold)
+    def differences(pairs: DataFrame) -> DataFrame:
+        side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("spots").alias(f"{name}_spots"))
+        lacks = lambda one, other: F.array_except(f"{one}_spots", f"{other}_spots")
+        return pairs.join(side("doc_id"), "doc_id").join(side("pivot"), "pivot").select(
+            "doc_id",
+            "pivot",
+            F.size("doc_id_spots").alias("size"),
+            F.concat(lacks("doc_id", "pivot"), lacks("pivot", "doc_id")).alias("apart"),
+        )
+
+    links = bucket_links(members, measure, differences, threshold)
     joined = links.unionAll(copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
     classes = scratch_table(components(joined), "classes")
     known = copies.select("doc_id").distinct()

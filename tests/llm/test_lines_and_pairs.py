@@ -8,7 +8,9 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+from tallyreach.llm.buckets import bucket_links
 from tallyreach.llm.components import components
 from tallyreach.llm.dartminhash import signatures
 from tallyreach.llm.decontamination import align, contaminated, hashes_of, passage, without_contaminated, words_of
@@ -323,6 +325,53 @@ def test_a_crowd_of_texts_that_are_nearly_alike(table):
     assert dict(map(tuple, duplicate_classes(table(rows)).collect())) == {doc: root(doc) for doc in ids}
 
 
+def test_a_bucket_of_unlike_copies_of_one_set_is_compared_in_few_pairs(spark):
+    """Most have less than 0.8 in common with each other and with the pivot; all links among them are found."""
+    draw = random.Random(9)
+    base = list(range(100))
+    sets = [base]
+    for doc in range(1, 151):
+        own = list(draw.choice(sets[-12:]) if doc % 5 == 0 else base)
+        for place in draw.sample(range(100), 3 if doc % 5 == 0 else draw.randint(10, 20)):
+            own[place] = 1000 * doc + place
+        sets.append(own)
+    frame = spark.createDataFrame([(doc, own) for doc, own in enumerate(sets)], "doc_id long, own array<long>").cache()
+    side = lambda name: frame.select(F.col("doc_id").alias(name), F.col("own").alias(f"own_{name}"))
+    compared = []
+
+    def measure(pairs):
+        compared.append(pairs.count())
+        shared = F.size(F.array_intersect("own_a", "own_b"))
+        alike = shared / (F.size("own_a") + F.size("own_b") - shared)
+        return pairs.join(side("a"), "a").join(side("b"), "b").select(
+            "a", "b", alike.alias("similarity"), F.lit(True).alias("exact")
+        )
+
+    def differences(pairs):
+        lacks = lambda one, other: F.array_except(f"own_{one}", f"own_{other}")
+        return pairs.join(side("doc_id"), "doc_id").join(side("pivot"), "pivot").select(
+            "doc_id",
+            "pivot",
+            F.size("own_doc_id").alias("size"),
+            F.concat(lacks("doc_id", "pivot"), lacks("pivot", "doc_id")).alias("apart"),
+        )
+
+    members = frame.select(F.lit(1).alias("key"), "doc_id", F.when(F.col("doc_id") == 0, 2).otherwise(1).alias("weight"))
+    links = bucket_links(members, measure, differences, 0.8)
+    found = {r["node"]: r["component"] for r in components(links).collect()}
+    label = list(range(len(sets)))
+    for a in label:
+        for b in range(a):
+            shared = len(set(sets[a]) & set(sets[b]))
+            if shared / (200 - shared) >= 0.8:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    assert 20 < len(set(label)) < 140 and any(x and label.count(x) > 1 for x in label)
+    assert [found.get(doc, doc) for doc in range(len(sets))] == label
+    # All pairs would be 11,325.
+    assert sum(compared) < 1500
+
+
 def test_words_are_hashed_alike_with_and_without_other_letters():
     texts = ["Don't stop_it -- NOW", "a\x1cb\x1f c\x00d \x7f", "", " . ", "1,000.5 e-mail", "x" * 70 + "!"]
     for text in texts:
