@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyreach.llm.common import documents, texts
-from tallyreach.llm.tokens import encoder, ids_crc32, text_chunks
+from tallyreach.llm.tokens import column_chunks, encoder, ids_crc32
 from tallyreach.sources.storage import scratch_table
 
 CAPACITY = 2048
@@ -128,7 +128,7 @@ def _cut(path: str, capacity: int, end_id: int):
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             ids = batch.column(0)
-            for rows, some_texts in text_chunks(batch.column(1)):
+            for rows, some_texts in column_chunks(batch.column(1)):
                 flat, sizes = encoder(path).encode(some_texts)
                 flat = np.insert(flat, np.cumsum(sizes), end_id)
                 sizes = sizes + 1

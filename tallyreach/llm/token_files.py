@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyreach.llm.common import documents, texts
-from tallyreach.llm.tokens import encoder, ids_crc32, text_chunks
+from tallyreach.llm.tokens import column_chunks, encoder, ids_crc32
 from tallyreach.sources.storage import scratch_folder
 
 END_ID = 2
@@ -51,7 +51,7 @@ def _encoded(path: str, end_id: int):
         start = 0
         for batch in batches:
             ids = batch.column(0)
-            for rows, some_texts in text_chunks(batch.column(1)):
+            for rows, some_texts in column_chunks(batch.column(1)):
                 flat, lengths = encoder(path).encode(some_texts)
                 n = len(lengths)
                 flat = np.insert(flat, np.cumsum(lengths), end_id).astype(np.int32)

@@ -41,6 +41,45 @@ def test_pieces_give_the_ids_of_the_whole_text(plain):
             assert ids[end - length : end].tolist() == plain(text), repr(text)
 
 
+def test_known_words_are_merged_once_whatever_surrounds_them(plain, monkeypatch):
+    """Words of known letters go to the tokenizer's model, each different one of a call once; ids are those of the text."""
+    draw = random.Random(1)
+    letters = "aZé7Ωжü語가あא!?.,;'\"<|>_-~{"
+    texts = [
+        " ".join("".join(draw.choice(letters) for _ in range(draw.randint(1, 9))) for _ in range(draw.randint(0, 9)))
+        for _ in range(2000)
+    ]
+    texts += ["it's we'll 'sun 'Tis I'VE they'd've", "ʼn ª² ½ ०१ Ⅳ ㎏ ß'd", " x", "x ", "<|endoftext|>", "\u0120a !\u010a"]
+    encoder = Encoder(PATH)
+    for given in (texts, pa.array(["before", *texts, None]).slice(1), pa.array(texts, pa.large_string())):
+        ids, lengths = encoder.encode(given)
+        ends = np.cumsum(lengths)
+        for text, end, length in zip(texts, ends, lengths):
+            assert ids[end - length : end].tolist() == plain(text), repr(text)
+        assert len(lengths) == len(given)
+
+    encoder, sent = Encoder(PATH), []
+    monkeypatch.setattr(encoder, "_alone", lambda pieces, f=encoder._alone: sent.append(("alone", pieces)) or f(pieces))
+    monkeypatch.setattr(encoder, "_together", lambda pieces, f=encoder._together: sent.append(("together", pieces)) or f(pieces))
+    monkeypatch.setattr(encoder, "_merged", lambda words, f=encoder._merged: sent.append(("merged", words)) or f(words))
+    ids, _ = encoder.encode(["Word word, word. (word) ж,ж", "word; ж. жж"])
+    assert ids.tolist() == plain("Word word, word. (word) ж,ж") + plain("word; ж. жж")
+    merged = [word for kind, words in sent if kind == "merged" for word in words if word]
+    assert not any(pieces for kind, pieces in sent if kind != "merged")
+    assert sorted(merged) == sorted(["Word", " word", "word", ",", ".", " (", ")", ";", " ж", ",", "ж", ".", " жж"])
+
+
+def test_a_forgetful_encoder_gives_the_same_ids(plain, monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_PIECES", 20)
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 10)
+    encoder = Encoder(PATH)
+    for start in range(0, 200, 20):
+        texts = [f"w{n}, x{n % 7}\ty  z{n}'s é{n}" for n in range(start, start + 20)]
+        ids, lengths = encoder.encode(texts)
+        assert ids.tolist() == [n for text in texts for n in plain(text)]
+        assert lengths.tolist() == [len(plain(text)) for text in texts]
+
+
 def test_files_hold_all_ids_in_order(spark, odd, plain, tmp_path):
     path = str(tmp_path / "tokens")
     write_tokens(odd, path, PATH)
