@@ -1,7 +1,7 @@
 """A training corpus from raw documents, stage by stage.
 
 Each stage works on all rows that the stage before kept. ``run`` stores every stage's rows below the
-shared scratch folder, so a lost executor costs one stage at most.
+shared scratch folder, so a lost executor costs one stage at most. A stage leaves the session with small Arrow batches.
 """
 
 from __future__ import annotations
@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyreach.llm import decontamination, line_dedup, near_dedup, packing, quality
-from tallyreach.llm.common import documents
+from tallyreach.llm.common import documents, small_batches
 from tallyreach.sources.storage import scratch_table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts, unchanged."""
+    small_batches(spark)
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -23,22 +24,26 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``n_chars`` is counted anew. A document that loses all its lines stays, with an empty text.
     """
+    small_batches(spark)
     return line_dedup.with_lines_dropped(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, that of the smallest id."""
+    small_batches(spark)
     return near_dedup.one_of_each_class(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
+    small_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.without_contaminated(docs, benchmark)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the training sequences."""
+    small_batches(spark)
     return packing.pack_documents(docs)
 
 

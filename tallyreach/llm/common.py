@@ -6,12 +6,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = " \t\n\x0b\x0c\r"
+# Of whole texts that go to Python at once, where the memory of an executor is short.
+BATCH_ROWS = 2000
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Give Python at most BATCH_ROWS rows at once from now on in this session; no result depends on it.
+
+    Both sides of the pipe hold whole batches, apart from the executor's heap, and keep the memory of the largest.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = int(spark.conf.get(name, "0"))
+    if not 0 < given <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def fold(key: Column, parts: int) -> Column:
     """The remainder of the key's CRC-32 that splits rows into training and held-out ones.
 

@@ -76,3 +76,24 @@ def test_packing_stage(stages):
 def test_run(spark, stages):
     found = corpus_pipeline.run(spark, SF)
     assert found.count() == stages["packing"][1].count()
+
+
+def test_stages_give_python_small_batches(spark):
+    """Whole texts go to Python a few thousand at a time; a session that asks for fewer keeps its number."""
+    import pyarrow as pa
+
+    def counted(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    given = spark.conf.get(name)
+    try:
+        for before, most in (("10000", 2000), ("0", 2000), ("300", 300)):
+            spark.conf.set(name, before)
+            corpus_pipeline.packing_stage(spark, docs, SF)
+            sizes = spark.range(5000, numPartitions=1).mapInArrow(counted, "n long").collect()
+            assert sum(r["n"] for r in sizes) == 5000 and max(r["n"] for r in sizes) == most
+    finally:
+        spark.conf.set(name, given)
